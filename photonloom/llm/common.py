@@ -10,19 +10,30 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Long texts make wide rows; a Python worker holds one Arrow batch of them at a time.
-BATCH_ROWS = 2000
+#: Wide rows come to Python workers in Arrow batches of at most about so many bytes.
+BATCH_BYTES = 16 << 20
+_own: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local master gets a temporary one."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir") or _own.get(spark.sparkContext.applicationId)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='photonloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='photonloom-')}"
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_BYTES, so that long texts don't fill a Python worker."""
+    kept = spark.conf.get(_BATCH).removesuffix("b")
+    if not kept.isdigit() or int(kept) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/photonloom/{name}-{uuid.uuid4().hex}"
 

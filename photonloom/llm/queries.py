@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from photonloom.llm.pii import op1_pii
+from photonloom.llm.quality import op10_quality
 from photonloom.llm.simhash import op9_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {"op1_pii": op1_pii, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,14 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import staged
+from photonloom.llm.common import bounded_batches, staged
 from photonloom.llm.graph import connected_components
 
 RADIUS = 4
 SHINGLE_WORDS = 4
 SEED = 42
 TILE_ROWS = 4096
-_STRIP = 512
+_STRIP = 64
 _BLOCK = 65536
 
 
@@ -48,6 +48,8 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = SEED)
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per input row, fp the fingerprint as a signed long."""
 
+    bounded_batches(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             fp = np.array([fingerprint(t) for t in x["text"]], dtype=np.uint64).view(np.int64)
@@ -113,6 +115,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     )
     pairs = left.join(tiles, ["hi", "lo", "part"]).select("left", "fps")
 
+    bounded_batches(distinct.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for a, b in zip(x["left"], x["fps"]):
