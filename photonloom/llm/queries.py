@@ -11,10 +11,11 @@ from photonloom.llm.packing import op7_packing
 from photonloom.llm.pii import op1_pii
 from photonloom.llm.quality import op10_quality
 from photonloom.llm.simhash import op9_simhash
+from photonloom.llm.urls import op3_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op9_simhash": op9_simhash, "op10_quality": op10_quality, "op7_packing": op7_packing, "op5_langid": op5_langid}
+    return {"op1_pii": op1_pii, "op9_simhash": op9_simhash, "op10_quality": op10_quality, "op7_packing": op7_packing, "op5_langid": op5_langid, "op3_urls": op3_urls}
 
 
 def oracle_sql() -> dict[str, str]:
