@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from photonloom.llm.langid import op5_langid
+from photonloom.llm.media import op2_media
 from photonloom.llm.mixing import OP4_SQL, op4_mixing
 from photonloom.llm.packing import op7_packing
 from photonloom.llm.pii import op1_pii
@@ -17,7 +18,7 @@ from photonloom.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op9_simhash": op9_simhash, "op10_quality": op10_quality, "op7_packing": op7_packing, "op5_langid": op5_langid, "op3_urls": op3_urls, "op4_mixing": op4_mixing, "op8_warc": op8_warc}
+    return {"op1_pii": op1_pii, "op9_simhash": op9_simhash, "op10_quality": op10_quality, "op7_packing": op7_packing, "op5_langid": op5_langid, "op2_media": op2_media, "op3_urls": op3_urls, "op4_mixing": op4_mixing, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
