@@ -13,12 +13,13 @@ from photonloom.llm.packing import op7_packing
 from photonloom.llm.pii import op1_pii
 from photonloom.llm.quality import op10_quality
 from photonloom.llm.simhash import op9_simhash
+from photonloom.llm.substring import op6_substring
 from photonloom.llm.urls import op3_urls
 from photonloom.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op9_simhash": op9_simhash, "op10_quality": op10_quality, "op7_packing": op7_packing, "op5_langid": op5_langid, "op2_media": op2_media, "op3_urls": op3_urls, "op4_mixing": op4_mixing, "op8_warc": op8_warc}
+    return {"op1_pii": op1_pii, "op9_simhash": op9_simhash, "op10_quality": op10_quality, "op7_packing": op7_packing, "op5_langid": op5_langid, "op2_media": op2_media, "op3_urls": op3_urls, "op4_mixing": op4_mixing, "op6_substring": op6_substring, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
