@@ -126,4 +126,12 @@ select coalesce(l.id, r.id) id, '/k' path, case when r.id is null then 'left_onl
     + " ".join(f"when regexp_matches({dict(name='name', folder='folder', both=chr(39).join(['folder || ', '/', ' || name']))[on]}, '{pattern}') then {str(used).lower()}" for on, pattern, _, used in FILE_RULES)
     + " else false end used from s",
     "json_profile": "select array_to_string(json_keys(props), ',') keys, count(*) n, count(distinct json_extract_string(props, '$.k')) kinds from events group by all",
+    "processed_target": f"""with recursive {E}, b as (select event_id, fly, rn, n, t, value, value b from e where rn = 1
+  union all select e.event_id, e.fly, e.rn, e.n, e.t, e.value, b.b + (1 - exp(-((e.t - b.t) / 1e6 / {TAU}))) * (e.value - b.b) from b join e on e.fly = b.fly and e.rn = b.rn + 1),
+s as (select event_id, fly, value - b y, {SPLIT} split from b where rn >= {HISTORY}), c as (select fly, avg(y) m, stddev_pop(y) sd from s where split = 'train' group by fly)
+select event_id, split, round((y - m) / case when sd < 1e-8 then 1 else sd end, 6) z from s join c using (fly)""",
+    "replay_check": "with a as (select event_id, value from events where event_id < 400), c as (select event_id, value + case when event_id % 50 = 0 then 1.0 else 0.0 end v from a where event_id >= 10) select event_id, round(value, 6) saved, round(v, 6) current from a full join c using (event_id) where coalesce(abs(value - v) > 1e-9 + 1e-9 * abs(v), true)",
+    "validation_rollup": f"with {EVIDENCE}, k as (select *, row_number() over (order by p, roi) o, count(*) over () m from ev), q as (select r, late_r, round(least(1.0, min(p * m / o) over (order by o rows between current row and unbounded following)), 6) q from k) select count(*) responses, count(*) filter (r > 0.05) validation_selected, count(*) filter (r > 0.05 and late_r > 0) selected_test_positive, count(*) filter (late_r > 0 and q < 0.9) test_positive_and_q from q",
+    "dataset_diagnostics": f"""with {E}, s as (select *, {SPLIT} split from e), o as (select fly, user_id, count(*) c, stddev_pop(value) filter (split = 'train') sd, avg(value) filter (rn > 0.75 * n) - avg(value) filter (rn <= 0.25 * n) drift from s group by all)
+select fly, sum(c)::bigint observations, count(*) rois, round(median(sd), 6) median_train_sd, round(median(drift), 6) median_drift from o group by fly""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from photonloom.functions.exprs import dot, micros, pearson, r_squared
 from photonloom.operators import baseline, clocks, compare, history, linear, scores, significance, splits
 from photonloom.operators.moments import moments
+from photonloom.plans import experiments
 from photonloom.plans.events import HISTORY, embedding_sessions, events, plain_events, session_moments, table, with_lags
 from photonloom.sources import inventory as inventories
 from photonloom.sources import stimulus
@@ -489,3 +490,37 @@ def rank_one_energy(spark, sf):
     sessions = session_moments(spark, sf)
     energy = linear.sta(sessions, 4).extra["rank_one_energy"]
     return spark.createDataFrame([(s, r, float(v)) for s, own in energy.items() for r, v in enumerate(own)], "session string, response int, energy_fraction double")
+
+
+@query
+def experiment_matrix(spark, sf):
+    rows = experiments.numbered(embedding_sessions(spark, sf).drop("rn", "split"), ["session"], "vec_id")
+    folds = experiments.fold_labels(4, {"fold_a": (0.5, 0.7, 1.0), "fold_b": (0.4, 0.6, 0.8)})
+    return experiments.run_matrix(rows, folds, 4, ("individual_ridge", "individual_pixel", "shared_kernel"))
+
+
+@query
+def processed_target(spark, sf):
+    e = events(spark, sf).select("event_id", "fly", "t", "value", "rn", "n")
+    z = experiments.process_target(e, ["fly"], "ema_residual", HISTORY, splits.blocked(HISTORY, True), tau_seconds=TAU)
+    return z.select("event_id", "split", r6("z"))
+
+
+@query
+def replay_check(spark, sf):
+    e = events(spark, sf).where("event_id < 400").select("event_id", F.col("value").alias("predicted"))
+    current = e.where("event_id >= 10").withColumn("predicted", F.col("predicted") + F.when(F.col("event_id") % 50 == 0, 1.0).otherwise(0.0))
+    return experiments.replay_differences(e, current, ["event_id"]).select("event_id", r6("saved"), r6("current"))
+
+
+@query
+def validation_rollup(spark, sf):
+    rows = significance.benjamini_hochberg(_evidence(spark, sf)).select(F.col("r").alias("validation_r2"), F.col("late_r").alias("test_r2"), F.round("q", 6).alias("q"))
+    return experiments.validation_rollup(rows, 0.05, 0.9)
+
+
+@query
+def dataset_diagnostics(spark, sf):
+    e = events(spark, sf).withColumn("split", splits.blocked(HISTORY, True))
+    out = experiments.dataset_diagnostics(e, ["fly"], "user_id")
+    return out.select("fly", "observations", "rois", r6("median_train_sd"), r6("median_drift"))

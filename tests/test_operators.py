@@ -126,3 +126,38 @@ def test_registry_and_comparisons(spark):
     assert compare.old_keys_preserved(a, b) and not compare.old_keys_preserved(b, a)
     assert compare.regression_class(compare.json_diff(a, b)) == "READABILITY_ONLY"
     assert compare.regression_class(compare.json_diff(a, js((1, '{"x": 1.1}')))) == "NUMERICAL_CHANGE"
+
+
+def test_replay_and_guard(spark):
+    from photonloom.plans import experiments
+
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, predicted double")
+    experiments.verify_replay(a, a.withColumn("predicted", F.col("predicted") + 1e-10), ["k"])
+    with pytest.raises(ValueError, match="differ"):
+        experiments.verify_replay(a, a.withColumn("predicted", F.col("predicted") + 1e-3), ["k"])
+    with pytest.raises(ValueError, match="differ"):
+        experiments.verify_replay(a, a.where("k = 1"), ["k"])
+    assert len(experiments.guarded(a, 2)) == 2
+    with pytest.raises(MemoryError):
+        experiments.guarded(a, 1)
+
+
+def test_target_is_transformed_before_it_is_cut(spark):
+    from photonloom.plans.experiments import process_target
+
+    df = trace(spark, [1, 9, 4, 7, 2, 8, 5, 6])
+    z = process_target(df, ["fly"], "ema_residual", 3, F.when(F.col("rn") <= 6, "train").otherwise("test"), tau_seconds=5.0)
+    whole = {r.event_id: r.response for r in baseline.candidate(df, ["fly"], "ema_residual", 5.0).collect()}
+    got = {r.event_id: r.response for r in z.collect()}
+    assert got == {k: v for k, v in whole.items() if k >= 2}
+    train = [r.z for r in z.where("split = 'train'").collect()]
+    assert abs(np.mean(train)) < 1e-9 and abs(np.std(train) - 1) < 1e-9
+
+
+def test_confidence_and_selection(spark):
+    rows = [("a", 0.01, 0.3, True, 0.2, 0.01, 0.1), ("b", 0.01, 0.3, False, 0.2, 0.01, 0.1), ("c", None, None, None, 0.2, None, 0.1), ("d", 0.5, 0.3, True, -0.1, 0.5, 0.1)]
+    df = spark.createDataFrame(rows, "k string, q double, r double, s boolean, a double, p double, l double")
+    got = {r.k: r.c for r in df.select("k", scores.confidence("q", "r", "s", "a", "p", "l").alias("c")).collect()}
+    assert got == {"a": "HIGH_CONFIDENCE_RESPONSIVE", "b": "MODERATE_CONFIDENCE", "c": "LOW_CONFIDENCE", "d": "NO_DETECTABLE_RF"}
+    chosen = df.select("k", scores.responsive("p", "r", "a", "l").alias("c")).collect()
+    assert {r.k: r.c for r in chosen} == {"a": True, "b": True, "c": False, "d": False}
