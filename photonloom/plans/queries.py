@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from photonloom.functions.exprs import dot, micros, pearson, r_squared
 from photonloom.operators import baseline, clocks, compare, history, linear, scores, significance, splits
 from photonloom.operators.moments import moments
-from photonloom.plans import experiments
+from photonloom.plans import experiments, reliability
 from photonloom.plans.events import HISTORY, embedding_sessions, events, plain_events, session_moments, table, with_lags
 from photonloom.sources import inventory as inventories
 from photonloom.sources import stimulus
@@ -524,3 +524,25 @@ def dataset_diagnostics(spark, sf):
     e = events(spark, sf).withColumn("split", splits.blocked(HISTORY, True))
     out = experiments.dataset_diagnostics(e, ["fly"], "user_id")
     return out.select("fly", "observations", "rois", r6("median_train_sd"), r6("median_drift"))
+
+
+def _numbered_vectors(spark, sf):
+    rows = experiments.numbered(embedding_sessions(spark, sf).drop("rn"), ["session"], "vec_id")
+    return rows.withColumn("x", F.transform("x", lambda v: v.cast("double")))
+
+
+@query
+def training_reliability(spark, sf):
+    return reliability.training_reliability(_numbered_vectors(spark, sf), 4, 4, exclusion=5)
+
+
+@query
+def field_quality(spark, sf):
+    pixel = spark.createDataFrame([("s0", 1, 0.01, 0.4, True)], "session string, response int, q double, test_r double, stable boolean")
+    return reliability.field_quality(_numbered_vectors(spark, sf), pixel, 4, 4, exclusion=5)
+
+
+@query
+def common_mode_control(spark, sf):
+    pixels = spark.createDataFrame([(f"s{s}", r, [5 + 16 * b for b in range(4)]) for s in range(5) for r in range(2)], "session string, response int, columns array<int>")
+    return reliability.common_mode(_numbered_vectors(spark, sf), pixels)

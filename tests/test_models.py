@@ -93,3 +93,20 @@ def test_moments_of_rows_in_spark(spark):
 def test_rank_one():
     assert linear.rank_one(np.outer([1.0, 2, 3], [1.0, -1]).ravel(), 3)[1] == pytest.approx(1.0)
     assert linear.rank_one(np.eye(3).ravel(), 3)[1] < 0.5
+
+
+def test_reliability_finds_the_driven_response(spark):
+    from photonloom.plans.reliability import common_mode, field_quality, training_reliability
+
+    x, y = DATA["s0"]["rows"]
+    split = lambda k: "train" if k < 450 else "validation" if k < 630 else "test"
+    rows = spark.createDataFrame([("s0", k + 1, len(x), split(k), x[k].tolist(), y[k].tolist()) for k in range(len(x))], "session string, rn long, n long, split string, x array<double>, y array<double>")
+    got = {r.response: r for r in training_reliability(rows, BINS, 5).collect()}
+    assert got[0].train_defined_responsive and (got[0].peak_row, got[0].peak_col) == (1, 2) and got[0].validation_pixel_stable
+    assert got[0].train_projection_r > got[1].train_projection_r
+    pixel = spark.createDataFrame([("s0", 0, 0.01, 0.8, True)], "session string, response int, q double, test_r double, stable boolean")
+    quality = {r.response: r.rf_confidence for r in field_quality(rows, pixel, BINS, 5).collect()}
+    assert quality[0] == "HIGH_CONFIDENCE_RESPONSIVE" and quality[1] in ("LOW_CONFIDENCE", "NO_DETECTABLE_RF")
+    columns = spark.createDataFrame([("s0", r, [7 + PIXELS * b for b in range(BINS)]) for r in (0, 1)], "session string, response int, columns array<int>")
+    control = {r.response: r for r in common_mode(rows, columns, 0.01).collect()}
+    assert control[0].pixel_plus_peer_test_r2 > 0.8 and control[0].incremental_r2 > 0.7 and abs(control[1].incremental_r2) < 0.1
