@@ -117,11 +117,11 @@ _DOT = r"(?:dot|point|punkt|punto)"
 _RUN = re.compile(rf"(?<!\w)(?:(?:plus[\x20-]+|\+[\x20]?))?(?:{_WORD}|[0-9]+)(?:(?:[\x20,-]{{1,2}}(?:{_DOT}[\x20,-]{{1,2}})?){_WORD}|[\x20-][0-9]+)*(?!\w)", re.I)
 _RUN_HINT = re.compile(rf"(?<!\w){_WORD}[\x20,-]{{1,2}}(?:{_DOT}[\x20,-]{{1,2}})?{_WORD}(?!\w)", re.I)
 _RUN_PART = re.compile(rf"({_WORD})(?!\w)|([0-9]+)|({_DOT})(?!\w)|(plus(?!\w)|\+)", re.I)
-# brackets make at and dot words certain; bare ones count only as name at host dot end
+# brackets make at and dot words certain; bare ones count only as name at (or @) host dot end
 _OPEN, _SHUT = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT_DOT = re.compile(
     rf"(?P<at>{_OPEN}(?:at|@){_SHUT})|(?P<dot>{_OPEN}(?:{_DOT}|\.){_SHUT})"
-    r"|(?<![A-Za-z0-9._%+-])(?P<bare>[A-Za-z0-9_%+-]+(?:(?:\.|[\x20]+dot[\x20]+)[A-Za-z0-9_%+-]+)?[\x20]+at[\x20]+[A-Za-z0-9-]+(?:[\x20]+dot[\x20]+[A-Za-z0-9-]+)+)",
+    r"|(?<![A-Za-z0-9._%+-])(?P<bare>[A-Za-z0-9_%+-]+(?:(?:\.|[\x20]+dot[\x20]+)[A-Za-z0-9_%+-]+){0,4}(?:[\x20]+at[\x20]+|@)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,4}(?:[\x20]+dot[\x20]+[A-Za-z0-9-]+)+)",
     re.I,
 )
 _AT_DOT_HINT = re.compile(rf"[\[({{<]\s*(?:at|@|{_DOT}|\.)\s*[\])}}>]|[\x20]dot[\x20]", re.I)

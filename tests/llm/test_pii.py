@@ -37,7 +37,7 @@ def test_base_equals_the_plain_patterns():
 
 
 def test_long_runs_stay_linear():
-    for text in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "a@" * 50_000, "+1" * 50_000, "five " * 40_000, "at " * 50_000):
+    for text in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "a@" * 50_000, "+1" * 50_000, "five " * 40_000, "at " * 50_000, "a dot " * 20_000, "a at b dot " * 20_000):
         detect(text)
 
 
@@ -46,6 +46,8 @@ def test_long_runs_stay_linear():
     [
         ("write to jane.doe (at) mail [dot] example (dot) com today", "email", "jane.doe (at) mail [dot] example (dot) com"),
         ("ask bob at example dot org now", "email", "bob at example dot org"),
+        ("ask j dot r dot doe at mail.example dot co dot uk now", "email", "j dot r dot doe at mail.example dot co dot uk"),
+        ("ask jane@example dot com now", "email", "jane@example dot com"),
         ("ask bоb@exаmple.com now", "email", "bоb@exаmple.com"),
         ("ask ｂｏｂ＠example．com now", "email", "ｂｏｂ＠example．com"),
         ("bo​b@exam​ple.com.", "email", "bo​b@exam​ple.com"),
