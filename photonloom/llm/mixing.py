@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from photonloom.llm.common import staged, table, word_count
 
 LEVELS = ("domain", "lang", "source")
-ROWS_PER_BUCKET = 10_000
+ROWS_PER_BUCKET = 1_000
 Weights = Mapping[str, Mapping[str, float]]
 
 
