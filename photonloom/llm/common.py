@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_BYTES, so that long texts don't fill a Python worker."""
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batch size to most, so that long texts don't fill a Python worker."""
     kept = spark.conf.get(_BATCH).removesuffix("b")
-    if not kept.isdigit() or int(kept) > BATCH_BYTES:
-        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+    if not kept.isdigit() or int(kept) > most:
+        spark.conf.set(_BATCH, f"{most}b")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

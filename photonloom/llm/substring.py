@@ -6,13 +6,12 @@
    smallest key owns them. Runs of owned windows are the confirmed passages.
 3. Passages are dealt to shards of bounded size. Each shard compiles an Aho-Corasick automaton over
    words with pyahocorasick: of each passage every 18th 18-word block, as any 35 words hold one whole.
-4. All documents stream through all shards where they hold repeated anchors. Each hit is extended word
-   by word against the passage; 35 equal words or more are an occurrence.
+4. All documents stream through all shards where they hold repeated anchors. The windows around a hit
+   are looked up among the hashes of the shard's windows; those found are occurrences.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -20,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +27,12 @@ from photonloom.llm.common import bounded_batches, shared_path, staged
 
 WINDOW, GRAM = 35, 16
 BLOCK = (WINDOW + 1) // 2
+#: Words of a block that the automaton reads; the windows around a hit are then looked up.
+HEAD = 8
+#: Words of the documents that one pass over the shards holds.
+HELD_WORDS = 2_000_000
 #: Words of the passages in one automaton, and bits of the fixed-size filters, which only save work.
-SHARD_WORDS, FILTER_BITS = 600_000, 1 << 26
+SHARD_WORDS, FILTER_BITS = 400_000, 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -189,49 +193,74 @@ def passages(texts: DataFrame, windows: DataFrame, n_bits: int) -> DataFrame:
 
 
 class Automaton:
-    """The blocks of a shard's passages, and where each block lies in them."""
+    """The heads of a shard's blocks, and the hashes of all windows of its passages, sorted."""
 
     def __init__(self, phrases: list[bytes]):
         import ahocorasick
 
-        self.phrases, self.places = [p.split() for p in phrases], []
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k, p in enumerate(phrases):
-            ids = word_ids(Words(p.decode("utf-8")))
-            for at in range(0, len(ids) - BLOCK + 1, BLOCK):
-                block = tuple(ids[at : at + BLOCK])
-                if block in self.found:
-                    self.places[self.found.get(block)].append((k, at))
-                else:
-                    self.found.add_word(block, len(self.places))
-                    self.places.append([(k, at)])
-        if self.places:
+        self.found, windows = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), [np.empty(0, np.uint64)]
+        for phrase in phrases:
+            words = Words(phrase.decode("utf-8"))
+            code = coded(words)
+            windows.append(words.hashes(WINDOW))
+            for at in range(0, words.n - BLOCK + 1, BLOCK):
+                self.found.add_word(code[2 * at : 2 * (at + HEAD)])
+        self.windows = np.unique(np.concatenate(windows))
+        if len(self.windows):
             self.found.make_automaton()
 
-    def cover(self, words: list[bytes], ids: list[int], segments: list[tuple[int, int]], covered: np.ndarray) -> None:
-        if not self.places:
+    def mark(self, batch: Batch, known: np.ndarray) -> None:
+        """Set known for the windows of the batch that occur in the passages.
+
+        A window holds a block whole, so it begins less than a block before a hit. All such windows are
+        looked up by their hash.
+        """
+        if not len(self.windows):
             return
-        for a, b in segments:
-            done: dict[tuple[int, int], int] = {}
-            for last, value in self.found.iter(tuple(ids[a:b])):
-                at = a + last - BLOCK + 1
-                for k, offset in self.places[value]:
-                    if done.get((k, at - offset), 0) > at:
-                        continue
-                    phrase, left, right = self.phrases[k], 0, 0
-                    while left < min(at, offset) and words[at - left - 1] == phrase[offset - left - 1]:
-                        left += 1
-                    most = min(len(words) - at, len(phrase) - offset)
-                    while right < most and words[at + right] == phrase[offset + right]:
-                        right += 1
-                    done[k, at - offset] = at + max(right, 1)
-                    if right >= BLOCK and left + right >= WINDOW:
-                        covered[at - left : at + right] = True
-
-
-def word_ids(words: Words) -> list[int]:
-    """A 31-bit number for each word; equal numbers are compared as words later."""
-    return (words.hashes(1) >> np.uint64(33)).tolist()
+        last = np.fromiter((at for at, _ in self.found.iter(batch.code)), np.int64)
+        k = np.searchsorted(batch.place, last, "right") - 1
+        starts = ((last - batch.place[k] + 1) // 2 - HEAD)[:, None] - np.arange(BLOCK)
+        inside = (starts >= 0) & (starts < batch.size[k][:, None])
+        near = np.zeros(len(known), bool)
+        near[(starts + batch.window[k][:, None])[inside]] = True
+        at = np.flatnonzero(near & ~known)
+        place = np.minimum(np.searchsorted(self.windows, batch.hashes[at]), len(self.windows) - 1)
+        known[at[self.windows[place] == batch.hashes[at]]] = True
+
+
+class Batch:
+    """The segments of several texts as one code, and where each lies in it and among all windows' hashes."""
+
+    def __init__(self, held: list[tuple[np.ndarray, list[tuple[int, str]]]]):
+        self.hashes = np.concatenate([h for h, _ in held])
+        self.ends = np.cumsum([len(h) for h, _ in held])
+        codes, window = [], []
+        for end, (h, segments) in zip(self.ends.tolist(), held):
+            codes += [code for _, code in segments]
+            window += [end - len(h) + first for first, _ in segments]
+        length = np.array([len(c) for c in codes])
+        # one character that no word has lies between segments
+        self.code = "\xff".join(codes)
+        self.place = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
+        self.window, self.size = np.array(window), length // 2 - WINDOW + 1
+
+
+def covered_by(known: np.ndarray, n: int) -> np.ndarray:
+    """Words that lie in a known window."""
+    steps = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(known)
+    steps[at] += 1
+    np.add.at(steps, at + WINDOW, -1)
+    return np.cumsum(steps)[:n] > 0
+
+
+def coded(words: Words) -> str:
+    """Two characters for each word, from two alphabets of 64; windows near equal codes are looked up later.
+
+    Small alphabets keep the automaton's nodes narrow, and two of them keep hits on word boundaries.
+    """
+    h = words.hashes(1)
+    return np.stack([h & np.uint64(63), ((h >> np.uint64(6)) & np.uint64(63)) + np.uint64(64)], axis=1).astype(np.uint8).tobytes().decode("latin-1")
 
 
 def compile_shards(phrases: DataFrame, folder: str, shard_words: int) -> list[str]:
@@ -247,11 +276,11 @@ def compile_shards(phrases: DataFrame, folder: str, shard_words: int) -> list[st
         fs.create_dir(path, recursive=True)
         name = f"shard-{x['shard'].iloc[0]}-{TaskContext.get().taskAttemptId()}"
         with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
-            out.write(zlib.compress(pickle.dumps(Automaton(sorted(x["phrase"]))), 1))
+            out.write(zstandard.compress(pickle.dumps(Automaton(sorted(x["phrase"]))), 1))
         return pd.DataFrame({"shard": x["shard"].iloc[:1], "file": [name]})
 
     dealt = phrases.select("phrase", F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard"))
-    return [r.file for r in dealt.groupBy("shard").applyInPandas(run, "shard long, file string").orderBy("shard").collect()]
+    return [r.file for r in sorted(dealt.groupBy("shard").applyInPandas(run, "shard long, file string").collect())]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -261,7 +290,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     have no words; texts of fewer than 35 words stay; of equal longer texts nothing stays. Null and
     repeated ids keep their rows; other columns are ignored; an empty table gives an empty result.
     """
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, 8 << 20)
     texts = df.select(F.col(text_col).alias("text"))
     anchors = filter_of(repeated_anchors(texts), "h", filter_bits)
     phrases = staged(passages(texts, recurring_windows(texts, anchors), filter_bits), "phrases")
@@ -274,21 +303,41 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         fs, path = FileSystem.from_uri(folder)
         known = Filter(shared.value)
+        held: list[tuple] = []
+
+        def swept() -> pd.DataFrame:
+            batch = Batch([d[2:] for d in held])
+            marks = np.zeros(len(batch.hashes), bool)
+            for file in files:
+                with fs.open_input_stream(f"{path}/{file}", compression=None) as f:
+                    pickle.loads(zstandard.decompress(f.read())).mark(batch, marks)
+            rows = []
+            for (i, words, *_), own in zip(held, np.split(marks, batch.ends[:-1])):
+                covered = covered_by(own, len(words))
+                rows.append((i, len(words), int(covered.sum()), [w for w, c in zip(words, covered.tolist()) if not c]))
+            return frame(rows)
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            ids = pd.Series([None if pd.isna(r[0]) else int(r[0]) if isinstance(r[0], float) else r[0] for r in rows], dtype=object)
+            return pd.DataFrame({"id": ids, "n_words": [r[1] for r in rows], "n_removed": [r[2] for r in rows], "kept": [b" ".join(r[3]).decode("utf-8") for r in rows]})
+
         for x in batches:
-            docs = []
-            for text in x["text"]:
+            apart = []
+            for i, text in zip(x["id"], x["text"]):
                 words = Words(text)
                 h, at = words.anchors()
-                found = runs(known.has(h)[at]) if len(at) else []
-                docs.append((words.words, word_ids(words) if found else None, [(a, b + WINDOW - 1) for a, b in found], np.zeros(words.n, bool)))
-            for file in files if any(d[2] for d in docs) else ():
-                with fs.open_input_stream(f"{path}/{file}", compression=None) as f:
-                    shard = pickle.loads(zlib.decompress(f.read()))
-                for words, ids, segments, covered in docs:
-                    if segments:
-                        shard.cover(words, ids, segments, covered)
-            kept = [b" ".join([w for w, c in zip(d[0], d[3].tolist()) if not c]).decode("utf-8") for d in docs]
-            yield pd.DataFrame({"id": x["id"].to_numpy(), "n_words": [len(d[0]) for d in docs], "n_removed": [int(d[3].sum()) for d in docs], "kept": kept})
+                if found := runs(known.has(h)[at]) if len(at) else []:
+                    code = coded(words)
+                    held.append((i, words.words, words.hashes(WINDOW), [(a, code[2 * a : 2 * (b + WINDOW - 1)]) for a, b in found]))
+                else:
+                    apart.append((i, words.n, 0, words.words))
+            if apart:
+                yield frame(apart)
+            if sum(len(d[1]) for d in held) >= HELD_WORDS:
+                yield swept()
+                held.clear()
+        if held:
+            yield swept()
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_words long, n_removed long, kept string")

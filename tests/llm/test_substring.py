@@ -55,6 +55,15 @@ def test_equals_brute_force(spark, shard_words, bits):
     assert WINDOW == 35
 
 
+def test_periodic_passages_stay_cheap(spark):
+    import time
+
+    rows = [(k, " ".join((["the"] * (200 + k)) + [f"end{k}"] + (["of", "and"] * (100 + k)))) for k in range(60)]
+    start = time.time()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == plain([t for _, t in rows]) and time.time() - start < 60
+
+
 def test_ids_and_empty(spark):
     long = " ".join(f"v{k}" for k in range(50))
     df = spark.createDataFrame([(None, long), (3, long), (3, long), (4, None)], "doc_id long, text string")
