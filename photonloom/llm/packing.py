@@ -1,9 +1,14 @@
 """Lexical retrieval packing: documents into token windows, filled with BM25 neighbours.
 
 Whole windows of a document stand alone; what is left of it is a fragment. Fragments are dealt to
-shards of bounded size, each with an inverted index. A seed fragment retrieves the unused fragments
-that score highest by BM25; they fill its window whole while they fit, and the best one left is cut to
-fill the rest, so that at most one window of a shard is padded.
+shards of like content, each with an inverted index. A seed fragment retrieves the unused fragments of
+its shard that score highest by BM25; they fill its window whole while they fit, and the best one left
+is cut to fill the rest, so that at most one window of a shard is padded.
+
+Shards are the leaves of a tree over sketches: a fragment's BM25 term weights, projected to DIMS numbers.
+The tree is grown on a sample, each node cut across its main direction where the sample is thinnest, down
+to leaves of about SHARD_ROWS; what can't be cut, such as many copies of a text, is dealt to several shards.
+Neighbours in another leaf are not found.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ WINDOW = 1024
 END_ID = 0
 SHARD_ROWS = 512
 K1, B = 1.2, 0.75
+#: Numbers of a sketch, and sampled fragments for each shard that the tree is to have.
+DIMS, SAMPLE_PER_SHARD = 64, 16
 _SPECIAL = "<|endoftext|>"
 _CACHED = 300_000
 #: A space before another white-space character, where pieces can't be cut by str.split.
@@ -128,6 +135,95 @@ def document_frequencies(parts: DataFrame) -> np.ndarray:
     return out
 
 
+_signs: list[np.ndarray] = []
+
+
+def sketches(tails: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = K1, b: float = B) -> np.ndarray:
+    """Unit vectors whose inner products stand for the fragments' likeness in BM25 term weights."""
+    if not _signs:
+        _signs.append(np.random.default_rng(7).standard_normal((1 << 16, DIMS), np.float32))
+    out = np.zeros((len(tails), DIMS), np.float32)
+    for k, t in enumerate(tails):
+        term, tf = np.unique(t, return_counts=True)
+        out[k] = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(t) / max(mean, 1.0)))).astype(np.float32) @ _signs[0][term]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+class Tree:
+    """Leaves of like sketches, grown on a sample; each node has the share of all shards that its sample has of all rows."""
+
+    def __init__(self, sample: np.ndarray, shards: int):
+        self.axis, self.cut, self.child, self.first, self.pieces = [], [], [], [], []
+        todo, begun = [(sample, shards, None)], 0
+        while todo:
+            x, own, parent = todo.pop()
+            node = len(self.axis)
+            if parent:
+                self.child[parent[0]][parent[1]] = node
+            found = self._cut(x) if own > 1 else None
+            axis, cut = found or (np.zeros(sample.shape[1], np.float32), 0.0)
+            self.axis.append(axis), self.cut.append(cut), self.child.append([node, node]), self.first.append(begun), self.pieces.append(own)
+            if found:
+                right = x @ axis > cut
+                more = min(own - 1, max(1, round(own * float(right.mean()))))
+                todo += [(x[right], more, (node, 1)), (x[~right], own - more, (node, 0))]
+            else:
+                begun += own
+        self.axis, self.cut, self.child, self.first, self.pieces = np.array(self.axis), np.array(self.cut, np.float32), np.array(self.child), np.array(self.first), np.array(self.pieces)
+
+    @staticmethod
+    def _cut(x: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """The main direction and the widest gap in the middle of it, None for rows that are all alike."""
+        centred = x - x.mean(axis=0)
+        axis = np.linalg.eigh(centred.T @ centred)[1][:, -1].astype(np.float32)
+        at = np.sort(x @ axis)
+        low, high = max(1, int(len(at) * 0.3)), max(2, int(np.ceil(len(at) * 0.7)))
+        for a, b in ((low, high), (1, len(at))):
+            gap = at[a:b] - at[a - 1 : b - 1]
+            if len(x) > 1 and len(gap) and gap.max() > 1e-4:
+                k = a + int(np.argmax(gap))
+                return axis, float((at[k - 1] + at[k]) / 2)
+        return None
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        while True:
+            right = np.einsum("nd,nd->n", x, self.axis[node]) > self.cut[node]
+            then = self.child[node, right.astype(np.int64)]
+            if (then == node).all():
+                return node
+            node = then
+
+    def shards(self, x: np.ndarray, uid: np.ndarray) -> np.ndarray:
+        leaf = self.leaves(x)
+        mixed = (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[leaf] + mixed.astype(np.int64) % self.pieces[leaf]
+
+
+def by_content(parts: DataFrame, rows: int, shards: int, idf: np.ndarray) -> DataFrame:
+    """parts with a shard of like fragments each."""
+    mean = parts.agg(F.avg(F.length("tail") / 2)).first()[0] or 0.0
+    every = max(1, rows // (shards * SAMPLE_PER_SHARD))
+    idf = idf.astype(np.float32)
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            own = sketches([np.frombuffer(t, "<u2") for t in x["tail"]], idf, mean)
+            yield pd.DataFrame({"sketch": [v.tobytes() for v in own.astype(np.float16)]})
+
+    sample = parts.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).select("tail").mapInPandas(sketched, "sketch binary").toPandas()["sketch"]
+    known = np.frombuffer(b"".join(sample), np.float16).reshape(-1, DIMS).astype(np.float32)
+    tree = Tree(known, shards)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            own = sketches([np.frombuffer(t, "<u2") for t in x["tail"]], idf, mean)
+            yield x.assign(shard=tree.shards(own, x["uid"].to_numpy()))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
+    return parts.mapInPandas(dealt, f"{kinds}, shard long")
+
+
 class Index:
     """BM25 scores of a shard's fragments by an inverted index over token ids."""
 
@@ -212,7 +308,7 @@ def pack(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_co
         return pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
+    dealt = by_content(parts, rows, shards, idf) if shards > 1 else parts.withColumn("shard", F.lit(0).cast("long"))
     out = dealt.groupBy("shard").applyInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 

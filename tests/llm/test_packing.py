@@ -59,3 +59,33 @@ def test_pieces(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).toPandas().empty
+
+
+def test_neighbours_share_a_shard(spark):
+    """Each fragment's three best BM25 neighbours, by brute force over all fragments, are mostly in its own shard."""
+    rng = random.Random(8)
+    topics = [["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)] for _ in range(40)]
+    rows = [(k, " ".join(rng.choice(topics[k % 40]) if rng.random() < 0.7 else rng.choice(["the", "and", "of", "to", "in"]) for _ in range(60))) for k in range(1600)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_rows=128).toPandas()
+    assert got.length.sum() == sum(len(ids_of(t)) for _, t in rows)
+    shard = dict(zip(got.doc_id, got.sequence_id // 2**32))
+    sizes = np.bincount([shard[k] for k, _ in rows])
+    assert (sizes > 0).sum() > 8 and sizes.max() <= 3 * 128
+    tails = [ids_of(t).astype("<u2") for _, t in rows]
+    df_of = np.zeros(1 << 16)
+    for t in tails:
+        df_of[np.unique(t)] += 1
+    index = Index(tails, np.log1p((len(rows) - df_of + 0.5) / (df_of + 0.5)))
+    found = []
+    for k in range(0, 1600, 7):
+        scores = index.scores(k)
+        scores[k] = -1
+        found += [shard[j] == shard[k] for j in np.argsort(-scores, kind="stable")[:3]]
+    assert np.mean(found) > 0.6
+
+
+def test_many_copies_fill_several_shards(spark):
+    rows = [(k, "one text that is always the same") for k in range(700)] + [(k, f"other {k} text {k * k}") for k in range(700, 900)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=64).toPandas()
+    check(got, rows)
+    assert got[got.doc_id < 700].groupby(got.sequence_id // 2**32).doc_id.nunique().max() <= 3 * 64
