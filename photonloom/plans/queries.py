@@ -412,6 +412,14 @@ def registry_upsert(spark, sf):
     return compare.upsert(rows(0, 99, "old"), rows(50, 149, "new"), fields=("experiment_id", "model", "fold", "notes"))
 
 
+@query
+def registry_upsert_all(spark, sf):
+    """All events as old rows, and all with ids shifted by 50 as new ones."""
+    e = table(spark, sf, "events")
+    rows = lambda shift, note: e.select((F.col("event_id") + shift).alias("experiment_id"), F.col("event_type").alias("model"), F.lit(note).alias("notes"))
+    return compare.upsert(rows(0, "old"), rows(50, "new"), fields=("experiment_id", "model", "fold", "notes"))
+
+
 @query
 def json_diff(spark, sf):
     e = table(spark, sf, "events")
@@ -420,6 +428,15 @@ def json_diff(spark, sf):
     return compare.json_diff(left, right).select("id", "path", "status", "delta")
 
 
+@query
+def json_diff_all(spark, sf):
+    """All events against all events with ids shifted by one."""
+    e = table(spark, sf, "events")
+    left = compare.flattened(e, "event_id", "props")
+    right = compare.flattened(e.withColumn("event_id", F.col("event_id") - 1), "event_id", "props")
+    return compare.json_diff(left, right).select("id", "path", "status", "delta")
+
+
 @query
 def csv_profile(spark, sf):
     rows = table(spark, sf, "lineitem").select(*[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_returnflag", "l_quantity")])
@@ -513,6 +530,14 @@ def replay_check(spark, sf):
     return experiments.replay_differences(e, current, ["event_id"]).select("event_id", r6("saved"), r6("current"))
 
 
+@query
+def replay_check_all(spark, sf):
+    """All events against a replay with some values changed and the first ten events missing."""
+    e = events(spark, sf).select("event_id", F.col("value").alias("predicted"))
+    current = e.where("event_id >= 10").withColumn("predicted", F.col("predicted") + F.when(F.col("event_id") % 50 == 0, 1.0).otherwise(0.0))
+    return experiments.replay_differences(e, current, ["event_id"]).select("event_id", r6("saved"), r6("current"))
+
+
 @query
 def validation_rollup(spark, sf):
     rows = significance.benjamini_hochberg(_evidence(spark, sf)).select(F.col("r").alias("validation_r2"), F.col("late_r").alias("test_r2"), F.round("q", 6).alias("q"))
