@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Wide rows come to Python workers in Arrow batches of at most about so many bytes.
-BATCH_BYTES = 16 << 20
+#: A key with over 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys at any scale.
+HOT_SHARE = 4096
 _own: dict[str, str] = {}
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset, a local master gets a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Only where it is unset and the master is local, so that this machine is the only one, it is a temporary
+    folder, with a warning; on a cluster an unset folder is an error.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or _own.get(spark.sparkContext.applicationId)
     if not found:
-        if not conf.get("spark.master", "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='photonloom-')}"
+        warnings.warn(f"spark.checkpoint.dir is unset: this local run keeps its tables in {found}", stacklevel=2)
     return found.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
-    """Lower the session's Arrow batch size to most, so that long texts don't fill a Python worker."""
-    kept = spark.conf.get(_BATCH).removesuffix("b")
-    if not kept.isdigit() or int(kept) > most:
-        spark.conf.set(_BATCH, f"{most}b")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/photonloom/{name}-{uuid.uuid4().hex}"
 
@@ -45,6 +44,44 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_text(df: DataFrame, id_col: str) -> Column:
+    """The id as a string, for Python workers: pandas would turn whole numbers beside a null into floating-point ones."""
+    return F.col(f"`{id_col}`").cast("string")
+
+
+def as_id(df: DataFrame, id_col: str, name: str = "id") -> Column:
+    """Back from as_text() to the type that id_col has in df."""
+    return F.col(name).cast(df.schema[id_col].dataType)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column of that name, in whatever case, is taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
+def hot_keys(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Rows of counts, a table of keys and their numbers of rows, with over 1 / HOT_SHARE of all rows."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first().n
+    return counts.where(F.col(n) * HOT_SHARE > total)
+
+
+def join_split(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """big left join small by key, for a small that has each key once and rows of a few hundred bytes.
+
+    Rows of big with a hot key stay where they are and meet their row by broadcast, of fewer than HOT_SHARE
+    rows; the others are dealt by key, and none of these has more than 1 / HOT_SHARE of all rows.
+    """
+    if hot.isEmpty():
+        return big.join(small, key, "left")
+    own = F.broadcast(staged(small.join(F.broadcast(hot.select(key)), key, "left_semi"), "hot"))
+    marked = big.join(F.broadcast(staged(hot.select(key), "hotkeys").withColumn("_hot", F.lit(True))), key, "left")
+    near = marked.where("_hot").drop("_hot").join(own, key, "left")
+    far = marked.where("_hot is null").drop("_hot").join(small, key, "left")
+    return near.unionByName(far)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

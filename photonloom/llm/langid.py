@@ -11,18 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import bounded_batches
+from photonloom.llm.common import free_name, staged
 
 UNKNOWN = "und"
-#: Expected number of sampled documents for each language, at most so many; also the bound on languages.
-SAMPLE_PER_LANG, MAX_LANGS = 1500, 500
+#: Expected number of sampled documents for each language, and of all together: these bound what the fit reads.
+SAMPLE_PER_LANG, SAMPLE_ROWS = 1500, 60_000
 BITS = 17
 ORDERS = (1, 2, 3)
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.5, 2
-_BLOCK = 1 << 18
+_BLOCK, _ROWS = 1 << 18, 1 << 14
 _SPACE = np.uint32(32)
 # letters stay, all else becomes a space; texts are lower-cased before
 _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
@@ -61,15 +61,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """weights[feature, language] already hold the inverse document frequencies."""
+    """weights[row[feature], language] already hold the inverse document frequencies; features without a weight share row 0."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.langs, self.weights, self.bias, self.temperature = langs, weights, bias, temperature
+    def __init__(self, langs: list[str], used: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float):
+        self.langs, self.used, self.bias, self.temperature = langs, used, bias, temperature
+        self.row = np.zeros(1 << BITS, np.int32)
+        self.row[used] = np.arange(1, len(used) + 1)
+        self.weights = np.concatenate([np.zeros((1, len(langs)), np.float32), weights.reshape(len(used), len(langs))])
 
     def logits(self, text: str | None) -> np.ndarray:
         total, n = np.zeros(len(self.langs)), 0
         for c in codes(text):
-            total += self.weights[c].sum(axis=0, dtype=np.float64)
+            rows = self.row[c]
+            for k in range(0, len(rows), _ROWS):
+                total += self.weights[rows[k : k + _ROWS]].sum(axis=0, dtype=np.float64)
             n += len(c)
         return self.bias + total / max(n, 1)
 
@@ -89,26 +94,31 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
-    """Every fifth document calibrates, the others train; each is learned whole and as a short piece of itself."""
+    """Every fifth document calibrates, the others train; each is learned whole and as a short piece of itself.
+
+    Only features that the sample has are kept, so memory follows the sample and its languages.
+    """
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.empty(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), 1.0)
     rng = np.random.default_rng(seed)
-    x, y, held = [], [], []
+    x, y, held, number = [], [], [], {n: k for k, n in enumerate(names)}
     for k, (text, lang) in enumerate(zip(texts, langs)):
         words = text.split()
         start = int(rng.integers(0, max(1, len(words) - 5)))
         piece = " ".join(words[start : start + int(rng.integers(2, 12))])
         for form in (text, piece):
             x.append(_features(form))
-            y.append(names.index(lang))
+            y.append(number[lang])
             held.append(k % 5 == 4 and len(texts) >= 50)
-    df = np.zeros(1 << BITS)
+    seen = np.unique(np.concatenate([f for f, _ in x]))
+    x = [(np.searchsorted(seen, f), tf) for f, tf in x]
+    df = np.zeros(len(seen))
     for (f, _), h in zip(x, held):
         if not h:
             df[f] += 1
     idf = np.log((1 + len(x)) / (1 + df)).astype(np.float64)
-    z, n = np.zeros((1 << BITS, len(names))), np.zeros((1 << BITS, len(names)))
+    z, n = np.zeros((len(seen), len(names)), np.float32), np.zeros((len(seen), len(names)), np.float32)
     bias, bias_n = np.zeros(len(names)), np.zeros(len(names))
 
     def active(f: np.ndarray) -> np.ndarray:
@@ -130,13 +140,15 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             n[f] += g * g
             bias_n += error * error
             bias -= 0.1 * error / np.sqrt(1.0 + bias_n)
-    weights = active(np.arange(1 << BITS))
+    weights = np.concatenate([active(np.arange(k, min(k + 4096, len(seen)))) for k in range(0, len(seen), 4096)])
+    del z, n
     at = [k for k in range(len(x)) if held[k]] or range(len(x))
     logits = np.array([bias + (x[k][1] * idf[x[k][0]]) @ weights[x[k][0]] for k in at])
     truth = np.array([y[k] for k in at])
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
     temperature = min(np.geomspace(0.05, 20, 121), key=loss)
-    return Model(names, (100.0 * idf[:, None] * weights).astype(np.float32), bias, float(temperature))
+    kept = weights.any(axis=1)
+    return Model(names, seen[kept], (100.0 * idf[kept, None] * weights[kept]).astype(np.float32), bias, float(temperature))
 
 
 def labelled(id_col: str = "doc_id", lang_col: str = "lang") -> Column:
@@ -148,49 +160,52 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """A model of the rows that labelled() allows, from a seeded hash sample of about per_lang documents a language."""
-    rows = df.where(labelled(id_col, lang_col)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    shares = {r.lang: min(1.0, per_lang / r["count"]) for r in counts.collect()}
-    if not shares:
-        return fit([], [])
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
-    # one condition for each language, as there are few, so the sample is taken while scanning
-    wanted = F.lit(False)
-    for lang, share in shares.items():
-        wanted = wanted | ((F.col("lang") == lang) & (place < share))
-    bounded_batches(df.sparkSession)
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model of all languages in the rows that labelled() allows, fitted on a seeded hash sample of them.
+
+    The sample has about per_lang documents of each language, fewer where there are so many languages that
+    this would exceed sample_rows in all. It is fitted in one task; memory grows with the languages and
+    with the features that the sample has. Rows with a null id are never held out. Without a labelled row
+    the model has no language.
+    """
+    rows = df.where(labelled(id_col, lang_col)).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    counts = staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    each = F.least(F.lit(per_lang), F.ceil(F.lit(sample_rows) / F.count("*").over(Window.partitionBy(F.lit(1)))))
+    # one row for each language, as the model itself has
+    shares = F.broadcast(counts.select("lang", F.least(F.lit(1.0), each / F.col("n")).alias("share")))
+    place = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
 
     def learn(x: pd.DataFrame) -> pd.DataFrame:
         x = x[x["text"].map(has_letter).astype(bool)].sort_values(["id", "text"], ignore_index=True)
         m = fit(x["text"].tolist(), x["lang"].tolist())
-        used = np.flatnonzero(m.weights.any(axis=1)) if m.langs else np.empty(0, np.int64)
-        return pd.DataFrame({"langs": [m.langs], "used": [used.astype("<u4").tobytes()], "weights": [m.weights[used].tobytes()], "bias": [m.bias.tobytes()], "temperature": [m.temperature]})
+        return pd.DataFrame({"langs": [m.langs], "used": [m.used.astype("<u4").tobytes()], "weights": [m.weights[1:].tobytes()], "bias": [m.bias.tobytes()], "temperature": [m.temperature]})
 
-    sample = rows.where(wanted).withColumn("all", F.lit(1))
+    sample = rows.join(shares, "lang").where(place < F.col("share")).select("id", "lang", "text", F.lit(1).alias("all"))
     found = sample.groupBy("all").applyInPandas(learn, "langs array<string>, used binary, weights binary, bias binary, temperature double").first()
     if found is None:
         return fit([], [])
-    langs = list(found.langs)
-    weights = np.zeros((1 << BITS, len(langs)), np.float32)
-    weights[np.frombuffer(found.used, "<u4")] = np.frombuffer(found.weights, np.float32).reshape(-1, len(langs))
-    return Model(langs, weights, np.frombuffer(found.bias, np.float64), found.temperature)
+    return Model(list(found.langs), np.frombuffer(found.used, "<u4").astype(np.int64), np.frombuffer(found.weights, np.float32), np.frombuffer(found.bias, np.float64), found.temperature)
+
 
+def with_language(df: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df with the predicted language and its calibrated probability, in columns called as into says.
 
-def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score. Null texts and texts without a letter get `und` and score 0."""
-    bounded_batches(df.sparkSession)
-    # bounded: 2^17 features by MAX_LANGS languages at most, of which unused ones are zero
+    All columns of df stay; where one has a name of into, the new column's name gets underscores before it.
+    Null texts and texts without a letter get `und` and score 0; very long texts are read whole, in blocks;
+    repeated rows each keep their row; an empty table gives an empty result.
+    """
+    # as large as the languages and the features with a weight, as the model is
     shared = df.sparkSession.sparkContext.broadcast(model)
+    lang, score = (free_name(c, df.columns) for c in into)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for x in batches:
-            yield pd.DataFrame([own.predict(t) for t in x], columns=["lang_pred", "score"])
+            yield pd.DataFrame([own.predict(t) for t in x], columns=["lang", "score"])
 
-    found = F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col))
-    return df.withColumn("_found", found).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")], "_found.lang_pred", "_found.score")
+    both = free_name("found", df.columns)
+    found = df.withColumn(both, F.pandas_udf(run, "lang string, score double")(F.col(f"`{text_col}`")))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"{both}.lang").alias(lang), F.col(f"{both}.score").alias(score))
 
 
 def calibration_error(rows: DataFrame, truth: str = "lang", bins: int = 10) -> float:

@@ -2,8 +2,7 @@
 
 Base detectors run on the text itself. Texts with a disguise then pass through a transducer that
 rewrites homoglyphs, spelled digits and at/dot words, keeps where each piece came from, and runs the
-same detectors on the rewritten text. Their spans are mapped back and added where no base span of the
-kind is.
+same detectors on the rewritten text. Their spans are mapped back and added, base spans stay.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import bounded_batches
+from photonloom.llm.common import as_id, as_text
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -112,20 +111,25 @@ GLYPHS = _glyphs()
 _WORDS = ("zero oh null cero zéro", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve")
 SPELLED = {w: str(d) for d, row in enumerate(_WORDS) for w in row.split()}
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-_DOT = r"(?:dot|point|punkt|punto)"
-# four spelled digits at least, with digits, and dot and plus words, among them
-_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\x20-]+|\+[\x20]?))?(?:{_WORD}|[0-9]+)(?:(?:[\x20,-]{{1,2}}(?:{_DOT}[\x20,-]{{1,2}})?){_WORD}|[\x20-][0-9]+)*(?!\w)", re.I)
-_RUN_HINT = re.compile(rf"(?<!\w){_WORD}[\x20,-]{{1,2}}(?:{_DOT}[\x20,-]{{1,2}})?{_WORD}(?!\w)", re.I)
-_RUN_PART = re.compile(rf"({_WORD})(?!\w)|([0-9]+)|({_DOT})(?!\w)|(plus(?!\w)|\+)", re.I)
+_DOT = r"(?:dot|point|punkt|punto)(?!\w)"
+_WORD += r"(?!\w)"
+# digits and spelled digits with white space, commas or hyphens of any length between them, and dot and plus words among them
+_GAP = r"[\s,-]++"
+_RUN = re.compile(rf"(?<!\w)(?:plus(?!\w)[\s-]++|\+\s*+)?(?:{_WORD}|[0-9]++)(?:{_GAP}(?:{_DOT}{_GAP})?{_WORD}|(?:{_GAP}{_DOT}{_GAP}|[\s-]++)[0-9]++)*+", re.I)
+_RUN_PART = re.compile(rf"({_WORD})|([0-9]+)|({_DOT})|(plus(?!\w)|\+)", re.I)
+_DOTS = frozenset("dot point punkt punto".split())
+_RUN_WORDS, _ALL_WORDS = _DOTS | SPELLED.keys(), re.compile(r"\w+")
+#: Fewest digits of a run that is rewritten, as an IP address has four, and fewest spelled ones where no dot word is.
+_LEAST_DIGITS, _LEAST_SPELLED = 4, 2
 # brackets make at and dot words certain; bare ones count only as name at (or @) host dot end
-_OPEN, _SHUT = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
-_AT_DOT = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_SHUT})|(?P<dot>{_OPEN}(?:{_DOT}|\.){_SHUT})"
-    r"|(?<![A-Za-z0-9._%+-])(?P<bare>[A-Za-z0-9_%+-]+(?:(?:\.|[\x20]+dot[\x20]+)[A-Za-z0-9_%+-]+){0,4}(?:[\x20]+at[\x20]+|@)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,4}(?:[\x20]+dot[\x20]+[A-Za-z0-9-]+)+)",
-    re.I,
-)
-_AT_DOT_HINT = re.compile(rf"[\[({{<]\s*(?:at|@|{_DOT}|\.)\s*[\])}}>]|[\x20]dot[\x20]", re.I)
-_BARE_WORD = re.compile(r"[\x20]+(at|dot)[\x20]+", re.I)
+_OPEN, _SHUT = r"(?<!\s)\s*+[\[({<]\s*+", r"\s*+[\])}>]\s*+"
+_BRACKET_HINT = re.compile(rf"[\[({{<]\s*+(?:at|@|{_DOT}|\.)\s*+[\])}}>]", re.I)
+_BRACKETED = re.compile(rf"(?P<at>{_OPEN}(?:at|@){_SHUT})|(?P<dot>{_OPEN}(?:{_DOT}|\.){_SHUT})", re.I)
+_BARE_AT = re.compile(r"(?<!\x20)\x20++at\x20++|@", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20++dot\x20++)[A-Za-z0-9-]++)++", re.I)
+# the name before an at word, read backwards
+_EMAN = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.|\x20++tod\x20++)[A-Za-z0-9_%+-]++)*+", re.I)
+_BARE_WORD = re.compile(r"\x20++(at|dot)\x20++", re.I)
 
 Edit = tuple[int, int, str]
 
@@ -163,14 +167,28 @@ def _glyph_edits(text: str) -> list[Edit]:
     return [(m.start(), m.end(), GLYPHS[m.group()]) for m in re.finditer("[" + "".join(map(re.escape, found)) + "]", text)] if found else []
 
 
+def _may_hold_run(text: str) -> bool:
+    """Whether a spelled digit or a dot word is next to a spelled digit, number or dot word: a quick test of all words."""
+    words = _ALL_WORDS.findall(text.lower())
+    for k, w in enumerate(words):
+        if w in _RUN_WORDS and any(n in _RUN_WORDS or n.isdecimal() for n in (*words[k - 1 : k], *words[k + 1 : k + 2])):
+            return True
+    return False
+
+
 def _digit_edits(text: str) -> list[Edit]:
     """An edit for each part of a run, so that a span may begin or end within it."""
     edits = []
-    if SPELLED.keys().isdisjoint(text.lower().replace("-", " ").replace(",", " ").split()) or not _RUN_HINT.search(text):
+    if not _may_hold_run(text):
         return edits
     for run in _RUN.finditer(text):
+        if run.group().isdecimal():
+            continue
         parts = list(_RUN_PART.finditer(text, run.start(), run.end()))
-        if sum(bool(p[1]) for p in parts) < 4:
+        spelled, digits = sum(bool(p[1]) for p in parts), "".join(SPELLED[p[1].lower()] if p[1] else p[2] or "" for p in parts)
+        # a single spelled digit is often a word beside a number, but not where it completes a card number
+        enough = spelled >= _LEAST_SPELLED or any(p[3] for p in parts) or spelled and 16 <= len(digits) <= 19 and _luhn(digits)
+        if not enough or len(digits) < _LEAST_DIGITS:
             continue
         for k, p in enumerate(parts):
             new = SPELLED[p[1].lower()] if p[1] else p[2] or ("." if p[3] else "+")
@@ -180,20 +198,29 @@ def _digit_edits(text: str) -> list[Edit]:
     return edits
 
 
-def _at_dot_edits(text: str) -> list[Edit]:
-    edits = []
-    for m in _AT_DOT.finditer(text) if _AT_DOT_HINT.search(text) else ():
-        if m["bare"]:
-            edits += [(w.start(), w.end(), "@" if w[1].lower() == "at" else ".") for w in _BARE_WORD.finditer(text, m.start(), m.end())]
-        else:
-            edits.append((m.start(), m.end(), "@" if m["at"] else "."))
+def _bare_edits(text: str) -> list[Edit]:
+    """Edits of name at host dot end, with any number of dots on both sides. One pass: each name and host is read once."""
+    if " dot " not in text.lower():
+        return []
+    edits, done, reverse = [], 0, text[::-1]
+    for at in _BARE_AT.finditer(text):
+        name = _EMAN.match(reverse, len(text) - at.start(), len(text) - done) if at.start() > done else None
+        host = _HOST.match(text, at.end()) if name else None
+        # beside a plain at sign a dot word in the name is enough
+        if host and " dot " in text[len(text) - name.end() if at.group() == "@" else host.start() : host.end()].lower():
+            edits += [(w.start(), w.end(), "@" if w[1].lower() == "at" else ".") for w in _BARE_WORD.finditer(text, len(text) - name.end(), host.end())]
+            done = host.end()
     return edits
 
 
+def _at_dot_edits(text: str) -> list[Edit]:
+    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)] if _BRACKET_HINT.search(text) else []
+
+
 def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans of the source that only the rewritten text shows and that no base span of the kind touches."""
+    """Spans of the source that only the rewritten text shows. One that lies within a base span of its kind adds nothing and is left out."""
     steps, now = [], text
-    for rule in (_glyph_edits, _digit_edits, _at_dot_edits):
+    for rule in (_glyph_edits, _digit_edits, _at_dot_edits, _bare_edits):
         if edits := rule(now):
             steps.append(Rewritten(now, edits))
             now = steps[-1].text
@@ -205,9 +232,9 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
         for start, end in spans:
             for step in reversed(steps):
                 start, end = step.back(start, end)
-            while k < len(own) and own[k][1] <= start:
+            while k < len(own) and own[k][1] < end:
                 k += 1
-            if k == len(own) or own[k][0] >= end:
+            if k == len(own) or own[k][0] > start:
                 added[kind].append((start, end))
     return added
 
@@ -226,11 +253,12 @@ def _listed(spans: dict[str, list[Span]]) -> str:
 def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_<kind> of the base spans, base and spans as kind:start:end lists, n_added).
 
-    Offsets count code points, the end is exclusive. Null and empty texts have no span; repeated rows
-    and null ids each keep their row; other columns are ignored; an empty table gives an empty result.
+    Offsets count code points, the end is exclusive. An added span may hold or overlap base spans of its kind;
+    of equal or longer base spans only these are listed. Null and empty texts have no span; very long texts
+    are read whole, in time proportional to their length; repeated rows and null ids each keep their row;
+    other columns, of whatever name, are ignored; an empty table gives an empty result.
     """
 
-    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -241,13 +269,13 @@ def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows.append((*(len(base[k]) for k in KINDS), _listed(base), _listed(both), sum(map(len, added.values()))))
             yield pd.concat([x[["id"]], pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base", "spans", "n_added"], index=x.index)], axis=1)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string, n_added long"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, out)
+    out = f"id string, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string, n_added long"
+    found = df.select(as_text(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, out)
+    return found.withColumn("id", as_id(df, id_col))
 
 
 def masked(text: str | None) -> str | None:
-    """The text with each span replaced by its kind in brackets; overlapping spans become one."""
+    """The text with each span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     if text is None:
         return None
     base, added = detect(text)
@@ -261,9 +289,8 @@ def masked(text: str | None) -> str | None:
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with its text column masked; rows and other columns stay."""
+    """df with its text column masked; rows, null texts and other columns, of whatever name, stay as they are."""
 
-    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:

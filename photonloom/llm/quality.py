@@ -1,21 +1,25 @@
 """Robust multivariate outliers: minimum-covariance-determinant estimates per language and source.
 
-Counting runs inside tasks. The estimates are made by Spark over all rows: each concentration step
-takes the rows within a group's distance quantile and sums their first and second moments, so no
-group is ever gathered. A group with few rows uses its language's estimate, then that of all rows.
+Counting runs inside tasks. The estimates are made by Spark over all rows, for all rows together, for each
+language and for each language and source. A concentration step is one scan: rows are binned by their
+distance, each bin sums its first and second moments, and the bins up to the group's quantile give the
+next estimate, so no group is ever gathered. Steps go on until no group's determinant falls any more;
+of several starts the one with the smallest determinant counts. An estimate is then shrunk towards that
+of the group above it, by PRIOR_ROWS rows, so groups of any size have their own.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import bounded_batches, staged
+from photonloom.llm.common import as_id, as_text, hot_keys, join_split, staged
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -25,10 +29,15 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Least standard deviation of each transformed statistic, as most documents have no symbol or repeat at all.
 FLOORS = (0.08, 0.12, 0.12, 0.25, 0.5)
 D = len(FLOORS)
-#: Share of a group's rows that each concentration step keeps, steps, and the largest distance of a kept document.
-KEEP, STEPS, CUTOFF = 0.75, 3, 6.0
-#: Fewest rows of a group with estimates of its own.
-MIN_ROWS = 200
+#: Share of a group's rows that an estimate is made from, and the largest distance of a kept document.
+KEEP, CUTOFF = 0.5, 6.0
+#: Rows that the estimate of the group above counts as.
+PRIOR_ROWS = 50
+#: Concentration ends when no group's log determinant falls by more than this any more, at the latest after so many steps.
+TOLERANCE, MAX_STEPS = 0.02, 40
+#: Distance bins for each factor of e, and the range of log squared distances that they cover.
+BINS, LOW, HIGH = 32, -12.0, 16.0
+STARTS = ("medians", "moments", "above")
 #: Median of chi-square with D degrees of freedom.
 CHI2_MEDIAN = 4.3515
 
@@ -57,15 +66,15 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 
 def with_statistics(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    bounded_batches(df.sparkSession)
+    """The columns keep, as strings, and the counts of each row's text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             counts = np.array([statistics(t) for t in x["_text"]], np.int64).reshape(len(x), len(COUNTS))
             yield x.drop(columns="_text").assign(**{c: counts[:, k] for k, c in enumerate(COUNTS)})
 
-    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, ", ".join(kinds + [f"{c} long" for c in COUNTS]))
+    kinds = [f"`{c}` string" for c in keep]
+    return df.select(*[as_text(df, c).alias(c) for c in keep], F.col(text_col).alias("_text")).mapInPandas(run, ", ".join(kinds + [f"{c} long" for c in COUNTS]))
 
 
 def transformed() -> list[Column]:
@@ -74,78 +83,153 @@ def transformed() -> list[Column]:
     return [F.log((F.col("word_chars") + 250.0) / (F.col("n_words") + 50.0)), share("n_symbols", "word_chars", 100.0), share("n_upper", "word_chars", 100.0), share("n_repeat_words", "n_words", 30.0), share("n_dup_lines", "n_lines", 3.0)]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance from centre m0.. under precision p00.. of the joined group."""
-    diff = [F.col(f"z{i}") - F.col(f"m{i}") for i in range(D)]
-    return sum((diff[i] * diff[j] * F.col(f"p{i}{j}") * (1.0 if i == j else 2.0) for i in range(D) for j in range(i, D)), F.lit(0.0))
+_PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+_PARAMS = [f"m{i}" for i in range(D)] + [f"p{i}{j}" for i, j in _PAIRS]
 
 
-_PARAMS = "grp string, " + ", ".join([f"m{i} double" for i in range(D)] + [f"p{i}{j} double" for i in range(D) for j in range(i, D)])
+def _distance() -> Column:
+    """Squared Mahalanobis distance of z0.. from centre m0.. under precision p00.. of the joined group."""
+    diff = [F.col(f"z{i}") - F.col(f"m{i}") for i in range(D)]
+    return F.greatest(F.lit(0.0), sum((diff[i] * diff[j] * F.col(f"p{i}{j}") * (1.0 if i == j else 2.0) for i, j in _PAIRS), F.lit(0.0)))
 
 
-def _row(grp: str, centre: np.ndarray, cov: np.ndarray) -> dict:
-    precision = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
-    return {"grp": grp} | {f"m{i}": centre[i] for i in range(D)} | {f"p{i}{j}": precision[i, j] for i in range(D) for j in range(i, D)}
+def precision_row(centre: np.ndarray, cov: np.ndarray) -> dict:
+    """Columns m and p of an estimate, with floors so that constant statistics leave it regular, and its log determinant."""
+    cov = cov + np.diag(np.square(FLOORS))
+    inverse = np.linalg.inv(cov)
+    return {f"m{i}": centre[i] for i in range(D)} | {f"p{i}{j}": inverse[i, j] for i, j in _PAIRS} | {"logdet": float(np.linalg.slogdet(cov)[1])}
 
 
-def _from_medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        yield pd.DataFrame([_row(r.grp, np.array(r.med), np.diag(np.square(1.4826 * np.array(r.mad)))) for r in x.itertuples()], columns=[c.split()[0] for c in _PARAMS.split(", ")])
+def concentrated(bins: list, keep: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """(rows, centre, covariance, median squared distance) of the nearest keep of a group's rows.
 
+    bins are (bin, n, sums, products) by rising distance; the rows of the last bin count in proportion.
+    """
+    total = sum(b[1] for b in bins)
+    want, n, sums, products, middle, seen = keep * total, 0.0, np.zeros(D), np.zeros(len(_PAIRS)), None, 0.0
+    for at, size, s, q in sorted(bins, key=lambda b: b[0]):
+        part = min(1.0, (want - n) / size)
+        if part > 0:
+            n, sums, products = n + part * size, sums + part * np.array(s), products + part * np.array(q)
+        seen += size
+        if middle is None and 2 * seen >= total:
+            middle = float(np.exp((at + 0.5) / BINS + LOW))
+    centre, cov = sums / n, np.empty((D, D))
+    for k, (i, j) in enumerate(_PAIRS):
+        cov[i, j] = cov[j, i] = products[k] / n - centre[i] * centre[j]
+    return float(total), centre, cov, middle
+
+
+_STEP = "grp string, start string, n double, " + ", ".join(f"{c} double" for c in [*_PARAMS, "logdet", "middle"]) + ", centre array<double>, cov array<double>"
+
+
+def _step(keep: float) -> Callable:
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        n, centre, cov, middle = concentrated(list(zip(x["bin"], x["n"], x["sums"], x["products"])), keep)
+        row = {"grp": x["grp"].iat[0], "start": x["start"].iat[0], "n": n, "middle": middle, "centre": centre.tolist(), "cov": cov.ravel().tolist()}
+        return pd.DataFrame([row | precision_row(centre, cov)])[[c.split()[0] for c in _STEP.split(", ")]]
+
+    return run
+
+
+def binned(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """(grp, start, bin, n, sums, products) of rows (grp, z0..) under params: at most BINS * (HIGH - LOW) rows for each estimate."""
+    near = rows.join(params.select("grp", "start", *_PARAMS), "grp")
+    at = F.floor((F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.log(_distance() + 1e-9))) - LOW) * BINS)
+    near = near.select("grp", "start", at.alias("bin"), *[f"z{i}" for i in range(D)])
+    sums = [F.sum(f"z{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i, j in _PAIRS]
+    out = near.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *sums)
+    return out.select("grp", "start", "bin", "n", F.array(*[f"s{i}" for i in range(D)]).alias("sums"), F.array(*[f"s{i}{j}" for i, j in _PAIRS]).alias("products"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Params of each grp by each way to start: medians and their deviations, all moments, and the moments of all rows."""
+    z, array = [f"z{i}" for i in range(D)], lambda cols: F.array(*cols)
+    moments = [F.avg(c).alias(f"a{c}") for c in z] + [F.stddev_pop(c).alias(f"d{c}") for c in z]
+    own = staged(rows.groupBy("grp").agg(array([F.percentile_approx(c, 0.5) for c in z]).alias("med"), *moments), "middles")
+    spread = rows.join(own.select("grp", "med"), "grp").groupBy("grp").agg(array([F.percentile_approx(F.abs(F.col(c) - F.col("med")[i]), 0.5) * 1.4826 for i, c in enumerate(z)]).alias("scale"))
+    means, scales = array([f"a{c}" for c in z]), array([f"d{c}" for c in z])
+    every = own.where("grp = '[]'").select(means.alias("means"), scales.alias("scales"))
+    wide = own.join(spread, "grp").join(F.broadcast(every))  # one row, of all rows
+    start = F.array(*[F.struct(F.lit(n).alias("start"), c.alias("c"), d.alias("d")) for n, c, d in zip(STARTS, (F.col("med"), means, F.col("means")), (F.col("scale"), scales, F.col("scales")))])
 
-def _from_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        rows = []
-        for r in x.to_dict("records"):
-            centre = np.array([r[f"s{i}"] for i in range(D)]) / r["n"]
-            cov = np.empty((D, D))
-            for i in range(D):
-                for j in range(i, D):
-                    cov[i, j] = cov[j, i] = r[f"s{i}{j}"] / r["n"] - centre[i] * centre[j]
-            rows.append(_row(r["grp"], centre, cov * max(1.0, r["middle"] / CHI2_MEDIAN)))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARAMS.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame([{"grp": r.grp, "start": r.start} | precision_row(np.array(r.c), np.diag(np.square(r.d))) for r in x.itertuples()], columns=["grp", "start", *_PARAMS])
 
+    return wide.select("grp", F.explode(start).alias("s")).select("grp", "s.*").mapInPandas(run, "grp string, start string, " + ", ".join(f"{c} double" for c in _PARAMS))
 
-def estimates(rows: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
-    """Centre and precision of each grp over its columns z0.., by concentration steps from medians."""
-    med = rows.groupBy("grp").agg(*[F.percentile_approx(f"z{i}", 0.5).alias(f"c{i}") for i in range(D)])
-    spread = rows.join(staged(med, "medians"), "grp").groupBy("grp").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(D)], *[F.percentile_approx(F.abs(F.col(f"z{i}") - F.col(f"c{i}")), 0.5).alias(f"d{i}") for i in range(D)])
-    start = spread.select("grp", F.array(*[f"c{i}" for i in range(D)]).alias("med"), F.array(*[f"d{i}" for i in range(D)]).alias("mad"))
-    params = staged(start.mapInPandas(_from_medians, _PARAMS), "params")
-    for _ in range(steps):
-        far = rows.join(params, "grp").select("grp", *[f"z{i}" for i in range(D)], _distance().alias("far"))
-        limits = far.groupBy("grp").agg(F.percentile_approx("far", keep).alias("limit"), F.percentile_approx("far", 0.5).alias("middle"))
-        near = far.join(staged(limits, "limits"), "grp").where("far <= limit")
-        moments = near.groupBy("grp").agg(F.count("*").alias("n"), F.first("middle").alias("middle"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i in range(D) for j in range(i, D)])
-        params = staged(moments.mapInPandas(_from_moments, _PARAMS), "params")
-    return params
 
+def estimates(rows: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(grp, n, centre, cov, middle): of each grp, the concentrated estimate with the smallest determinant.
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
+    Each start goes on until its determinant falls no more; settled ones are not scanned again.
+    """
+    going, done, before = staged(starts(rows), "params"), [], None
+    for k in range(MAX_STEPS):
+        found = staged(binned(rows, going).groupBy("grp", "start").applyInPandas(_step(keep), _STEP), "step")
+        old = F.lit(None).cast("double") if before is None else F.col("before")
+        joined = found if before is None else found.join(before, ["grp", "start"], "left")
+        settled = F.coalesce(old - F.col("logdet") <= TOLERANCE, F.lit(False)) if k + 1 < MAX_STEPS else F.lit(True)
+        marked = joined.withColumn("settled", settled)
+        done.append(marked.where("settled").drop("settled", "before"))
+        going = marked.where("not settled").drop("settled", "before")
+        if going.isEmpty():
+            break
+        before = going.select("grp", "start", F.col("logdet").alias("before"))
+    every = functools.reduce(DataFrame.unionByName, done)
+    order = F.struct("logdet", "start")
+    return every.groupBy("grp").agg(*[F.min_by(c, order).alias(c) for c in ("n", "centre", "cov", "middle", "start", "logdet")])
+
+
+def shrunk(own: tuple | None, above: tuple, prior: float = PRIOR_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of a group's (n, centre, cov, middle) and its group above: rows against prior rows."""
+    if own is None:
+        return above
+    n, centre, cov, middle = own
+    w, cov = n / (n + prior), cov * max(1.0, middle / CHI2_MEDIAN)
+    gap = centre - above[0]
+    return w * centre + (1 - w) * above[0], w * cov + (1 - w) * above[1] + w * (1 - w) * np.outer(gap, gap)
+
+
+_FINAL = "grp string, " + ", ".join(f"{c} double" for c in _PARAMS)
+
+
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """One row per input row: the counts, base_failed, distance and kept.
 
-    A null or empty text has no words and fails. Null languages or sources form groups of their own.
-    Repeated rows count as often as they occur. An empty table gives an empty result.
+    A null or empty text has no words and fails; very long texts are counted whole. A null language or source
+    is a group of its own, apart from the empty string. Repeated rows count as often as they occur, and null
+    ids keep their rows. Ties in distance are decided alike, as all rows up to the cutoff are kept. Other
+    columns, of whatever name, are ignored. An empty table gives an empty result.
     """
-    own = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
+    own = df.select(as_text(df, id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     counted = with_statistics(own, "text", ("id", "lang", "source"))
-    counted = staged(counted.select("*", *[z.alias(f"z{i}") for i, z in enumerate(transformed())]), "statistics")
-    by_source = counted.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = by_source.groupBy("lang").agg(F.sum("n").alias("of_lang"))
-    grp = F.when(F.col("n") >= min_rows, F.to_json(F.array("lang", "source"))).when(F.col("of_lang") >= min_rows, F.to_json(F.array("lang"))).otherwise("[]")
-    groups = staged(by_source.join(by_lang, "lang").select("lang", "source", grp.alias("grp")), "groups")
-    # an estimate for a language or for all rows is made from all of its rows, those of large sources too
-    langs = groups.where("grp <> '[]' and grp = to_json(array(lang))").select("lang", "grp").distinct()
-    placed = counted.join(groups, ["lang", "source"])
+    keys = [F.lit("[]"), F.to_json(F.array("lang")), F.to_json(F.array("lang", "source"))]
+    counted = staged(counted.select("*", F.array(*keys).alias("grps"), *[z.alias(f"z{i}") for i, z in enumerate(transformed())]), "statistics")
     z = [f"z{i}" for i in range(D)]
-    parts = placed.where("grp = to_json(array(lang, source))").select("grp", *z)
-    parts = parts.unionByName(counted.join(langs, "lang").select("grp", *z))
-    if not groups.where("grp = '[]'").isEmpty():
-        parts = parts.unionByName(counted.select(F.lit("[]").alias("grp"), *z))
-    params = estimates(parts)
+    found = staged(estimates(counted.select(F.explode("grps").alias("grp"), *z)), "estimates")
+    # each group beside its language's and all rows' estimates
+    column = F.struct("n", "centre", "cov", "middle")
+    leaves = counted.select("grps").distinct().select(F.col("grps")[2].alias("grp"), F.col("grps")[1].alias("of"), F.col("grps")[0].alias("all"))
+    for name, level in (("grp", "own"), ("of", "mid"), ("all", "top")):
+        leaves = leaves.join(found.select(F.col("grp").alias(name), column.alias(level)), name)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = lambda r: (r["n"], np.array(r["centre"]), np.array(r["cov"]).reshape(D, D), r["middle"])
+        for x in batches:
+            out = []
+            for r in x.to_dict("records"):
+                n, centre, cov, middle = of(r["top"])
+                above = shrunk(of(r["mid"]), (centre, cov * max(1.0, middle / CHI2_MEDIAN)))
+                out.append({"grp": r["grp"]} | precision_row(*shrunk(of(r["own"]), above)))
+            yield pd.DataFrame(out, columns=["grp", *_PARAMS])
+
+    params = staged(leaves.select("grp", "own", "mid", "top").mapInPandas(run, _FINAL), "precisions")
+    sizes = found.select("grp", "n").join(params.select("grp"), "grp", "left_semi")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = placed.join(params, "grp").withColumn("distance", F.sqrt(F.greatest(_distance(), F.lit(0.0))))
-    return scored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.col("distance") <= cutoff)).alias("kept"), "distance")
+    scored = join_split(counted.withColumn("grp", F.col("grps")[2]), params, "grp", hot_keys(sizes)).withColumn("distance", F.sqrt(_distance()))
+    return scored.select(as_id(df, id_col).alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.col("distance") <= cutoff)).alias("kept"), "distance")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

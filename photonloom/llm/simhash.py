@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import bounded_batches, staged
+from photonloom.llm.common import as_id, as_text, hot_keys, join_split, staged
 from photonloom.llm.graph import connected_components
 
 RADIUS = 4
@@ -48,15 +48,13 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = SEED)
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per input row, fp the fingerprint as a signed long."""
 
-    bounded_batches(df.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             fp = np.array([fingerprint(t) for t in x["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": x["id"], "fp": fp})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long")
+    found = df.select(as_text(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, fp long")
+    return found.select(as_id(df, id_col).alias("id"), "fp")
 
 
 def as_hex(fp: str | Column) -> Column:
@@ -115,8 +113,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     )
     pairs = left.join(tiles, ["hi", "lo", "part"]).select("left", "fps")
 
-    bounded_batches(distinct.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for a, b in zip(x["left"], x["fps"]):
@@ -130,17 +126,19 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id): the component's smallest id, over links of at most radius bits.
 
-    Null texts and texts without words have fingerprint zero and link like any other. Repeated rows and
-    repeated ids each keep their row. A null id takes part in links but never names a component unless
-    all its ids are null. Other columns of df are ignored. An empty table gives an empty result.
+    Null texts and texts without words have fingerprint zero and link like any other; very long texts are
+    read whole. Repeated rows and repeated ids each keep their row. A null id takes part in links but never
+    names a component unless all its ids are null. Other columns of df, of whatever name, are ignored. An
+    empty table gives an empty result.
     """
     own = staged(fingerprints(df, id_col, text_col), "fingerprints")
-    least = staged(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    least = staged(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     group = connected_components(links(least.select("fp"), radius)).withColumnRenamed("node", "fp")
     marked = staged(least.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "marked")
     names = marked.groupBy("component").agg(F.min("least").alias("component_id"))
     known = marked.join(names, "component").select("fp", "component_id")
-    return own.join(known, "fp").select(F.col("id").alias(id_col), as_hex("fp").alias("fingerprint"), "component_id")
+    # mass copies share one fingerprint
+    return join_split(own, known, "fp", hot_keys(least)).select(F.col("id").alias(id_col), as_hex("fp").alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -2,16 +2,22 @@
 
 1. Anchors (the smallest hash of the 16-word grams in each 35-word window) are counted; equal windows
    have equal anchors, so a window with an anchor found once is found once.
-2. Windows with a repeated anchor are counted; those found twice or more recur, and the text with the
-   smallest key owns them. Runs of owned windows are the confirmed passages.
-3. Passages are dealt to shards of bounded size. Each shard compiles an Aho-Corasick automaton over
-   words with pyahocorasick: of each passage every 18th 18-word block, as any 35 words hold one whole.
-4. All documents stream through all shards where they hold repeated anchors. The windows around a hit
-   are looked up among the hashes of the shard's windows; those found are occurrences.
+2. Windows with a repeated anchor are counted by anchor and window hash; those found twice or more recur,
+   and one of the places where they are owns them. Runs of owned windows are the confirmed passages, each
+   with its words and the one anchor that all its windows share.
+3. Passages are dealt by anchor to shards of bounded size. Each shard compiles an Aho-Corasick automaton
+   of its anchors' words with pyahocorasick.
+4. Documents stream, where they hold a repeated anchor, through the shards of these anchors and no others.
+   The windows around a hit are looked up in the shard and compared with its passage word by word; equal
+   ones are occurrences, and their words are removed.
+
+Which documents hold a repeated anchor is told by a filter of these anchors, sized by their number. Where
+it would be larger than FILTER_LIMIT, joins on the anchors take its place.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -20,19 +26,18 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import bounded_batches, shared_path, staged
+from photonloom.llm.common import as_id, as_text, hot_keys, join_split, shared_path, staged
 
 WINDOW, GRAM = 35, 16
-BLOCK = (WINDOW + 1) // 2
-#: Words of a block that the automaton reads; the windows around a hit are then looked up.
-HEAD = 8
-#: Words of the documents that one pass over the shards holds.
-HELD_WORDS = 2_000_000
-#: Words of the passages in one automaton, and bits of the fixed-size filters, which only save work.
-SHARD_WORDS, FILTER_BITS = 400_000, 1 << 26
+SPAN = WINDOW - GRAM
+#: Words of the passages in one shard, and anchored places that one task streams through it.
+SHARD_WORDS, SLICE_ROWS = 100_000, 20_000
+#: Filter bits for each key, and the most bits that are broadcast.
+FILTER_BITS_A_KEY, FILTER_LIMIT = 16, 1 << 30
+_SEED = 0x5EED
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -40,29 +45,39 @@ _powers: dict[str, np.ndarray] = {}
 
 def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
     if len(_powers.get(name, ())) < n:
-        size = max(1 << 17, 1 << (n - 1).bit_length())
+        size = max(1 << 15, 1 << (n - 1).bit_length())
         _powers[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]), dtype=np.uint64)
     return _powers[name]
 
 
+class _WordHashes(dict):
+    """Hashes of words; those of common lengths are kept, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, _SEED)
+        if len(word) <= 32:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
 class Words:
-    """The words of a text, with hashes of all their k-grams (joined by one space) from one prefix sum."""
-
-    def __init__(self, text: str | None):
-        self.words = (text or "").encode("utf-8", "replace").split()
-        self.n = len(self.words)
-        raw = np.frombuffer(b" ".join(self.words), np.uint8)
-        size = np.fromiter(map(len, self.words), np.int64, self.n)
-        self.stop = np.cumsum(size + 1) - 1
-        self.start = self.stop - size
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _table("up", _BASE, len(raw) + 1)[: len(raw)], out=self.sums[1:])
+    """Words, with hashes of all their k-grams from one prefix sum over the words' own hashes."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.n = words, len(words)
+        self.own = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, self.n)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(self.own * _table("up", _BASE, self.n)[: self.n], out=self.sums[1:])
 
     def hashes(self, k: int) -> np.ndarray:
         if self.n < k:
             return np.empty(0, np.uint64)
-        first = self.start[: self.n - k + 1]
-        h = (self.sums[self.stop[k - 1 :]] - self.sums[first]) * _table("down", _BACK, len(self.sums))[first]
+        h = (self.sums[k:] - self.sums[:-k]) * _table("down", _BACK, self.n)[: self.n - k + 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
@@ -71,7 +86,7 @@ class Words:
         """Gram hashes, and for each window the place of the leftmost smallest one in it."""
         h = self.hashes(GRAM)
         at = np.arange(len(h))
-        size, width = 1, WINDOW - GRAM + 1
+        size, width = 1, SPAN + 1
         if self.n < WINDOW:
             return h, at[:0]
         while size < width:
@@ -81,6 +96,17 @@ class Words:
             size += step
         return h, at
 
+    def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor hash, first window, windows) of each run of windows that share their anchor."""
+        h, at = self.anchors()
+        own = h[at]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else at
+        return own[first], first, np.diff(np.concatenate([first, [len(own)]]))
+
+
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").split()
+
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """Half-open ranges of true values."""
@@ -88,26 +114,43 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def _long(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
+
+
+def _key(text: str | None) -> bytes:
+    return hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _key_hash(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
+
+
 def _spots(h: np.ndarray, n_bits: int) -> list[np.ndarray]:
     step = (h >> np.uint64(21)) | np.uint64(1)
     return [((h + np.uint64(k) * step) % np.uint64(n_bits)).astype(np.int64) for k in range(3)]
 
 
 class Filter:
-    """A Bloom filter over 64-bit hashes: no false negatives, a fixed size."""
+    """A Bloom filter over 64-bit hashes: no false negatives. None stands for a filter that lets all pass."""
 
-    def __init__(self, packed: bytes):
-        self.bits = np.frombuffer(zlib.decompress(packed), np.uint8)
+    def __init__(self, packed: bytes | None):
+        self.bits = None if packed is None else np.frombuffer(zlib.decompress(packed), np.uint8)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
-        for at in _spots(h, 8 * len(self.bits)):
-            out &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        if self.bits is not None:
+            for at in _spots(h, 8 * len(self.bits)):
+                out &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         return out
 
 
-def filter_of(df: DataFrame, col: str, n_bits: int) -> bytes:
-    """Packed filter of a long column. Four tasks return one filter each, of n_bits at most."""
+def filter_of(df: DataFrame, col: Column, limit: int) -> bytes | None:
+    """Packed filter of a long column, sized by its rows and made by as many tasks as df has; None where it would be over limit bits."""
+    n = df.count()
+    n_bits = max(64, 1 << max(0, n * FILTER_BITS_A_KEY - 1).bit_length())
+    if n_bits > limit:
+        return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(n_bits, bool)
@@ -117,156 +160,226 @@ def filter_of(df: DataFrame, col: str, n_bits: int) -> bytes:
         yield pd.DataFrame({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
     out = np.zeros(n_bits // 8, np.uint8)
-    for r in df.select(F.col(col).alias("h")).repartition(4).mapInPandas(run, "bits binary").toLocalIterator():
+    for r in df.select(col.alias("h")).mapInPandas(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return zlib.compress(out.tobytes(), 1)
 
 
-def _long(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def repeated_anchors(texts: DataFrame) -> DataFrame:
+    """(h, n): anchors chosen at two or more places."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for k in range(0, len(x), 1000):
+                found = [np.empty(0, np.uint64)]
+                for text in x["text"].iloc[k : k + 1000]:
+                    h, at = Words(split(text)).anchors()
+                    found.append(h[at[np.concatenate([[True], at[1:] != at[:-1]])]] if len(at) else h[:0])
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pd.DataFrame({"h": _long(h), "n": n})
 
-def _key(text: str | None) -> int:
-    k = xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace"))
-    return k - (1 << 64) if k >> 63 else k
+    return texts.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(h): anchors chosen at two or more places."""
+class _Twice(dict):
+    """Counts keys, and says whether one was seen less than twice before: a repeated text is told by two of it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def new(self, key: bytes) -> bool:
+        n = self[key] = self.get(key, 0) + 1
+        return n <= 2
+
+
+_CONTEXT = "key binary, h long, first int, size int, cid long, words binary"
+
+
+def _context_rows(key: bytes, words: list[bytes], h: np.ndarray, first: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+    """The words of each run of windows; cid names the place."""
+    base = np.frombuffer(key[8:], "<u8") ^ (first.astype(np.uint64) * _BASE)
+    cid = (base ^ (base >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    text = [b" ".join(words[a : a + n + WINDOW - 1]) for a, n in zip(first.tolist(), size.tolist())]
+    return pd.DataFrame({"key": [key] * len(h), "h": _long(np.ascontiguousarray(h)), "first": first.astype(np.int32), "size": size.astype(np.int32), "cid": _long(cid), "words": text})
+
+
+def _packed(frames: Iterator[pd.DataFrame], most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for f in frames:
+        held.append(f)
+        size += 400 * len(f)
+        if size > most:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def contexts(texts: DataFrame, repeated: DataFrame, limit: int) -> DataFrame:
+    """(key, h, first, size, cid, words): runs of windows with a repeated anchor; each text at most twice in a task."""
+    packed = filter_of(repeated, F.col("h"), limit)
+    if packed is not None:
+        shared = texts.sparkSession.sparkContext.broadcast(packed)
+
+        def by_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, seen = Filter(shared.value), _Twice()
+
+            def rows() -> Iterator[pd.DataFrame]:
+                for x in batches:
+                    for text in x["text"]:
+                        words = Words(split(text))
+                        h, first, size = words.anchored()
+                        maybe = known.has(h)
+                        if maybe.any() and seen.new(key := _key(text)):
+                            yield _context_rows(key, words.words, h[maybe], first[maybe], size[maybe])
+
+            yield from _packed(rows())
+
+        return texts.mapInPandas(by_filter, _CONTEXT)
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = _Twice()
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for x in batches:
+                for text in x["text"]:
+                    h, first, size = Words(split(text)).anchored()
+                    if len(h) and seen.new(key := _key(text)):
+                        yield pd.DataFrame({"key": [key] * len(h), "h": _long(h), "first": first.astype(np.int32), "size": size.astype(np.int32)})
+
+        yield from _packed(rows())
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = _Twice()
         for x in batches:
-            found = [np.empty(0, np.uint64)]
-            for text in x["text"]:
-                h, at = Words(text).anchors()
-                found.append(h[at[np.concatenate([[True], at[1:] != at[:-1]])]] if len(at) else h[:0])
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pd.DataFrame({"h": _long(h), "n": n})
+            keys = [_key(t) for t in x["text"]]
+            new = [seen.new(k) for k in keys]
+            yield pd.DataFrame([(k, t) for k, t, n in zip(keys, x["text"], new) if n], columns=["key", "text"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for key, text, places in zip(x["key"], x["text"], x["places"]):
+                h, first, size = (np.array([p[c] for p in places], np.int64) for c in ("h", "first", "size"))
+                yield _context_rows(key, split(text), h.view(np.uint64), first, size)
+
+    found = join_split(texts.mapInPandas(grams, "key binary, h long, first int, size int"), repeated, "h", hot_keys(repeated)).where("n is not null")
+    places = found.groupBy("key").agg(F.collect_set(F.struct("h", "first", "size")).alias("places"))
+    return texts.mapInPandas(keyed, "key binary, text string").join(places, "key").mapInPandas(cut, _CONTEXT)
+
 
-    return texts.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+class Places:
+    """The words of many runs of windows as one list, with the hash and the validity of each window that begins at a word."""
 
+    def __init__(self, texts: list[bytes], size: np.ndarray):
+        self.blob = b" ".join(texts)
+        self.all = Words(self.blob.split())
+        self.begin = np.concatenate([[0], np.cumsum(size + WINDOW - 1)[:-1]]).astype(np.int64) if len(size) else np.empty(0, np.int64)
+        self.hashes = self.all.hashes(WINDOW)
+        steps = np.zeros(self.all.n + 1, np.int64)
+        steps[self.begin] += 1
+        steps[self.begin + size] -= 1
+        self.valid = np.flatnonzero(np.cumsum(steps)[: len(self.hashes)] > 0)
 
-def recurring_windows(texts: DataFrame, anchors: bytes) -> DataFrame:
-    """(w, key): hashes of windows found twice or more, with the smallest key of their texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(anchors)
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word begins and ends in blob."""
+        length = np.fromiter(map(len, self.all.words), np.int64, self.all.n)
+        stop = np.cumsum(length + 1) - 1
+        return stop - length, stop
+
+    def code(self) -> str:
+        """Two characters for each word, from two alphabets of 64, which keep an automaton's nodes narrow and its hits on word boundaries."""
+        h = self.all.own
+        return np.stack([h & np.uint64(63), ((h >> np.uint64(6)) & np.uint64(63)) + np.uint64(64)], axis=1).astype(np.uint8).tobytes().decode("latin-1")
+
+
+def recurring_windows(places: DataFrame) -> DataFrame:
+    """(w, h, cid): windows found twice or more, by anchor and hash, with the place that owns them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Filter(shared.value)
         for x in batches:
-            for k in range(0, len(x), 256):
-                out = []
-                for text in x["text"].iloc[k : k + 256]:
-                    words = Words(text)
-                    h, at = words.anchors()
-                    maybe = known.has(h)[at] if len(at) else np.empty(0, bool)
-                    if maybe.any():
-                        w, n = np.unique(words.hashes(WINDOW)[maybe], return_counts=True)
-                        out.append(pd.DataFrame({"w": _long(w), "key": _key(text), "n": n}))
-                if out:
-                    yield pd.concat(out)
-
-    return texts.mapInPandas(run, "w long, key long, n long").groupBy("w").agg(F.sum("n").alias("n"), F.min("key").alias("key")).where("n > 1").select("w", "key")
-
-
-def passages(texts: DataFrame, windows: DataFrame, n_bits: int) -> DataFrame:
-    """(phrase, n_words): runs of recurring windows in the texts that own them, each once."""
-    owned = staged(windows.groupBy("key").agg(F.collect_list("w").alias("own")), "owned")
-    shared = texts.sparkSession.sparkContext.broadcast(filter_of(owned, "key", n_bits))
-
-    def owners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen = Filter(shared.value), set()
-        for x in batches:
-            keys = np.array([_key(t) for t in x["text"]], np.int64)
-            keep = known.has(keys.view(np.uint64)) & np.array([not (k in seen or seen.add(k)) for k in keys.tolist()], bool)
-            yield pd.DataFrame({"key": keys[keep], "text": x["text"].to_numpy()[keep]})
+            for k in range(0, len(x), 2000):
+                part = x.iloc[k : k + 2000]
+                size = part["size"].to_numpy(np.int64)
+                found = Places(part["words"].tolist(), size)
+                # windows come in the order of the places
+                yield pd.DataFrame({"w": _long(found.hashes[found.valid]), "h": np.repeat(part["h"].to_numpy(), size), "cid": np.repeat(part["cid"].to_numpy(), size)})
+
+    rows = places.select("h", "size", "cid", "words").mapInPandas(run, "w long, h long, cid long")
+    return rows.groupBy("w", "h").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n > 1").select("w", "h", "cid")
+
+
+def passages(places: DataFrame, windows: DataFrame) -> DataFrame:
+    """(h, phrase, n_words): runs of recurring windows at the places that own them, each once."""
+    owned = windows.groupBy("cid", "h").agg(F.collect_set("w").alias("own"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for text, own in zip(x["text"], x["own"]):
-                words = Words(text)
+            for h, text, own in zip(x["h"], x["words"], x["own"]):
+                words = Words(text.split())
                 for a, b in runs(np.isin(_long(words.hashes(WINDOW)), np.asarray(own, np.int64))):
-                    out.append((b" ".join(words.words[a : b + WINDOW - 1]), b - a + WINDOW - 1))
-            yield pd.DataFrame(out, columns=["phrase", "n_words"])
+                    out.append((h, b" ".join(words.words[a : b + WINDOW - 1]), b - a + WINDOW - 1))
+            yield pd.DataFrame(out, columns=["h", "phrase", "n_words"])
 
-    return texts.mapInPandas(owners, "key long, text string").join(owned, "key").select("text", "own").mapInPandas(cut, "phrase binary, n_words long").dropDuplicates(["phrase"])
+    return owned.join(places.select("cid", "h", "words"), ["cid", "h"]).select("h", "words", "own").mapInPandas(cut, "h long, phrase binary, n_words long").dropDuplicates(["h", "phrase"])
 
 
-class Automaton:
-    """The heads of a shard's blocks, and the hashes of all windows of its passages, sorted."""
+class Shard:
+    """Passages: an automaton of their anchors' words, and of each window its hash and its place among the passages' words."""
 
-    def __init__(self, phrases: list[bytes]):
+    def __init__(self, anchors: list[int], phrases: list[bytes]):
         import ahocorasick
 
-        self.found, windows = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), [np.empty(0, np.uint64)]
-        for phrase in phrases:
-            words = Words(phrase.decode("utf-8"))
-            code = coded(words)
-            windows.append(words.hashes(WINDOW))
-            for at in range(0, words.n - BLOCK + 1, BLOCK):
-                self.found.add_word(code[2 * at : 2 * (at + HEAD)])
-        self.windows = np.unique(np.concatenate(windows))
-        if len(self.windows):
-            self.found.make_automaton()
-
-    def mark(self, batch: Batch, known: np.ndarray) -> None:
-        """Set known for the windows of the batch that occur in the passages.
-
-        A window holds a block whole, so it begins less than a block before a hit. All such windows are
-        looked up by their hash.
-        """
-        if not len(self.windows):
-            return
-        last = np.fromiter((at for at, _ in self.found.iter(batch.code)), np.int64)
-        k = np.searchsorted(batch.place, last, "right") - 1
-        starts = ((last - batch.place[k] + 1) // 2 - HEAD)[:, None] - np.arange(BLOCK)
-        inside = (starts >= 0) & (starts < batch.size[k][:, None])
-        near = np.zeros(len(known), bool)
-        near[(starts + batch.window[k][:, None])[inside]] = True
-        at = np.flatnonzero(near & ~known)
-        place = np.minimum(np.searchsorted(self.windows, batch.hashes[at]), len(self.windows) - 1)
-        known[at[self.windows[place] == batch.hashes[at]]] = True
-
-
-class Batch:
-    """The segments of several texts as one code, and where each lies in it and among all windows' hashes."""
-
-    def __init__(self, held: list[tuple[np.ndarray, list[tuple[int, str]]]]):
-        self.hashes = np.concatenate([h for h, _ in held])
-        self.ends = np.cumsum([len(h) for h, _ in held])
-        codes, window = [], []
-        for end, (h, segments) in zip(self.ends.tolist(), held):
-            codes += [code for _, code in segments]
-            window += [end - len(h) + first for first, _ in segments]
-        length = np.array([len(c) for c in codes])
-        # one character that no word has lies between segments
-        self.code = "\xff".join(codes)
-        self.place = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
-        self.window, self.size = np.array(window), length // 2 - WINDOW + 1
-
-
-def covered_by(known: np.ndarray, n: int) -> np.ndarray:
-    """Words that lie in a known window."""
-    steps = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(known)
-    steps[at] += 1
-    np.add.at(steps, at + WINDOW, -1)
-    return np.cumsum(steps)[:n] > 0
-
-
-def coded(words: Words) -> str:
-    """Two characters for each word, from two alphabets of 64; windows near equal codes are looked up later.
-
-    Small alphabets keep the automaton's nodes narrow, and two of them keep hits on word boundaries.
-    """
-    h = words.hashes(1)
-    return np.stack([h & np.uint64(63), ((h >> np.uint64(6)) & np.uint64(63)) + np.uint64(64)], axis=1).astype(np.uint8).tobytes().decode("latin-1")
+        size = np.array([p.count(b" ") + 2 - WINDOW for p in phrases], np.int64)
+        found = Places(phrases, size)
+        code, grams = found.code(), found.all.hashes(GRAM)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for a, begin, n in zip(anchors, found.begin.tolist(), size.tolist()):
+            # the anchor's own place in the passage: all windows of the passage hold it whole
+            at = begin + int(np.flatnonzero(grams[begin : begin + n + SPAN] == np.uint64(a & 0xFFFFFFFFFFFFFFFF))[0])
+            self.automaton.add_word(code[2 * at : 2 * (at + GRAM)])
+        self.automaton.make_automaton()
+        self.windows, k = np.unique(found.hashes[found.valid], return_index=True)
+        self.at, self.blob = found.valid[k], found.blob
+        self.start, self.stop = found.bounds()
+
+    def occurrences(self, places: Places) -> np.ndarray:
+        """Windows of places, by their first word, that are windows of the passages, word by word."""
+        last = np.fromiter((at for at, _ in self.automaton.iter(places.code())), np.int64)
+        gram = (last + 1) // 2 - GRAM
+        steps = np.zeros(places.all.n + 2, np.int64)
+        np.add.at(steps, np.maximum(gram - SPAN, 0), 1)
+        np.add.at(steps, gram + 1, -1)
+        at = places.valid[np.cumsum(steps)[places.valid] > 0]
+        k = np.minimum(np.searchsorted(self.windows, places.hashes[at]), len(self.windows) - 1)
+        same = self.windows[k] == places.hashes[at]
+        at, to = at[same], self.at[k[same]]
+        start, stop = places.bounds()
+        keep = np.zeros(len(at), bool)
+        cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(to) != 1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]) if len(at) else ():
+            equal = lambda i, j: places.blob[start[at[i]] : stop[at[j - 1] + WINDOW - 1]] == self.blob[self.start[to[i]] : self.stop[to[j - 1] + WINDOW - 1]]  # noqa: B023, E731
+            if equal(a, b):
+                keep[a:b] = True
+            else:
+                keep[a:b] = [equal(i, i + 1) for i in range(a, b)]
+        return at[keep]
+
+
+_loaded: dict[str, Shard] = {}
+
+
+def _shard(folder: str, file: str) -> Shard:
+    """The shard in a file; a Python worker keeps the last one."""
+    from pyarrow.fs import FileSystem
+
+    if file not in _loaded:
+        _loaded.clear()
+        fs, path = FileSystem.from_uri(folder)
+        with fs.open_input_stream(f"{path}/{file}", compression=None) as f:
+            _loaded[file] = pickle.loads(zstandard.decompress(f.read()))
+    return _loaded[file]
 
 
-def compile_shards(phrases: DataFrame, folder: str, shard_words: int) -> list[str]:
-    """Automata of about shard_words words each, written below folder; their names, of which there are few."""
-    total = phrases.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first().n
-    shards = max(1, -(-total // shard_words))
+def compile_shards(dealt: DataFrame, folder: str) -> DataFrame:
+    """(shard, file): an automaton of each shard of (shard, h, phrase), written below folder."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         from pyarrow.fs import FileSystem
@@ -274,74 +387,116 @@ def compile_shards(phrases: DataFrame, folder: str, shard_words: int) -> list[st
 
         fs, path = FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        name = f"shard-{x['shard'].iloc[0]}-{TaskContext.get().taskAttemptId()}"
+        name = f"shard-{x['shard'].iat[0]}-{TaskContext.get().taskAttemptId()}"
+        x = x.sort_values(["h", "phrase"])
         with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
-            out.write(zstandard.compress(pickle.dumps(Automaton(sorted(x["phrase"]))), 1))
+            out.write(zstandard.compress(pickle.dumps(Shard(x["h"].tolist(), x["phrase"].tolist())), 1))
         return pd.DataFrame({"shard": x["shard"].iloc[:1], "file": [name]})
 
-    dealt = phrases.select("phrase", F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard"))
-    return [r.file for r in sorted(dealt.groupBy("shard").applyInPandas(run, "shard long, file string").collect())]
+    return dealt.groupBy("shard").applyInPandas(run, "shard long, file string")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def occurrences(places: DataFrame, phrases: DataFrame, folder: str, shard_words: int, slice_rows: int) -> DataFrame:
+    """(key, ranges): of each text with a recurring window, the half-open ranges of words to remove."""
+    total = phrases.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first().n
+    shards = max(1, -(-total // shard_words))
+    # an anchor with more passages than a shard holds is dealt to several; there are fewer such anchors than shards
+    wide = phrases.groupBy("h").agg(F.ceil(F.sum("n_words") / shard_words).alias("parts")).where("parts > 1")
+    wide = F.broadcast(staged(wide, "wide"))
+    shard = F.pmod(F.xxhash64("h", "part"), F.lit(shards)).alias("shard")
+    part = F.pmod(F.xxhash64("phrase"), F.coalesce("parts", F.lit(1)))
+    dealt = phrases.join(wide, "h", "left").withColumn("part", part).select("h", "phrase", shard)
+    files = staged(compile_shards(dealt, folder), "shards")
+    routed = places.join(wide, "h", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    routed = routed.select("key", "first", "size", "cid", "words", shard)
+    # as many rows as there are shards; a shard that many documents meet is read by several tasks
+    slices = F.broadcast(staged(routed.groupBy("shard").agg(F.ceil(F.count("*") / slice_rows).alias("slices")).join(files, "shard"), "slices"))
+    routed = routed.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("cid"), F.col("slices")))
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        found = Places(x["words"].tolist(), x["size"].to_numpy(np.int64))
+        at = _shard(folder, x["file"].iat[0]).occurrences(found)
+        k = np.searchsorted(found.begin, at, "right") - 1
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(k) != 0)])) if len(at) else at
+        tail = np.concatenate([head[1:], [len(at)]]) - 1 if len(at) else at
+        first = x["first"].to_numpy(np.int64)[k] - found.begin[k] + at
+        return pd.DataFrame({"key": x["key"].to_numpy()[k[head]], "a": first[head], "b": first[tail] + WINDOW})
+
+    ranges = routed.select("shard", "slice", "file", "key", "first", "size", "words").groupBy("shard", "slice").applyInPandas(run, "key binary, a long, b long")
+    return ranges.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+
+
+def without(words: list[bytes], ranges: list) -> tuple[int, int, str]:
+    """(words, words removed, the others joined by one space)."""
+    if not len(ranges):
+        return len(words), 0, b" ".join(words).decode("utf-8")
+    steps = np.zeros(len(words) + 1, np.int64)
+    for r in ranges:
+        steps[r["a"]] += 1
+        steps[r["b"]] -= 1
+    gone = np.cumsum(steps)[: len(words)] > 0
+    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8")
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, slice_rows: int = SLICE_ROWS, filter_limit: int = FILTER_LIMIT) -> DataFrame:
     """One row per input row: id, n_words, n_removed and kept, the words left, joined by one space.
 
     A word goes if it lies in a window of 35 words whose sequence starts anywhere else too. Null texts
-    have no words; texts of fewer than 35 words stay; of equal longer texts nothing stays. Null and
-    repeated ids keep their rows; other columns are ignored; an empty table gives an empty result.
+    have no words; texts of fewer than 35 words stay; of equal longer texts nothing stays. Very long texts
+    are read whole, with some 60 bytes of memory for each word. Null and repeated ids keep their rows;
+    other columns, of whatever name, are ignored; an empty table gives an empty result.
     """
-    bounded_batches(df.sparkSession, 8 << 20)
-    texts = df.select(F.col(text_col).alias("text"))
-    anchors = filter_of(repeated_anchors(texts), "h", filter_bits)
-    phrases = staged(passages(texts, recurring_windows(texts, anchors), filter_bits), "phrases")
-    folder = shared_path(df.sparkSession, "automata")
-    files = compile_shards(phrases, folder, shard_words)
-    shared = df.sparkSession.sparkContext.broadcast(anchors)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem
+    docs = df.select(as_text(df, id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select("text")
+    places = staged(contexts(texts, staged(repeated_anchors(texts), "anchors"), filter_limit), "places")
+    phrases = staged(passages(places, staged(recurring_windows(places), "windows")), "phrases")
+    ranges = staged(occurrences(places, phrases, shared_path(df.sparkSession, "automata"), shard_words, slice_rows), "ranges")
+    packed = filter_of(ranges.select("key").mapInPandas(_key_hashes, "h long"), F.col("h"), filter_limit)
+    shared = df.sparkSession.sparkContext.broadcast(packed)
+
+    def keyed(x: pd.DataFrame, known: Filter) -> tuple[list[bytes], np.ndarray]:
+        keys = [_key(t) for t in x["text"]]
+        return keys, known.has(_key_hash(keys))
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Filter(shared.value)
+        for x in batches:
+            _, named = keyed(x, known)
+            rows = [(i, *without(split(t), ())) for i, t, n in zip(x["id"], x["text"], named) if not n]
+            yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept"])
 
-        fs, path = FileSystem.from_uri(folder)
+    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Filter(shared.value)
-        held: list[tuple] = []
-
-        def swept() -> pd.DataFrame:
-            batch = Batch([d[2:] for d in held])
-            marks = np.zeros(len(batch.hashes), bool)
-            for file in files:
-                with fs.open_input_stream(f"{path}/{file}", compression=None) as f:
-                    pickle.loads(zstandard.decompress(f.read())).mark(batch, marks)
-            rows = []
-            for (i, words, *_), own in zip(held, np.split(marks, batch.ends[:-1])):
-                covered = covered_by(own, len(words))
-                rows.append((i, len(words), int(covered.sum()), [w for w, c in zip(words, covered.tolist()) if not c]))
-            return frame(rows)
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            ids = pd.Series([None if pd.isna(r[0]) else int(r[0]) if isinstance(r[0], float) else r[0] for r in rows], dtype=object)
-            return pd.DataFrame({"id": ids, "n_words": [r[1] for r in rows], "n_removed": [r[2] for r in rows], "kept": [b" ".join(r[3]).decode("utf-8") for r in rows]})
+        for x in batches:
+            keys, named = keyed(x, known)
+            yield pd.DataFrame([(i, k) for i, k, n in zip(x["id"], keys, named) if n], columns=["id", "key"])
+
+    def named_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, seen = Filter(shared.value), set()
+        for x in batches:
+            keys, named = keyed(x, known)
+            new = [bool(n) and not (k in seen or seen.add(k)) for k, n in zip(keys, named)]
+            yield pd.DataFrame([(k, t) for k, t, n in zip(keys, x["text"], new) if n], columns=["key", "text"])
 
+    def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            apart = []
-            for i, text in zip(x["id"], x["text"]):
-                words = Words(text)
-                h, at = words.anchors()
-                if found := runs(known.has(h)[at]) if len(at) else []:
-                    code = coded(words)
-                    held.append((i, words.words, words.hashes(WINDOW), [(a, code[2 * a : 2 * (b + WINDOW - 1)]) for a, b in found]))
-                else:
-                    apart.append((i, words.n, 0, words.words))
-            if apart:
-                yield frame(apart)
-            if sum(len(d[1]) for d in held) >= HELD_WORDS:
-                yield swept()
-                held.clear()
-        if held:
-            yield swept()
-
-    kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("id", id_col)
+            out = [(k, *without(split(t), () if r is None else r)) for k, t, r in zip(x["key"], x["text"], x["ranges"])]
+            yield pd.DataFrame(out, columns=["key", "n_words", "n_removed", "kept"])
+
+    met = texts.mapInPandas(named_texts, "key binary, text string").dropDuplicates(["key"]).join(ranges, "key", "left")
+    met = staged(met.mapInPandas(removed, "key binary, n_words long, n_removed long, kept string"), "removed")
+    named = staged(docs.mapInPandas(ids, "id string, key binary"), "named")
+    copies = staged(named.groupBy("key").agg(F.count("*").alias("n")), "copies")
+    # of a text that very many rows have nothing is left, if it has 35 words; with fewer it is short
+    out = join_split(named, met, "key", hot_keys(copies)).select("id", "n_words", "n_removed", "kept")
+    if packed is not None:
+        out = out.unionByName(docs.mapInPandas(apart, "id string, n_words long, n_removed long, kept string"))
+    return out.select(as_id(df, id_col).alias(id_col), "n_words", "n_removed", "kept")
+
+
+def _key_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in batches:
+        yield pd.DataFrame({"h": _long(_key_hash(x["key"].tolist()).copy())})
 
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from photonloom.llm.common import hot_keys, join_split, staged
+
 #: (host and path, verdict); a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Expected number of sampled labelled URLs, and the trees' size.
 SAMPLE_ROWS, TREES, DEPTH, SEED = 20_000, 10, 4, 11
-#: Suffixes with statistics of their own; the rest share one.
-MAX_SUFFIXES = 1000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "param_length", "suffix_share", "suffix_rows")
 
 
@@ -84,10 +84,11 @@ class UrlModel:
 
     def __init__(self, trees: GBTClassificationModel | None, suffixes: DataFrame | None, share: float, constant: str):
         self.trees, self.suffixes, self.share, self.constant = trees, suffixes, share, constant
+        self.hot = hot_keys(suffixes, "suffix_rows") if suffixes is not None else None
 
     def features(self, rows: DataFrame) -> DataFrame:
-        # at most MAX_SUFFIXES rows
-        rows = rows.join(F.broadcast(self.suffixes), "suffix", "left").fillna({"suffix_share": self.share, "suffix_rows": 0.0})
+        # suffixes are as many as the data has; those of very many rows, such as com, are joined where the rows are
+        rows = join_split(rows, self.suffixes, "suffix", self.hot).fillna({"suffix_share": self.share, "suffix_rows": 0.0})
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
     def verdict(self, rows: DataFrame) -> DataFrame:
@@ -101,18 +102,18 @@ class UrlModel:
 def train(labelled: DataFrame, label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> UrlModel:
     """From rows of with_lexical() with a label allow or block; a seeded hash sample of about sample_rows URLs.
 
-    Suffix statistics are of all labelled rows. Null labels are skipped. With one class only, or no
-    rows, the verdict is constant: that class, or allow.
+    Suffix statistics are of all labelled rows, with a row for every suffix; a suffix without labels gets the
+    share of all rows. Null labels are skipped. With one class only, or no rows, the verdict is constant:
+    that class, or allow.
     """
     rows = labelled.where(F.col(label_col).isin("allow", "block")).withColumn("label", (F.col(label_col) == "block").cast("double"))
     n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")).first()
     if n.blocked in (0, n.n):
         return UrlModel(None, None, 0.0, "block" if n.n and n.blocked else "allow")
-    top = rows.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_rows"), ((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias("suffix_share")).orderBy(F.desc("suffix_rows"), "suffix").limit(MAX_SUFFIXES)
-    suffixes = labelled.sparkSession.createDataFrame(top.collect(), top.schema)
+    suffixes = staged(rows.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_rows"), ((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias("suffix_share")), "suffixes")
     model = UrlModel(None, suffixes, n.blocked / n.n, "allow")
     place = F.pmod(F.xxhash64("host", "path", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
-    sample = model.features(rows.where(place < min(1.0, sample_rows / n.n))).select("features", "label")
+    sample = staged(model.features(rows.where(place < min(1.0, sample_rows / n.n))).select("features", "label"), "sample")
     if sample.select("label").distinct().count() < 2:
         model.constant = "block" if n.blocked * 2 > n.n else "allow"
         return model
@@ -124,8 +125,9 @@ def train(labelled: DataFrame, label_col: str = "label", sample_rows: int = SAMP
 def judge(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, host, path, rule, verdict, learned): verdict is the rule's, else that of trees trained on the ruled URLs.
 
-    Null URLs and those without `://` have an empty host and path, hence no rule. Repeated rows and null
-    ids each keep their row; other columns of df, of whatever name, are ignored.
+    Null URLs and those without `://` have an empty host and path, hence no rule; very long ones are read
+    whole. Repeated rows and null ids each keep their row; other columns of df, of whatever name, are
+    ignored. An empty table gives an empty result.
     """
     rows = with_lexical(df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url")))
     rule, says = rule_of("host", "path", rules)

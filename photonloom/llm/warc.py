@@ -19,14 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import bounded_batches, shared_path, staged
+from photonloom.llm.common import as_id, as_text, hot_keys, join_split, shared_path, staged
 
 ARCHIVE_BYTES = 64 << 20
 #: Ranges closer than GAP_BYTES become one read; a read begins in one stretch of READ_BYTES.
 GAP_BYTES, READ_BYTES = 64 << 10, 4 << 20
+#: Archive bytes that one reading task gets, and the most reading tasks; beyond, a task reads more ranges, one at a time.
+TASK_BYTES, MOST_TASKS = 8 << 20, 20_000
 MIN_REVISIT_BYTES = 0
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_INDEX = "file string, offset long, length long, {id}, url string, digest string, record_type string"
+_INDEX = "file string, offset long, length long, id string, url string, digest string, record_type string"
 
 
 def _urn(page: object) -> str:
@@ -70,14 +72,16 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     Of equal payloads of at least min_bytes, the row with the smallest id is the response and rows of
     other ids revisit it. A null id is larger than all others; where all ids are null, all rows are
-    responses, as are repeated rows of the smallest id. A null payload is empty.
+    responses, as are repeated rows of the smallest id. A null payload is empty, a null URL becomes the
+    record's own name; very long payloads are one record each. Other columns of df, of whatever name, are
+    ignored. An empty table gives an empty index.
     """
-    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "utf-8")))
-    shared = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # written first, so that Spark knows this side's size: repeats are few or the join is a shuffled one
-    rows = rows.join(staged(shared, "repeats"), "sha1", "left").withColumn("first", F.expr("case when first is not null and not first <=> id then first end"))
+    shared = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = staged(shared, "repeats")
+    # a payload that very many rows have, such as the empty one, doesn't gather them in one task
+    rows = join_split(rows, shared.select("sha1", "first"), "sha1", hot_keys(shared)).withColumn("first", F.expr("case when first is not null and not first <=> id then first end"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileSystem
@@ -88,7 +92,6 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
         for x in batches:
             index = []
             for page, url, html, sha1, first in zip(x["id"], x["url"], x["html"], x["sha1"], x["first"]):
-                page, first = (None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in (page, first))
                 if out is None or offset >= archive_bytes:
                     if out:
                         out.close()
@@ -98,12 +101,12 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 out.write(raw)
                 index.append((name, offset, len(raw), page, url, base64.b32encode(bytes.fromhex(sha1)).decode(), "response" if first is None else "revisit"))
                 offset += len(raw)
-            yield pd.DataFrame(index, columns=["file", "offset", "length", "id", "url", "digest", "record_type"]).astype({"id": x["id"].dtype if x["id"].notna().all() else "object"})
+            yield pd.DataFrame(index, columns=["file", "offset", "length", "id", "url", "digest", "record_type"])
         if out:
             out.close()
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return staged(rows.select("id", "url", "html", "sha1", "first").mapInPandas(run, _INDEX.format(id=f"id {kind}")), "index")
+    text = rows.select(as_text(rows, "id").alias("id"), "url", "html", "sha1", as_text(rows, "first").alias("first"))
+    return staged(text.mapInPandas(run, _INDEX).withColumn("id", as_id(df, id_col)), "index")
 
 
 def ranges(selected: DataFrame, gap: int = GAP_BYTES, stretch: int = READ_BYTES) -> DataFrame:
@@ -116,9 +119,13 @@ def ranges(selected: DataFrame, gap: int = GAP_BYTES, stretch: int = READ_BYTES)
     return marked.groupBy("file", "run", "stretch").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), F.sort_array(F.collect_list(part)).alias("parts"))
 
 
-def read_records(selected: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers_to, url) of the selected index rows, read back and verified."""
-    bounded_batches(selected.sparkSession)
+def read_records(selected: DataFrame, folder: str, id_type: str = "bigint", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(id, payload_bytes, payload_digest, record_type, refers_to, url) of the selected index rows, read back and verified.
+
+    Ranges are dealt by file and stretch to as many tasks as the selected bytes need. An empty selection gives no row.
+    """
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    tasks = max(1, min(MOST_TASKS, -(-size // task_bytes)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileSystem
@@ -137,7 +144,7 @@ def read_records(selected: DataFrame, folder: str, id_type: str = "bigint") -> D
                     rows.append((fields.get("X-Page-ID"), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], fields.get("X-Refers-To-Page-ID"), fields["WARC-Target-URI"]))
                 yield pd.DataFrame(rows, columns=["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    out = ranges(selected).mapInPandas(run, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
+    out = ranges(selected).repartition(tasks, "file", "stretch").mapInPandas(run, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("id", "refers_to")})
 
 

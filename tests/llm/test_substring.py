@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from photonloom.llm.substring import WINDOW, Words, remove_repeats, runs
+import photonloom.llm.substring as module
+from photonloom.llm.substring import WINDOW, Places, Shard, Words, remove_repeats, runs, split
 
 
 def plain(texts):
@@ -19,7 +20,7 @@ def plain(texts):
 
 
 def test_hashes_do_not_depend_on_place():
-    a, b = Words("x y é z w"), Words("q é z w y")
+    a, b = Words(split("x y é z w")), Words(split("q é z w y"))
     assert a.hashes(3)[2] == b.hashes(3)[1] and len(set(a.hashes(2).tolist())) == 4
     assert runs(np.array([True, True, False, True])) == [(0, 2), (3, 4)] and runs(np.empty(0, bool)) == []
 
@@ -45,16 +46,36 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("shard_words, bits", [(600_000, 1 << 20), (300, 1 << 20), (5000, 64)])
-def test_equals_brute_force(spark, shard_words, bits):
+@pytest.mark.parametrize("shard_words, slice_rows, limit", [(100_000, 20_000, 1 << 30), (300, 7, 1 << 30), (40, 50, 0)])
+def test_equals_brute_force(spark, shard_words, slice_rows, limit):
+    """limit 0: joins in place of filters. 40 words: anchors with more passages than a shard holds."""
     texts = corpus()
     df = spark.createDataFrame([(k, t, "w", 1) for k, t in enumerate(texts)], "doc_id long, text string, key string, n long").repartition(3)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(df, shard_words=shard_words, filter_bits=bits).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(df, shard_words=shard_words, slice_rows=slice_rows, filter_limit=limit).collect()}
     for k, want in enumerate(plain(texts)):
         assert got[k] == want, k
     assert WINDOW == 35
 
 
+def test_equal_hashes_are_not_enough():
+    """A window is removed only where its words are those of a passage."""
+    text = [f"v{k}" for k in range(40)]
+    anchor = Words([w.encode() for w in text]).anchored()[0]
+    shard = Shard([int(anchor.view(np.int64)[0])], [" ".join(text).encode()])
+    places = Places([" ".join(text).encode()], np.array([6]))
+    assert shard.occurrences(places).tolist() == list(range(6))
+    shard.blob = shard.blob.replace(b"v2 ", b"v_ ")
+    assert shard.occurrences(places).tolist() == [3, 4, 5]
+
+
+def test_filter_is_sized_by_its_keys(spark):
+    keys = spark.range(1000).withColumnRenamed("id", "h")
+    known = module.Filter(module.filter_of(keys, module.F.col("h"), 1 << 20))
+    assert 8 * len(known.bits) == 1 << 14 and known.has(np.arange(1000, dtype=np.uint64)).all()
+    assert known.has(np.random.default_rng(1).integers(1 << 40, 1 << 63, 5000).astype(np.uint64)).mean() < 0.05
+    assert module.filter_of(keys, module.F.col("h"), 1 << 13) is None
+
+
 def test_periodic_passages_stay_cheap(spark):
     import time
 
@@ -66,6 +87,8 @@ def test_periodic_passages_stay_cheap(spark):
 
 def test_ids_and_empty(spark):
     long = " ".join(f"v{k}" for k in range(50))
-    df = spark.createDataFrame([(None, long), (3, long), (3, long), (4, None)], "doc_id long, text string")
-    assert sorted((r.n_words, r.n_removed, r.kept) for r in remove_repeats(df).collect()) == [(0, 0, "")] + [(50, 50, "")] * 3
+    df = spark.createDataFrame([(None, long), (3, long), (3, long), (4, None), (2**53 + 1, "few words")], "doc_id long, text string")
+    got = remove_repeats(df).collect()
+    assert sorted((r.n_words, r.n_removed, r.kept) for r in got) == [(0, 0, ""), (2, 0, "few words")] + [(50, 50, "")] * 3
+    assert {r.doc_id for r in got} == {None, 3, 4, 2**53 + 1}
     assert remove_repeats(df.limit(0)).count() == 0
