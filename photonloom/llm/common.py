@@ -89,3 +89,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: str | Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def first_words(text: str | Column, n: str | Column) -> Column:
+    """The beginning of a text with its first n words and the white space between and after them."""
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    parts = F.split(text, f"(?<={space})(?={word})")
+    # a text that begins with white space has a first part without a word
+    more = F.when(F.rlike(text, F.lit(f"^{space}")), 1).otherwise(0)
+    return F.array_join(F.slice(parts, F.lit(1), (F.col(n) if isinstance(n, str) else n).cast("int") + more), "")

@@ -67,21 +67,24 @@ def mix(
     lang_col: str = "lang",
     source_col: str = "source",
     tokens: Column | None = None,
+    order: Column | None = None,
 ) -> DataFrame:
     """One row per input row: id, domain, lang, source, n_tokens, epochs, partial_tokens, tokens_taken.
 
-    Wanted are share times all tokens. tokens defaults to the words of column text. A row's document is
-    taken epochs times whole, and then its first partial_tokens tokens. Null keys count as the empty
-    string, null texts as no tokens; repeated rows are separate documents next to each other in the order.
-    Other columns are ignored; an empty table gives an empty result.
+    Wanted are share times all tokens. tokens defaults to the words of column text, however long. A row's
+    document is taken epochs times whole, and then its first partial_tokens tokens. An epoch's order is
+    drawn from order, the id unless given, and the id settles ties. Null keys count as the empty string,
+    null texts as no tokens, null ids in the order as the empty string; repeated rows are separate documents
+    next to each other in the order. Other columns, of whatever name, are ignored; an empty table gives an
+    empty result.
     """
     key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     count = word_count("text") if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
-    docs = df.select(F.col(id_col).alias("id"), key(F.lit("") if domain is None else domain).alias("domain"), key(F.col(lang_col)).alias("lang"), key(F.col(source_col)).alias("source"), count.alias("n_tokens"))
+    docs = df.select(F.col(id_col).alias("id"), key(F.lit("") if domain is None else domain).alias("domain"), key(F.col(lang_col)).alias("lang"), key(F.col(source_col)).alias("source"), count.alias("n_tokens"), key(F.col(id_col) if order is None else order).alias("drawn"))
     docs = staged(docs, "tokens")
     leaves = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     plan = staged(budgets(leaves, weights, share, max_epochs), "budgets")
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.col("drawn")))
     parts = F.ceil(F.col("docs") / ROWS_PER_BUCKET)
     bucket = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * parts / float(1 << 32))
     rows = docs.join(plan, list(LEVELS)).withColumn("place", place).withColumn("bucket", bucket)

@@ -6,18 +6,18 @@ its shard that score highest by BM25; they fill its window whole while they fit,
 is cut to fill the rest, so that at most one window of a shard is padded.
 
 Shards are the leaves of a tree over sketches: a fragment's BM25 term weights, projected to DIMS numbers.
-The tree is grown on a sample, each node cut across its main direction where the sample is thinnest, down
-to leaves of about SHARD_ROWS; what can't be cut, such as many copies of a text, is dealt to several shards.
-Neighbours in another leaf are not found.
+The tree is grown on a sample of at most SAMPLE_ROWS sketches, each node cut across its main direction where
+the sample is thinnest, down to leaves of about SHARD_ROWS; what can't be cut, such as many copies of a text
+or a leaf with too few sampled rows, is dealt to several shards. Every fragment is indexed, in its own shard;
+neighbours in another one are not found.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -25,16 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import staged
+from photonloom.llm.common import as_id, as_text, staged
 
 WINDOW = 1024
 END_ID = 0
-SHARD_ROWS = 512
+SHARD_ROWS = 8192
 K1, B = 1.2, 0.75
-#: Numbers of a sketch, and sampled fragments for each shard that the tree is to have.
-DIMS, SAMPLE_PER_SHARD = 64, 16
+#: Numbers of a sketch, sampled fragments for each shard that the tree is to have and at most, and fewest of a leaf.
+DIMS, SAMPLE_PER_SHARD, SAMPLE_ROWS, LEAF_SAMPLE = 64, 512, 100_000, 32
+#: Neighbours that are looked at before all of a shard's.
+NEAR = 64
 _SPECIAL = "<|endoftext|>"
-_CACHED = 300_000
+_CACHED, _TEXTS = 400_000, 128
 #: A space before another white-space character, where pieces can't be cut by str.split.
 _SPACES = re.compile(r" (?:\s|$)")
 _BOUNDARY = re.compile(r" (?=\S)")
@@ -49,40 +51,38 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Texts to token ids as little-endian 16-bit bytes, by the tokenizer file at path.
 
-    Pre-tokens never span a space that a non-space follows, so a text is cut there and the ids of its
-    pieces are looked up. New pieces are encoded with the same vocabulary's ranks, which lie beside
-    the file; a text with the special token's string goes to the tokenizer as a whole.
+    Pre-tokens never span a space that a non-space follows, so a text is cut there, and the tokenizer
+    encodes each different piece once for many texts; a text with the special token's string goes to the
+    tokenizer as a whole.
     """
 
     def __init__(self, path: str):
-        import tiktoken
-        from public_tokenizers import PATTERN
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        lines = Path(path).with_suffix(".tiktoken").read_bytes().split(b"\n")
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-        encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-        class Pieces(dict):
-            def __init__(self, before: str):
-                self.before = before
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-            def __missing__(self, piece: str) -> bytes:
-                ids = np.array(encode(self.before + piece), "<u2").tobytes()
-                if len(piece) <= 32:
-                    if len(self) >= _CACHED:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.first, self.later = Pieces(""), Pieces(" ")
-
-    def __call__(self, text: str) -> bytes:
-        if _SPECIAL in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """All pieces but the first begin with the space before them."""
         head, *rest = _BOUNDARY.split(text) if _SPACES.search(text) else text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest)) if text else b""
+        return [head, *[f" {p}" for p in rest]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(texts), _TEXTS):
+            part = texts[k : k + _TEXTS]
+            cut = [None if _SPECIAL in t else self.pieces(t) for t in part]
+            if len(self.known) > _CACHED:
+                self.known.clear()
+            new = list({p for pieces in cut if pieces for p in pieces} - self.known.keys())
+            for p, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+                self.known[p] = np.array(found.ids, "<u2").tobytes()
+            out += [self.ids(t) if pieces is None else b"".join(map(self.known.__getitem__, pieces)) for t, pieces in zip(part, cut)]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -106,15 +106,14 @@ def fragments(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encode, uid = encoder(path), TaskContext.get().partitionId() << 40
         for x in batches:
             rows = []
-            for text in x["text"]:
-                ids = np.frombuffer(encode(text or "") + END_ID.to_bytes(2, "little"), "<u2")
+            for i, raw in zip(x["id"], encode([t or "" for t in x["text"]])):
+                ids = np.frombuffer(raw + END_ID.to_bytes(2, "little"), "<u2")
                 whole = len(ids) // window
-                rows.append((uid, len(ids), [crc_of(ids[k * window : (k + 1) * window]) for k in range(whole)], ids[whole * window :].tobytes()))
+                rows.append((uid, i, len(ids), [crc_of(ids[k * window : (k + 1) * window]) for k in range(whole)], ids[whole * window :].tobytes()))
                 uid += 1
-            yield pd.DataFrame(rows, columns=["uid", "doc_tokens", "crcs", "tail"]).assign(id=x["id"].to_numpy())[["uid", "id", "doc_tokens", "crcs", "tail"]]
+            yield pd.DataFrame(rows, columns=["uid", "id", "doc_tokens", "crcs", "tail"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"uid long, id {kind}, doc_tokens long, crcs array<long>, tail binary")
+    return df.select(as_text(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "uid long, id string, doc_tokens long, crcs array<long>, tail binary")
 
 
 def document_frequencies(parts: DataFrame) -> np.ndarray:
@@ -159,7 +158,7 @@ class Tree:
             node = len(self.axis)
             if parent:
                 self.child[parent[0]][parent[1]] = node
-            found = self._cut(x) if own > 1 else None
+            found = self._cut(x) if own > 1 and len(x) >= 2 * LEAF_SAMPLE else None
             axis, cut = found or (np.zeros(sample.shape[1], np.float32), 0.0)
             self.axis.append(axis), self.cut.append(cut), self.child.append([node, node]), self.first.append(begun), self.pieces.append(own)
             if found:
@@ -202,7 +201,7 @@ class Tree:
 def by_content(parts: DataFrame, rows: int, shards: int, idf: np.ndarray) -> DataFrame:
     """parts with a shard of like fragments each."""
     mean = parts.agg(F.avg(F.length("tail") / 2)).first()[0] or 0.0
-    every = max(1, rows // (shards * SAMPLE_PER_SHARD))
+    every = max(1, rows // min(SAMPLE_ROWS, shards * SAMPLE_PER_SHARD))
     idf = idf.astype(np.float32)
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,29 +244,47 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
+def ranked(scores: np.ndarray, left: np.ndarray) -> Iterator[int]:
+    """Fragments with something left by falling score, those of equal score by number; the first NEAR of them are found without a full sort."""
+    free = np.flatnonzero(left)
+    own = scores[free]
+    limit = -np.inf
+    if len(free) > 2 * NEAR:
+        limit = np.partition(own, len(own) - NEAR)[len(own) - NEAR]
+        near = free[own >= limit]
+        yield from near[np.argsort(-scores[near], kind="stable")].tolist()
+        free = free[own < limit]
+    yield from free[np.argsort(-scores[free], kind="stable")].tolist()
+
+
 def fill(lengths: list[int], scores: Callable[[int], np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of (fragment, start in it, length); longest unused fragment first as seed."""
-    left, start = list(lengths), [0] * len(lengths)
-    out = []
+    """Windows of (fragment, start in it, length); longest unused fragment first as seed.
+
+    Its neighbours go in by falling score, whole while they fit; the best one that is left is cut for the rest.
+    """
+    left, start, out = np.array(lengths, np.int64), [0] * len(lengths), []
+    shortest = np.sort(left)
     for seed in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
         if not left[seed]:
             continue
-        now, room = [(seed, start[seed], left[seed])], window - left[seed]
+        now, room = [(seed, start[seed], int(left[seed]))], window - int(left[seed])
         left[seed] = 0
-        if room:
-            near = [k for k in np.argsort(-scores(seed), kind="stable").tolist() if left[k]]
-            for k in near:
-                if left[k] <= room:
-                    now.append((k, start[k], left[k]))
-                    room -= left[k]
-                    left[k] = 0
-                if not room:
-                    break
-            cut = next((k for k in near if left[k]), None)
-            if room and cut is not None:
-                now.append((cut, start[cut], room))
-                start[cut] += room
-                left[cut] -= room
+        cut = None
+        for k in ranked(scores(seed), left) if room else ():
+            own = int(left[k])
+            if own <= room:
+                now.append((k, start[k], own))
+                room -= own
+                left[k] = 0
+            elif cut is None:
+                cut = k
+            if not room or cut is not None and room < shortest[0]:
+                break
+        if room and cut is not None:
+            now.append((cut, start[cut], room))
+            start[cut] += room
+            left[cut] -= room
+            shortest[0] = min(shortest[0], int(left[cut]))
         out.append(now)
     return out
 
@@ -275,8 +292,10 @@ def fill(lengths: list[int], scores: Callable[[int], np.ndarray], window: int =
 def pack(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone. Repeated rows are packed as often as they occur, null ids
-    too. Other columns are ignored. An empty table gives an empty result.
+    Null and empty texts are the end id alone; very long texts are whole windows of their own and one
+    fragment. Neighbours of equal score are taken in the order of the rows. Repeated rows are packed as
+    often as they occur, null ids too. Other columns, of whatever name, are ignored. An empty table gives
+    an empty result.
     """
     parts = staged(fragments(df, path or tokenizer_path(), id_col, text_col, window), "fragments")
     rows = parts.count()
@@ -306,10 +325,9 @@ def pack(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_co
                 sequence += 1
         return pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    kind = df.schema[id_col].dataType.simpleString()
     dealt = by_content(parts, rows, shards, idf) if shards > 1 else parts.withColumn("shard", F.lit(0).cast("long"))
-    out = dealt.groupBy("shard").applyInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    out = dealt.groupBy("shard").applyInPandas(run, "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return out.select(as_id(df, id_col).alias(id_col), *out.columns[1:])
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

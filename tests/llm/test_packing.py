@@ -2,10 +2,9 @@ import random
 import zlib
 
 import numpy as np
-import pandas as pd
 from tokenizers import Tokenizer
 
-from photonloom.llm.packing import WINDOW, Encoder, Index, pack, tokenizer_path
+from photonloom.llm.packing import WINDOW, Encoder, Index, fill, pack, tokenizer_path
 
 
 WHOLE = Tokenizer.from_file(tokenizer_path())
@@ -17,11 +16,49 @@ def ids_of(text):
 
 def test_encoder_equals_the_tokenizer():
     rng = random.Random(4)
-    bits = ["a", "The", "don't", " ", "  ", "\n", "\t", "\xa0", "\x1c", "é", "語", "12", "...", "'s", "<|endoftext|>", "x" * 40, " ", " $", "🙂"]
-    encode = Encoder(tokenizer_path())
-    for _ in range(2000):
-        text = "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(encode(text), "<u2").tolist() == ids_of(text)[:-1].tolist(), repr(text)
+    bits = ["a", "The", "don't", " ", "  ", "\n", "\t", "\xa0", "\x1c", "é", "語", "12", "...", "'s", "<|endoftext|>", "x" * 40, "\u2003", " $", "🙂"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    # any characters, white space among them more often
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts += ["".join(rng.choice(spaces) if rng.random() < 0.4 else chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0x10000, 0x11000), rng.randrange(32, 127)])) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    for text, ids in zip(texts, Encoder(tokenizer_path())(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == ids_of(text)[:-1].tolist(), repr(text)
+
+
+def plain_bm25(tails, seed, idf, k1=1.2, b=0.75):
+    mean = sum(map(len, tails)) / len(tails)
+    out = []
+    for t in tails:
+        own = t.tolist()
+        out.append(sum(idf[term] * own.count(term) * (k1 + 1) / (own.count(term) + k1 * (1 - b + b * len(own) / mean)) for term in set(tails[seed].tolist()) if term in own))
+    return np.array(out)
+
+
+def test_neighbours_and_fill_equal_brute_force():
+    rng = np.random.default_rng(5)
+    tails = [rng.zipf(1.5, rng.integers(1, 90)).clip(1, 400).astype("<u2") for _ in range(300)]
+    idf = rng.random(1 << 16)
+    index = Index(tails, idf)
+    plain = np.array([plain_bm25(tails, k, idf) for k in range(len(tails))])
+    for k in range(len(tails)):
+        assert np.allclose(index.scores(k), plain[k])
+    left, start, want = [len(t) for t in tails], [0] * len(tails), []
+    for seed in sorted(range(len(tails)), key=lambda k: (-len(tails[k]), k)):
+        if not left[seed]:
+            continue
+        now, room = [(seed, start[seed], left[seed])], 100 - left[seed]
+        left[seed] = 0
+        order = sorted((k for k in range(len(tails)) if left[k]), key=lambda k: (-index.scores(seed)[k], k)) if room else []
+        for k in order:
+            if room and left[k] <= room:
+                now.append((k, start[k], left[k]))
+                room, left[k] = room - left[k], 0
+        cut = next((k for k in order if left[k]), None)
+        if room and cut is not None:
+            now.append((cut, start[cut], room))
+            start[cut], left[cut] = start[cut] + room, left[cut] - room
+        want.append(now)
+    assert fill([len(t) for t in tails], index.scores, 100) == want
 
 
 def test_index_ranks_by_shared_rare_tokens():
@@ -49,9 +86,12 @@ def test_pieces(spark):
     rng = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "ünï", "42", "x,y"]
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 40, 300, 900])))) for k in range(150)]
-    rows += [(200, None), (201, "long " * 30000), (202, "same"), (202, "same"), (None, "no id")]
+    rows += [(200, None), (201, "long " * 30000), (202, "same"), (202, "same"), (None, "no id"), (2**53 + 1, "exact id")]
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, shard string")
-    got = pack(df, shard_rows=64).toPandas()
+    out = pack(df, shard_rows=64)
+    assert {r.doc_id for r in out.collect()} == {i for i, _ in rows}
+    got = out.select(*[c for c in out.columns if c != "doc_id"], out.doc_id.cast("string").alias("doc_id")).toPandas()
+    rows = [(None if i is None else str(i), t) for i, t in rows]
     check(got, rows)
     used = got.groupby("sequence_id").length.sum()
     assert (used < WINDOW).sum() <= 3

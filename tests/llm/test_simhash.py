@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+from photonloom.llm.common import hot_keys, join_split
 from photonloom.llm.graph import connected_components
 from photonloom.llm.simhash import fingerprint, near_duplicates
 
@@ -56,6 +57,18 @@ def test_empty_table_and_repeated_rows(spark):
     assert near_duplicates(empty).collect() == []
     twice = spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
     assert [r.component_id for r in near_duplicates(twice).collect()] == [5, 5, 5]
+    exact = spark.createDataFrame([(2**53 + 1, "a b c d e"), (None, "other words that are here now")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(exact).collect()} == {(2**53 + 1, 2**53 + 1), (None, None)}
+
+
+def test_hot_and_rare_keys_are_joined_alike(spark):
+    big = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(30_000)] + [(-1, None)], "n long, key string").repartition(4)
+    counts = big.groupBy("key").count().withColumnRenamed("count", "n")
+    hot = hot_keys(counts)
+    assert [r.key for r in hot.collect()] == ["hot"]
+    small = counts.where("key <> 'k9'").select("key", "n").withColumnRenamed("n", "m")
+    got = {r.n: r.m for r in join_split(big, small, "key", hot).collect()}
+    assert got == {k: 20_000 if k % 3 else (None if k == 9 else 1) for k in range(30_000)} | {-1: None}
 
 
 def test_chain_of_links(spark):

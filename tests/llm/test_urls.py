@@ -3,7 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.ml.linalg import Vectors
 
+import photonloom.llm.urls as module
 from photonloom.llm.urls import RULES, judge, train, with_lexical
 
 URLS = [None, "", "nothing", "http://", "HTTP://A.Example.ORG/es/x?y#z", "http://example.org", "http://example.org?x=/es/", "http://example.org/en/12", "http://notexample.org/es/", "http://com/fr/", "http://a.com/de/1?b=c&d=e#f", "ftp://x://y/z", "http://a.net/\nq", "http://org:80/", "http://" + "a" * 50000 + ".com/fr/"]
@@ -59,6 +61,49 @@ def test_trees_learn_what_is_lexical(spark):
     assert out.where("learned = label").count() > 480
 
 
+def test_every_suffix_has_statistics(spark):
+    """1500 suffixes, one of which a third of all rows have."""
+    rows = [(f"http://a.s{k}/{'b' if k % 3 else 'c'}/{j}", "block" if k % 3 else "allow") for k in range(1500) for j in range(2)] + [(f"http://x{j}.hot/", "block") for j in range(1500)]
+    df = with_lexical(spark.createDataFrame(rows, "url string, label string"))
+    model = train(df)
+    assert model.suffixes.count() == 1501
+    got = {(r.suffix, r.suffix_rows, round(r.suffix_share, 6)) for r in model.features(df).collect()}
+    assert got == {(f"s{k}", 2.0, 0.75 if k % 3 else 0.25) for k in range(1500)} | {("hot", 1500.0, round(1501 / 1502, 6))}
+
+
+def plain_features(url, suffix_rows, suffix_share):
+    host, path, *_ = plain(url)
+    url = url or ""
+    m = re.search(r"\?([^#]*)", url)
+    query, text = m[1] if m else "", host + path
+    entropy = -sum(text.count(c) / len(text) * math.log(text.count(c) / len(text)) for c in set(text))
+    return [len(url), len(host), len(path), path.count("/"), host.count("."), sum(c in "0123456789" for c in url) / max(len(url), 1), host.count("-"), entropy, query.count("&") + 1 if query else 0, len(query), suffix_share, suffix_rows]
+
+
+def test_verdicts_equal_trees_on_plain_features(judged):
+    """The model's trees, walked on features computed in plain Python."""
+    urls, _, df = judged
+    rows = with_lexical(df.select("page_id", "url"))
+    _, says = module.rule_of("host", "path")
+    model = train(rows.withColumn("says", says), "says")
+    labels = {k: plain(u)[3] for k, u in enumerate(urls)}
+    by = {}
+    for k, u in enumerate(urls):
+        if labels[k]:
+            by.setdefault(plain(u)[0].split(".")[-1], []).append(labels[k] == "block")
+    every = [v for own in by.values() for v in own]
+    for r in model.verdict(rows).collect():
+        own = by.get(plain(r.url)[0].split(".")[-1])
+        share, n = ((sum(own) + 1) / (len(own) + 2), len(own)) if own else (sum(every) / len(every), 0)
+        x = plain_features(r.url, n, share)
+        assert r.learned == ("block" if model.trees.predict(Vectors.dense(x)) > 0 else "allow"), r.url
+
+
+def test_ids_stay_exact(spark):
+    df = spark.createDataFrame([(2**53 + 1, "http://a.org/"), (None, None)], "page_id long, url string")
+    assert {r.page_id for r in judge(df).collect()} == {2**53 + 1, None}
+
+
 def test_no_python_on_the_executors(judged):
     plan = judge(judged[2])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from photonloom.llm.common import shared_path
 from photonloom.llm.warc import parsed, ranges, read_records, record, write_archives
@@ -12,7 +13,7 @@ from photonloom.llm.warc import parsed, ranges, read_records, record, write_arch
 rng = random.Random(1)
 HTML = [None, "", "é\r\n\r\nWARC/1.1\r\n", "x" * 300_000, "same", "same"] + ["<p>" + "".join(rng.choice("abc ") for _ in range(500)) for _ in range(60)]
 ROWS = [(k, None if k % 7 == 0 else f"http://h/{k}\nx", h, "o", 1) for k, h in enumerate(HTML)]
-ROWS += [(90, "u", HTML[10], "o", 1), (90, "u", HTML[10], "o", 1), (4, "u", "same", "o", 1), (None, "u", HTML[11], "o", 1), (None, None, "lone", "o", 1)]
+ROWS += [(90, "u", HTML[10], "o", 1), (90, "u", HTML[10], "o", 1), (4, "u", "same", "o", 1), (None, "u", HTML[11], "o", 1), (None, None, "lone", "o", 1), (2**53 + 1, "u", "lone too", "o", 1)]
 
 
 def expected(min_bytes=0):
@@ -39,6 +40,16 @@ def test_round_trip(spark, min_bytes):
     assert whole.count(b"WARC-Type: ") == len(ROWS)
 
 
+def test_archives_are_read_by_several_tasks(spark):
+    df = spark.createDataFrame([(k, "u", "".join(rng.choice("abcdefgh") for _ in range(20_000))) for k in range(120)], "page_id long, url string, html string").repartition(4)
+    folder = shared_path(spark, "test")
+    index = write_archives(df, folder, archive_bytes=100_000)
+    size = index.agg(F.sum("length")).first()[0]
+    got = read_records(index, folder, task_bytes=50_000).withColumn("task", F.spark_partition_id())
+    by_task = got.join(index.select("id", "length"), "id").groupBy("task").agg(F.sum("length").alias("n")).collect()
+    assert len(by_task) > 6 and max(r.n for r in by_task) < size / 3
+
+
 def test_ranges_coalesce(spark):
     df = spark.createDataFrame([("f", 0, 10), ("f", 10, 5), ("f", 500, 10), ("f", 1500, 20), ("g", 3, 4)], "file string, offset long, length long")
     got = sorted((r.file, r.start, r.stop, len(r.parts)) for r in ranges(df, gap=600, stretch=1000).collect())
