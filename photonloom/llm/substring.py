@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ SPAN = WINDOW - GRAM
 SHARD_WORDS, SLICE_ROWS = 100_000, 20_000
 #: Filter bits for each key, and the most bits that are broadcast.
 FILTER_BITS_A_KEY, FILTER_LIMIT = 16, 1 << 30
-_SEED = 0x5EED
+_BLOCK_WORDS = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -50,30 +49,37 @@ def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[name]
 
 
-class _WordHashes(dict):
-    """Hashes of words; those of common lengths are kept, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, _SEED)
-        if len(word) <= 32:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_word_hashes = _WordHashes()
+def _word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes, from prefix sums over blocks of words."""
+    out = np.empty(len(start), np.uint64)
+    for k in range(0, len(start), _BLOCK_WORDS):
+        a, b = start[k : k + _BLOCK_WORDS], stop[k : k + _BLOCK_WORDS]
+        part = raw[a[0] : b[-1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _table("up", _BASE, len(part))[: len(part)], out=sums[1:])
+        h = (sums[b - a[0]] - sums[a - a[0]]) * _table("down", _BACK, len(part) + 1)[a - a[0]]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        out[k : k + _BLOCK_WORDS] = h ^ (h >> np.uint64(29))
+    return out
 
 
 class Words:
-    """Words, with hashes of all their k-grams from one prefix sum over the words' own hashes."""
-
-    def __init__(self, words: list[bytes]):
-        self.words, self.n = words, len(words)
-        self.own = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, self.n)
+    """Words joined by one space each, where they begin and end, and hashes of all their k-grams from one prefix sum over the words' hashes."""
+
+    def __init__(self, blob: bytes):
+        self.blob, raw = blob, np.frombuffer(blob, np.uint8)
+        spaces = np.flatnonzero(raw == 0x20)
+        self.start, self.stop = (np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(raw)]])) if blob else (spaces, spaces)
+        self.n = len(self.start)
+        self.own = _word_hashes(raw, self.start, self.stop)
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(self.own * _table("up", _BASE, self.n)[: self.n], out=self.sums[1:])
 
+    def text(self, a: int, b: int) -> bytes:
+        """Words a to b, the latter exclusive."""
+        return self.blob[self.start[a] : self.stop[b - 1]]
+
     def hashes(self, k: int) -> np.ndarray:
         if self.n < k:
             return np.empty(0, np.uint64)
@@ -104,8 +110,9 @@ class Words:
         return own[first], first, np.diff(np.concatenate([first, [len(own)]]))
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").split()
+def split(text: str | None) -> bytes:
+    """The words of a text, joined by one space."""
+    return b" ".join((text or "").encode("utf-8", "replace").split())
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -192,24 +199,34 @@ class _Twice(dict):
 _CONTEXT = "key binary, h long, first int, size int, cid long, words binary"
 
 
-def _context_rows(key: bytes, words: list[bytes], h: np.ndarray, first: np.ndarray, size: np.ndarray) -> pd.DataFrame:
-    """The words of each run of windows; cid names the place."""
-    base = np.frombuffer(key[8:], "<u8") ^ (first.astype(np.uint64) * _BASE)
-    cid = (base ^ (base >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    text = [b" ".join(words[a : a + n + WINDOW - 1]) for a, n in zip(first.tolist(), size.tolist())]
-    return pd.DataFrame({"key": [key] * len(h), "h": _long(np.ascontiguousarray(h)), "first": first.astype(np.int32), "size": size.astype(np.int32), "cid": _long(cid), "words": text})
+class _Contexts:
+    """Rows of the words of runs of windows; cid names the place."""
 
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+        self.size = 0
 
-def _packed(frames: Iterator[pd.DataFrame], most: int = 4 << 20) -> Iterator[pd.DataFrame]:
-    held, size = [], 0
-    for f in frames:
-        held.append(f)
-        size += 400 * len(f)
-        if size > most:
-            yield pd.concat(held, ignore_index=True)
-            held, size = [], 0
-    if held:
-        yield pd.concat(held, ignore_index=True)
+    def add(self, key: bytes, words: Words, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        base = np.frombuffer(key[8:], "<u8") ^ (first.astype(np.uint64) * _BASE)
+        cid = (base ^ (base >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        text = [words.blob[a:b] for a, b in zip(words.start[first].tolist(), words.stop[first + size + WINDOW - 2].tolist())]
+        self.parts.append(([key] * len(h), h, first, size, cid, text))
+        self.size += 100 * len(h) + sum(map(len, text))
+
+    def frame(self) -> pd.DataFrame:
+        key, h, first, size, cid, text = zip(*self.parts)
+        whole = lambda lists: [v for own in lists for v in own]
+        out = pd.DataFrame({"key": whole(key), "h": _long(np.concatenate(h)), "first": np.concatenate(first).astype(np.int32), "size": np.concatenate(size).astype(np.int32), "cid": _long(np.concatenate(cid)), "words": whole(text)})
+        self.parts, self.size = [], 0
+        return out
+
+    def frames(self, rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+        for r in rows:
+            self.add(*r)
+            if self.size > most:
+                yield self.frame()
+        if self.parts:
+            yield self.frame()
 
 
 def contexts(texts: DataFrame, repeated: DataFrame, limit: int) -> DataFrame:
@@ -221,30 +238,27 @@ def contexts(texts: DataFrame, repeated: DataFrame, limit: int) -> DataFrame:
         def by_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known, seen = Filter(shared.value), _Twice()
 
-            def rows() -> Iterator[pd.DataFrame]:
+            def rows() -> Iterator[tuple]:
                 for x in batches:
                     for text in x["text"]:
                         words = Words(split(text))
                         h, first, size = words.anchored()
                         maybe = known.has(h)
                         if maybe.any() and seen.new(key := _key(text)):
-                            yield _context_rows(key, words.words, h[maybe], first[maybe], size[maybe])
+                            yield key, words, h[maybe], first[maybe], size[maybe]
 
-            yield from _packed(rows())
+            yield from _Contexts().frames(rows())
 
         return texts.mapInPandas(by_filter, _CONTEXT)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = _Twice()
 
-        def rows() -> Iterator[pd.DataFrame]:
-            for x in batches:
-                for text in x["text"]:
-                    h, first, size = Words(split(text)).anchored()
-                    if len(h) and seen.new(key := _key(text)):
-                        yield pd.DataFrame({"key": [key] * len(h), "h": _long(h), "first": first.astype(np.int32), "size": size.astype(np.int32)})
-
-        yield from _packed(rows())
+        for x in batches:
+            for text in x["text"]:
+                h, first, size = Words(split(text)).anchored()
+                if len(h) and seen.new(key := _key(text)):
+                    yield pd.DataFrame({"key": [key] * len(h), "h": _long(h), "first": first.astype(np.int32), "size": size.astype(np.int32)})
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = _Twice()
@@ -254,38 +268,34 @@ def contexts(texts: DataFrame, repeated: DataFrame, limit: int) -> DataFrame:
             yield pd.DataFrame([(k, t) for k, t, n in zip(keys, x["text"], new) if n], columns=["key", "text"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for key, text, places in zip(x["key"], x["text"], x["places"]):
-                h, first, size = (np.array([p[c] for p in places], np.int64) for c in ("h", "first", "size"))
-                yield _context_rows(key, split(text), h.view(np.uint64), first, size)
+        def rows() -> Iterator[tuple]:
+            for x in batches:
+                for key, text, places in zip(x["key"], x["text"], x["places"]):
+                    h, first, size = (np.array([p[c] for p in places], np.int64) for c in ("h", "first", "size"))
+                    yield key, Words(split(text)), h.view(np.uint64), first, size
+
+        yield from _Contexts().frames(rows())
 
     found = join_split(texts.mapInPandas(grams, "key binary, h long, first int, size int"), repeated, "h", hot_keys(repeated)).where("n is not null")
     places = found.groupBy("key").agg(F.collect_set(F.struct("h", "first", "size")).alias("places"))
     return texts.mapInPandas(keyed, "key binary, text string").join(places, "key").mapInPandas(cut, _CONTEXT)
 
 
-class Places:
-    """The words of many runs of windows as one list, with the hash and the validity of each window that begins at a word."""
+class Places(Words):
+    """The words of many runs of windows in a row, with the hash and the validity of each window that begins at a word."""
 
     def __init__(self, texts: list[bytes], size: np.ndarray):
-        self.blob = b" ".join(texts)
-        self.all = Words(self.blob.split())
+        super().__init__(b" ".join(texts))
         self.begin = np.concatenate([[0], np.cumsum(size + WINDOW - 1)[:-1]]).astype(np.int64) if len(size) else np.empty(0, np.int64)
-        self.hashes = self.all.hashes(WINDOW)
-        steps = np.zeros(self.all.n + 1, np.int64)
+        self.windows = self.hashes(WINDOW)
+        steps = np.zeros(self.n + 1, np.int64)
         steps[self.begin] += 1
         steps[self.begin + size] -= 1
-        self.valid = np.flatnonzero(np.cumsum(steps)[: len(self.hashes)] > 0)
-
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where each word begins and ends in blob."""
-        length = np.fromiter(map(len, self.all.words), np.int64, self.all.n)
-        stop = np.cumsum(length + 1) - 1
-        return stop - length, stop
+        self.valid = np.flatnonzero(np.cumsum(steps)[: len(self.windows)] > 0)
 
     def code(self) -> str:
         """Two characters for each word, from two alphabets of 64, which keep an automaton's nodes narrow and its hits on word boundaries."""
-        h = self.all.own
+        h = self.own
         return np.stack([h & np.uint64(63), ((h >> np.uint64(6)) & np.uint64(63)) + np.uint64(64)], axis=1).astype(np.uint8).tobytes().decode("latin-1")
 
 
@@ -299,7 +309,7 @@ def recurring_windows(places: DataFrame) -> DataFrame:
                 size = part["size"].to_numpy(np.int64)
                 found = Places(part["words"].tolist(), size)
                 # windows come in the order of the places
-                yield pd.DataFrame({"w": _long(found.hashes[found.valid]), "h": np.repeat(part["h"].to_numpy(), size), "cid": np.repeat(part["cid"].to_numpy(), size)})
+                yield pd.DataFrame({"w": _long(found.windows[found.valid]), "h": np.repeat(part["h"].to_numpy(), size), "cid": np.repeat(part["cid"].to_numpy(), size)})
 
     rows = places.select("h", "size", "cid", "words").mapInPandas(run, "w long, h long, cid long")
     return rows.groupBy("w", "h").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n > 1").select("w", "h", "cid")
@@ -310,15 +320,25 @@ def passages(places: DataFrame, windows: DataFrame) -> DataFrame:
     owned = windows.groupBy("cid", "h").agg(F.collect_set("w").alias("own"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            for h, text, own in zip(x["h"], x["words"], x["own"]):
-                words = Words(text.split())
-                for a, b in runs(np.isin(_long(words.hashes(WINDOW)), np.asarray(own, np.int64))):
-                    out.append((h, b" ".join(words.words[a : b + WINDOW - 1]), b - a + WINDOW - 1))
-            yield pd.DataFrame(out, columns=["h", "phrase", "n_words"])
-
-    return owned.join(places.select("cid", "h", "words"), ["cid", "h"]).select("h", "words", "own").mapInPandas(cut, "h long, phrase binary, n_words long").dropDuplicates(["h", "phrase"])
+        for whole in batches:
+            for k in range(0, len(whole), 5000):
+                x = whole.iloc[k : k + 5000]
+                size = x["size"].to_numpy(np.int64)
+                found = Places(x["words"].tolist(), size)
+                own = np.concatenate(x["own"].tolist())
+                order = np.argsort(own, kind="stable")
+                own, row = own[order], np.repeat(np.arange(len(x)), [len(v) for v in x["own"]])[order]
+                w, of = _long(found.windows[found.valid]), np.repeat(np.arange(len(x)), size)
+                at = np.minimum(np.searchsorted(own, w), len(own) - 1)
+                keep = (own[at] == w) & (row[at] == of)
+                at, of = found.valid[keep], of[keep]
+                head = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 0)])) if len(at) else at
+                tail = np.concatenate([head[1:], [len(at)]]) - 1 if len(at) else at
+                n_words = at[tail] - at[head] + WINDOW
+                text = [found.blob[a:b] for a, b in zip(found.start[at[head]].tolist(), found.stop[at[tail] + WINDOW - 1].tolist())]
+                yield pd.DataFrame({"h": x["h"].to_numpy()[of[head]], "phrase": text, "n_words": n_words})
+
+    return owned.join(places.select("cid", "h", "size", "words"), ["cid", "h"]).select("h", "size", "words", "own").mapInPandas(cut, "h long, phrase binary, n_words long").dropDuplicates(["h", "phrase"])
 
 
 class Shard:
@@ -329,37 +349,40 @@ class Shard:
 
         size = np.array([p.count(b" ") + 2 - WINDOW for p in phrases], np.int64)
         found = Places(phrases, size)
-        code, grams = found.code(), found.all.hashes(GRAM)
+        # the anchor's own place in each passage: all windows of the passage hold it whole
+        of, grams = np.repeat(np.arange(len(size)), size + WINDOW - 1), found.hashes(GRAM)
+        hits = np.flatnonzero(_long(grams) == np.array(anchors, np.int64)[of[: len(grams)]])
+        _, k = np.unique(of[hits], return_index=True)
+        code = found.code()
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for a, begin, n in zip(anchors, found.begin.tolist(), size.tolist()):
-            # the anchor's own place in the passage: all windows of the passage hold it whole
-            at = begin + int(np.flatnonzero(grams[begin : begin + n + SPAN] == np.uint64(a & 0xFFFFFFFFFFFFFFFF))[0])
-            self.automaton.add_word(code[2 * at : 2 * (at + GRAM)])
+        for word in {code[2 * at : 2 * (at + GRAM)] for at in hits[k].tolist()}:
+            self.automaton.add_word(word)
         self.automaton.make_automaton()
-        self.windows, k = np.unique(found.hashes[found.valid], return_index=True)
-        self.at, self.blob = found.valid[k], found.blob
-        self.start, self.stop = found.bounds()
+        self.windows, k = np.unique(found.windows[found.valid], return_index=True)
+        self.at, self.blob, self.start, self.stop = found.valid[k], found.blob, found.start, found.stop
 
     def occurrences(self, places: Places) -> np.ndarray:
         """Windows of places, by their first word, that are windows of the passages, word by word."""
         last = np.fromiter((at for at, _ in self.automaton.iter(places.code())), np.int64)
         gram = (last + 1) // 2 - GRAM
-        steps = np.zeros(places.all.n + 2, np.int64)
-        np.add.at(steps, np.maximum(gram - SPAN, 0), 1)
-        np.add.at(steps, gram + 1, -1)
+        steps = np.bincount(np.maximum(gram - SPAN, 0), minlength=places.n + 2) - np.bincount(gram + 1, minlength=places.n + 2)
         at = places.valid[np.cumsum(steps)[places.valid] > 0]
-        k = np.minimum(np.searchsorted(self.windows, places.hashes[at]), len(self.windows) - 1)
-        same = self.windows[k] == places.hashes[at]
+        k = np.minimum(np.searchsorted(self.windows, places.windows[at]), len(self.windows) - 1)
+        same = self.windows[k] == places.windows[at]
         at, to = at[same], self.at[k[same]]
-        start, stop = places.bounds()
-        keep = np.zeros(len(at), bool)
-        cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(to) != 1)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]) if len(at) else ():
-            equal = lambda i, j: places.blob[start[at[i]] : stop[at[j - 1] + WINDOW - 1]] == self.blob[self.start[to[i]] : self.stop[to[j - 1] + WINDOW - 1]]  # noqa: B023, E731
-            if equal(a, b):
-                keep[a:b] = True
-            else:
-                keep[a:b] = [equal(i, i + 1) for i in range(a, b)]
+
+        def equal(first: np.ndarray, last: np.ndarray) -> list[bool]:
+            bounds = places.start[at[first]], places.stop[at[last] + WINDOW - 1], self.start[to[first]], self.stop[to[last] + WINDOW - 1]
+            return [places.blob[a:b] == self.blob[c:d] for a, b, c, d in zip(*(v.tolist() for v in bounds))]
+
+        if not len(at):
+            return at
+        first = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (np.diff(to) != 1)) + 1])
+        last = np.concatenate([first[1:], [len(at)]]) - 1
+        keep = np.repeat(equal(first, last), last - first + 1)
+        # where a run isn't equal as a whole, each of its windows counts for itself
+        rest = np.flatnonzero(~keep)
+        keep[rest] = equal(rest, rest)
         return at[keep]
 
 
@@ -426,16 +449,18 @@ def occurrences(places: DataFrame, phrases: DataFrame, folder: str, shard_words:
     return ranges.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
-def without(words: list[bytes], ranges: list) -> tuple[int, int, str]:
+def without(text: str | None, ranges: list) -> tuple[int, int, str]:
     """(words, words removed, the others joined by one space)."""
     if not len(ranges):
-        return len(words), 0, b" ".join(words).decode("utf-8")
-    steps = np.zeros(len(words) + 1, np.int64)
+        blob = split(text)
+        return blob.count(b" ") + bool(blob), 0, blob.decode("utf-8")
+    words = Words(split(text))
+    steps = np.zeros(words.n + 1, np.int64)
     for r in ranges:
         steps[r["a"]] += 1
         steps[r["b"]] -= 1
-    gone = np.cumsum(steps)[: len(words)] > 0
-    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8")
+    gone = np.cumsum(steps)[: words.n] > 0
+    return words.n, int(gone.sum()), b" ".join([words.text(a, b) for a, b in runs(~gone)]).decode("utf-8")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, slice_rows: int = SLICE_ROWS, filter_limit: int = FILTER_LIMIT) -> DataFrame:
@@ -462,7 +487,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known = Filter(shared.value)
         for x in batches:
             _, named = keyed(x, known)
-            rows = [(i, *without(split(t), ())) for i, t, n in zip(x["id"], x["text"], named) if not n]
+            rows = [(i, *without(t, ())) for i, t, n in zip(x["id"], x["text"], named) if not n]
             yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept"])
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -480,7 +505,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = [(k, *without(split(t), () if r is None else r)) for k, t, r in zip(x["key"], x["text"], x["ranges"])]
+            out = [(k, *without(t, () if r is None else r)) for k, t, r in zip(x["key"], x["text"], x["ranges"])]
             yield pd.DataFrame(out, columns=["key", "n_words", "n_removed", "kept"])
 
     met = texts.mapInPandas(named_texts, "key binary, text string").dropDuplicates(["key"]).join(ranges, "key", "left")

@@ -60,7 +60,7 @@ def test_equals_brute_force(spark, shard_words, slice_rows, limit):
 def test_equal_hashes_are_not_enough():
     """A window is removed only where its words are those of a passage."""
     text = [f"v{k}" for k in range(40)]
-    anchor = Words([w.encode() for w in text]).anchored()[0]
+    anchor = Words(" ".join(text).encode()).anchored()[0]
     shard = Shard([int(anchor.view(np.int64)[0])], [" ".join(text).encode()])
     places = Places([" ".join(text).encode()], np.array([6]))
     assert shard.occurrences(places).tolist() == list(range(6))
