@@ -91,23 +91,29 @@ class Words:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Gram hashes, and for each window the place of the leftmost smallest one in it."""
         h = self.hashes(GRAM)
-        at = np.arange(len(h))
+        low, at = h, np.arange(len(h))
         size, width = 1, SPAN + 1
         if self.n < WINDOW:
             return h, at[:0]
         while size < width:
             step = min(size, width - size)
-            a, b = at[:-step], at[step:]
-            at = np.where(h[b] < h[a], b, a)
+            later = low[step:] < low[:-step]
+            at = np.where(later, at[step:], at[:-step])
+            low = np.minimum(low[step:], low[:-step])
             size += step
         return h, at
 
     def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor hash, first window, windows) of each run of windows that share their anchor."""
-        h, at = self.anchors()
-        own = h[at]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else at
-        return own[first], first, np.diff(np.concatenate([first, [len(own)]]))
+        low, size, width = self.hashes(GRAM), 1, SPAN + 1
+        if self.n < WINDOW:
+            low = low[:0]
+        while len(low) and size < width:
+            step = min(size, width - size)
+            low = np.minimum(low[step:], low[:-step])
+            size += step
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.empty(0, np.int64)
+        return low[first], first, np.diff(np.concatenate([first, [len(low)]]))
 
 
 def split(text: str | None) -> bytes:
