@@ -115,10 +115,6 @@ union all select null, count(*), round(median(delta), 6), round(avg((delta > 0):
     "candidate_select": f"""with {LAGS}, c as (select fly, value, unnest([0, 1, 2]) ordinal, unnest(['x1', 'x2', 'both']) kind, unnest([x1, x2, (x1 + x2) / 2]) pr from l), s as (select fly, ordinal, kind, round({_r2('value', 'pr')}, 6) r2 from c group by all),
 t as (select *, row_number() over (partition by fly order by r2 desc, ordinal) o from s) select fly, kind, r2 from t where o = 1""",
     "stimulus_identity": "select user_id, count(distinct event_type) kinds from events group by user_id having count(distinct event_type) > 1",
-    "registry_upsert": """with o as (select event_id, event_type, 'old' note from events where event_id between 0 and 99), n as (select event_id, event_type, 'new' note from events where event_id between 50 and 149)
-select event_id::varchar experiment_id, event_type model, '' fold, note notes from (select * from n union all select * from o where event_id not in (select event_id from n))""",
-    "json_diff": """with l as (select event_id id, json_extract_string(props, '$.k') v from events where event_id < 400), r as (select event_id - 1 id, json_extract_string(props, '$.k') v from events where event_id between 101 and 500)
-select coalesce(l.id, r.id) id, '/k' path, case when r.id is null then 'left_only' when l.id is null then 'right_only' when abs(l.v::double - r.v::double) <= 1e-8 + 1e-8 * abs(r.v::double) then 'same' else 'differs' end status, abs(l.v::double - r.v::double) delta from l full join r on l.id = r.id""",
     "csv_profile": "select 'l_orderkey' \"column\", count(*) row_count, count(l_orderkey) nonempty, min(l_orderkey)::double low, max(l_orderkey)::double high from lineitem union all select 'l_returnflag', count(*), count(nullif(l_returnflag, '')), null, null from lineitem union all select 'l_quantity', count(*), count(l_quantity), min(l_quantity), max(l_quantity) from lineitem",
     "file_role": "with s as (select page_id, list_extract(string_split(url, '/'), -1) name, coalesce(list_extract(string_split(url, '/'), 4), '') folder from pages) select page_id, case "
     + " ".join(f"when regexp_matches({dict(name='name', folder='folder', both=chr(39).join(['folder || ', '/', ' || name']))[on]}, '{pattern}') then '{what}'" for on, pattern, what, _ in FILE_RULES)
@@ -130,13 +126,13 @@ select coalesce(l.id, r.id) id, '/k' path, case when r.id is null then 'left_onl
   union all select e.event_id, e.fly, e.rn, e.n, e.t, e.value, b.b + (1 - exp(-((e.t - b.t) / 1e6 / {TAU}))) * (e.value - b.b) from b join e on e.fly = b.fly and e.rn = b.rn + 1),
 s as (select event_id, fly, value - b y, {SPLIT} split from b where rn >= {HISTORY}), c as (select fly, avg(y) m, stddev_pop(y) sd from s where split = 'train' group by fly)
 select event_id, split, round((y - m) / case when sd < 1e-8 then 1 else sd end, 6) z from s join c using (fly)""",
-    "replay_check": "with a as (select event_id, value from events where event_id < 400), c as (select event_id, value + case when event_id % 50 = 0 then 1.0 else 0.0 end v from a where event_id >= 10) select event_id, round(value, 6) saved, round(v, 6) current from a full join c using (event_id) where coalesce(abs(value - v) > 1e-9 + 1e-9 * abs(v), true)",
-    "registry_upsert_all": """with o as (select event_id, event_type, 'old' note from events), n as (select event_id + 50 event_id, event_type, 'new' note from events)
+    "registry_upsert": """with o as (select event_id, event_type, 'old' note from events), n as (select event_id + 50 event_id, event_type, 'new' note from events)
 select event_id::varchar experiment_id, event_type model, '' fold, note notes from (select * from n union all select * from o where event_id not in (select event_id from n))""",
-    "json_diff_all": """with l as (select event_id id, json_extract_string(props, '$.k') v from events), r as (select event_id - 1 id, json_extract_string(props, '$.k') v from events)
+    "json_diff": """with l as (select event_id id, json_extract_string(props, '$.k') v from events), r as (select event_id - 1 id, json_extract_string(props, '$.k') v from events)
 select coalesce(l.id, r.id) id, '/k' path, case when r.id is null then 'left_only' when l.id is null then 'right_only' when abs(l.v::double - r.v::double) <= 1e-8 + 1e-8 * abs(r.v::double) then 'same' else 'differs' end status, abs(l.v::double - r.v::double) delta from l full join r on l.id = r.id""",
-    "replay_check_all": "with a as (select event_id, value from events), c as (select event_id, value + case when event_id % 50 = 0 then 1.0 else 0.0 end v from a where event_id >= 10) select event_id, round(value, 6) saved, round(v, 6) current from a full join c using (event_id) where coalesce(abs(value - v) > 1e-9 + 1e-9 * abs(v), true)",
+    "replay_check": "with a as (select event_id, value from events), c as (select event_id, value + case when event_id % 50 = 0 then 1.0 else 0.0 end v from a where event_id >= 10) select event_id, round(value, 6) saved, round(v, 6) current from a full join c using (event_id) where coalesce(abs(value - v) > 1e-9 + 1e-9 * abs(v), true)",
     "validation_rollup": f"with {EVIDENCE}, k as (select *, row_number() over (order by p, roi) o, count(*) over () m from ev), q as (select r, late_r, round(least(1.0, min(p * m / o) over (order by o rows between current row and unbounded following)), 6) q from k) select count(*) responses, count(*) filter (r > 0.05) validation_selected, count(*) filter (r > 0.05 and late_r > 0) selected_test_positive, count(*) filter (late_r > 0 and q < 0.9) test_positive_and_q from q",
     "dataset_diagnostics": f"""with {E}, s as (select *, {SPLIT} split from e), o as (select fly, user_id, count(*) c, stddev_pop(value) filter (split = 'train') sd, avg(value) filter (rn > 0.75 * n) - avg(value) filter (rn <= 0.25 * n) drift from s group by all)
 select fly, sum(c)::bigint observations, count(*) rois, round(median(sd), 6) median_train_sd, round(median(drift), 6) median_drift from o group by fly""",
 }
+SQL |= {f"{name}_all": SQL[name] for name in ("registry_upsert", "json_diff", "replay_check")}

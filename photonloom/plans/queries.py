@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from photonloom.functions.exprs import dot, micros, pearson, r_squared
 from photonloom.operators import baseline, clocks, compare, history, linear, scores, significance, splits
 from photonloom.operators.moments import moments
-from photonloom.plans import experiments, reliability
+from photonloom.plans import experiments, pixels, reliability
 from photonloom.plans.events import HISTORY, embedding_sessions, events, plain_events, session_moments, table, with_lags
 from photonloom.sources import inventory as inventories
 from photonloom.sources import stimulus
@@ -291,7 +291,8 @@ def predict_from_params(spark, sf):
 def vector_projection(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     kernel = v.where("vec_id = 0").select(F.col("embedding").alias("kernel"), F.lit(1).alias("k"))
-    return v.withColumn("k", F.lit(1)).join(kernel, "k").select("vec_id", r6(dot("embedding", "kernel"), "projection"))
+    # one row
+    return v.withColumn("k", F.lit(1)).join(F.broadcast(kernel), "k").select("vec_id", r6(dot("embedding", "kernel"), "projection"))
 
 
 @query
@@ -348,7 +349,7 @@ def bh_qvalues(spark, sf):
 
 @query
 def block_bootstrap_ci(spark, sf):
-    return significance.block_bootstrap(_paired(spark, sf), ["fly"], "value", "x1", 68, 200)
+    return significance.block_bootstrap(_paired(spark, sf), ["fly"], "value", "x1")
 
 
 def _evidence(spark, sf):
@@ -407,29 +408,17 @@ def stimulus_identity(spark, sf):
 
 @query
 def registry_upsert(spark, sf):
-    e = table(spark, sf, "events")
-    rows = lambda a, b, note: e.where(F.col("event_id").between(a, b)).select(F.col("event_id").alias("experiment_id"), F.col("event_type").alias("model"), F.lit(note).alias("notes"))
-    return compare.upsert(rows(0, 99, "old"), rows(50, 149, "new"), fields=("experiment_id", "model", "fold", "notes"))
-
-
-@query
-def registry_upsert_all(spark, sf):
     """All events as old rows, and all with ids shifted by 50 as new ones."""
     e = table(spark, sf, "events")
     rows = lambda shift, note: e.select((F.col("event_id") + shift).alias("experiment_id"), F.col("event_type").alias("model"), F.lit(note).alias("notes"))
     return compare.upsert(rows(0, "old"), rows(50, "new"), fields=("experiment_id", "model", "fold", "notes"))
 
 
-@query
-def json_diff(spark, sf):
-    e = table(spark, sf, "events")
-    left = compare.flattened(e.where("event_id < 400"), "event_id", "props")
-    right = compare.flattened(e.where("event_id between 101 and 500").withColumn("event_id", F.col("event_id") - 1), "event_id", "props")
-    return compare.json_diff(left, right).select("id", "path", "status", "delta")
+QUERIES["registry_upsert_all"] = QUERIES["registry_upsert"]
 
 
 @query
-def json_diff_all(spark, sf):
+def json_diff(spark, sf):
     """All events against all events with ids shifted by one."""
     e = table(spark, sf, "events")
     left = compare.flattened(e, "event_id", "props")
@@ -437,6 +426,9 @@ def json_diff_all(spark, sf):
     return compare.json_diff(left, right).select("id", "path", "status", "delta")
 
 
+QUERIES["json_diff_all"] = QUERIES["json_diff"]
+
+
 @query
 def csv_profile(spark, sf):
     rows = table(spark, sf, "lineitem").select(*[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_returnflag", "l_quantity")])
@@ -476,13 +468,18 @@ def _model(name: str, build) -> None:
 
 
 _model("ridge_multi", linear.individual_ridge)
-_model("pixel_model", lambda s: linear.individual_pixel(s, 4))
+_model("individual_pixel", lambda s: linear.individual_pixel(s, 4))
 _model("reverse_correlation", lambda s: linear.sta(s, 4))
 _model("shared_kernel", linear.shared_kernel)
 _model("hierarchical_deviation", lambda s: linear.hierarchical(s, linear.shared_kernel(s)))
 _model("low_rank_basis", lambda s: linear.low_rank(s, linear.individual_ridge(s), 4))
 
 
+@query
+def pixel_model(spark, sf):
+    return pixels.pixel_report(_numbered_vectors(spark, sf), 4, 4, exclusion=5)
+
+
 @query
 def population_ridge(spark, sf):
     rows = embedding_sessions(spark, sf).where("split <> 'purge'").withColumn("y", F.array((F.col("y")[0] + F.col("y")[1]) / 2))
@@ -513,7 +510,7 @@ def rank_one_energy(spark, sf):
 def experiment_matrix(spark, sf):
     rows = experiments.numbered(embedding_sessions(spark, sf).drop("rn", "split"), ["session"], "vec_id")
     folds = experiments.fold_labels(4, {"fold_a": (0.5, 0.7, 1.0), "fold_b": (0.4, 0.6, 0.8)})
-    return experiments.run_matrix(rows, folds, 4, ("individual_ridge", "individual_pixel", "shared_kernel"))
+    return experiments.run_matrix(rows, folds, 4, experiments.MODELS)
 
 
 @query
@@ -525,19 +522,15 @@ def processed_target(spark, sf):
 
 @query
 def replay_check(spark, sf):
-    e = events(spark, sf).where("event_id < 400").select("event_id", F.col("value").alias("predicted"))
-    current = e.where("event_id >= 10").withColumn("predicted", F.col("predicted") + F.when(F.col("event_id") % 50 == 0, 1.0).otherwise(0.0))
-    return experiments.replay_differences(e, current, ["event_id"]).select("event_id", r6("saved"), r6("current"))
-
-
-@query
-def replay_check_all(spark, sf):
     """All events against a replay with some values changed and the first ten events missing."""
     e = events(spark, sf).select("event_id", F.col("value").alias("predicted"))
     current = e.where("event_id >= 10").withColumn("predicted", F.col("predicted") + F.when(F.col("event_id") % 50 == 0, 1.0).otherwise(0.0))
     return experiments.replay_differences(e, current, ["event_id"]).select("event_id", r6("saved"), r6("current"))
 
 
+QUERIES["replay_check_all"] = QUERIES["replay_check"]
+
+
 @query
 def validation_rollup(spark, sf):
     rows = significance.benjamini_hochberg(_evidence(spark, sf)).select(F.col("r").alias("validation_r2"), F.col("late_r").alias("test_r2"), F.round("q", 6).alias("q"))
@@ -563,11 +556,14 @@ def training_reliability(spark, sf):
 
 @query
 def field_quality(spark, sf):
-    pixel = spark.createDataFrame([("s0", 1, 0.01, 0.4, True)], "session string, response int, q double, test_r double, stable boolean")
+    found = pixels.pixel_report(_numbered_vectors(spark, sf), 4, 4, exclusion=5)
+    pixel = found.select("session", "response", F.col("shift_null_q").alias("q"), "test_r", F.col("pixel_stable").alias("stable"))
     return reliability.field_quality(_numbered_vectors(spark, sf), pixel, 4, 4, exclusion=5)
 
 
 @query
 def common_mode_control(spark, sf):
-    pixels = spark.createDataFrame([(f"s{s}", r, [5 + 16 * b for b in range(4)]) for s in range(5) for r in range(2)], "session string, response int, columns array<int>")
-    return reliability.common_mode(_numbered_vectors(spark, sf), pixels)
+    found = pixels.pixel_report(_numbered_vectors(spark, sf), 4, 4, exclusion=5)
+    columns = F.array(*[(16 * b + 4 * F.col("pixel_row") + F.col("pixel_col")).cast("int") for b in range(4)])
+    fields = found.select("session", "response", columns.alias("columns"))
+    return reliability.common_mode(_numbered_vectors(spark, sf), fields)

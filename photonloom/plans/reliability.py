@@ -44,7 +44,7 @@ def training_reliability(rows: DataFrame, bins: int, width: int, exclusion: int
     found = moments(parts, ["session", "part"])
     first, second, late = ({s: m for (s, p), m in found.items() if p == name} for name in ("first", "second", "validation"))
     if not first or set(first) != set(second) or set(first) != set(late):
-        raise ValueError("Training halves and validation rows are required")
+        raise ValueError("each session needs two halves of training rows, and validation rows")
     kernels = _kernel_table(rows, first)
     own = []
     for s, m in first.items():

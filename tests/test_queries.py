@@ -9,7 +9,7 @@ from photonloom.plans.oracles import SQL
 from photonloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
 
 
 @pytest.fixture(scope="module")
