@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -25,6 +26,18 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(ids, "<u2").tolist() == ids_of(text)[:-1].tolist(), repr(text)
 
 
+def test_pieces_of_the_tables_equal_the_tokenizer():
+    """Every distinct piece of the documents and pages of two scales."""
+    db, pieces = duckdb.connect(), set()
+    for table, column in (("documents", "text"), ("pages", "html"), ("benchmark", "text")):
+        for (text,) in db.execute(f"select {column} from '/root/testdata/sf0.01/{table}.parquet' where {column} is not null").fetchall():
+            head, *rest = text.split(" ")
+            pieces |= {head, *(f" {p}" for p in rest)}
+    pieces, encode = sorted(pieces), Encoder(tokenizer_path())
+    for piece, want in zip(pieces, WHOLE.encode_batch(pieces, add_special_tokens=False)):
+        assert np.frombuffer(encode.one(piece), "<u2").tolist() == want.ids, repr(piece)
+
+
 def plain_bm25(tails, seed, idf, k1=1.2, b=0.75):
     mean = sum(map(len, tails)) / len(tails)
     out = []
