@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with over 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys at any scale.
 HOT_SHARE = 4096
+#: Bytes of an Arrow batch within small_batches().
+BATCH_BYTES = 4 << 20
 _own: dict[str, str] = {}
 
 
@@ -44,6 +48,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """For the actions within it, Arrow batches of at most so many bytes (or one row), so that long texts don't fill Python workers.
+
+    The session's own setting is back afterwards, so what runs later is not bounded by it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, kept)
+
+
 def as_text(df: DataFrame, id_col: str) -> Column:
     """The id as a string, for Python workers: pandas would turn whole numbers beside a null into floating-point ones."""
     return F.col(f"`{id_col}`").cast("string")

@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import as_id, as_text, hot_keys, join_split, shared_path, staged
+from photonloom.llm.common import as_id, as_text, hot_keys, join_split, shared_path, small_batches, staged
 
 WINDOW, GRAM = 35, 16
 SPAN = WINDOW - GRAM
@@ -36,7 +36,7 @@ SPAN = WINDOW - GRAM
 SHARD_WORDS, SLICE_ROWS = 100_000, 20_000
 #: Filter bits for each key, and the most bits that are broadcast.
 FILTER_BITS_A_KEY, FILTER_LIMIT = 16, 1 << 30
-_BLOCK_WORDS = 100_000
+_BLOCK_WORDS, _BLOCK_ROWS = 100_000, 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -135,7 +135,7 @@ def _key(text: str | None) -> bytes:
     return hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
 
 
-def _key_hash(keys: list[bytes]) -> np.ndarray:
+def _key_hash(keys: list[bytes] | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
 
 
@@ -158,22 +158,26 @@ class Filter:
         return out
 
 
-def filter_of(df: DataFrame, col: Column, limit: int) -> bytes | None:
-    """Packed filter of a long column, sized by its rows and made by as many tasks as df has; None where it would be over limit bits."""
+def _unsigned(keys: pd.Series) -> np.ndarray:
+    return keys.to_numpy(np.int64).view(np.uint64)
+
+
+def filter_of(df: DataFrame, col: Column, limit: int, hashes: Callable[[pd.Series], np.ndarray] = _unsigned) -> bytes | None:
+    """Packed filter of a column, sized by its rows and made by as many tasks as df has; None where it would be over limit bits."""
     n = df.count()
     n_bits = max(64, 1 << max(0, n * FILTER_BITS_A_KEY - 1).bit_length())
     if n_bits > limit:
         return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(n_bits, bool)
+        bits = np.zeros(n_bits // 8, np.uint8)
         for x in batches:
-            for at in _spots(x["h"].to_numpy(np.int64).view(np.uint64), n_bits):
-                bits[at] = True
-        yield pd.DataFrame({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+            for at in _spots(hashes(x["key"]), n_bits):
+                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        yield pd.DataFrame({"bits": [zlib.compress(bits.tobytes(), 1)]})
 
     out = np.zeros(n_bits // 8, np.uint8)
-    for r in df.select(col.alias("h")).mapInPandas(run, "bits binary").toLocalIterator():
+    for r in df.select(col.alias("key")).mapInPandas(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return zlib.compress(out.tobytes(), 1)
 
@@ -310,8 +314,8 @@ def recurring_windows(places: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for k in range(0, len(x), 2000):
-                part = x.iloc[k : k + 2000]
+            for k in range(0, len(x), _BLOCK_ROWS):
+                part = x.iloc[k : k + _BLOCK_ROWS]
                 size = part["size"].to_numpy(np.int64)
                 found = Places(part["words"].tolist(), size)
                 # windows come in the order of the places
@@ -327,8 +331,8 @@ def passages(places: DataFrame, windows: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for k in range(0, len(whole), 5000):
-                x = whole.iloc[k : k + 5000]
+            for k in range(0, len(whole), _BLOCK_ROWS):
+                x = whole.iloc[k : k + _BLOCK_ROWS]
                 size = x["size"].to_numpy(np.int64)
                 found = Places(x["words"].tolist(), size)
                 own = np.concatenate(x["own"].tolist())
@@ -442,7 +446,7 @@ def occurrences(places: DataFrame, phrases: DataFrame, folder: str, shard_words:
     slices = F.broadcast(staged(routed.groupBy("shard").agg(F.ceil(F.count("*") / slice_rows).alias("slices")).join(files, "shard"), "slices"))
     routed = routed.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("cid"), F.col("slices")))
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
+    def ranges_of(x: pd.DataFrame) -> pd.DataFrame:
         found = Places(x["words"].tolist(), x["size"].to_numpy(np.int64))
         at = _shard(folder, x["file"].iat[0]).occurrences(found)
         k = np.searchsorted(found.begin, at, "right") - 1
@@ -451,6 +455,9 @@ def occurrences(places: DataFrame, phrases: DataFrame, folder: str, shard_words:
         first = x["first"].to_numpy(np.int64)[k] - found.begin[k] + at
         return pd.DataFrame({"key": x["key"].to_numpy()[k[head]], "a": first[head], "b": first[tail] + WINDOW})
 
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([ranges_of(x.iloc[k : k + _BLOCK_ROWS]) for k in range(0, len(x), _BLOCK_ROWS)])
+
     ranges = routed.select("shard", "slice", "file", "key", "first", "size", "words").groupBy("shard", "slice").applyInPandas(run, "key binary, a long, b long")
     return ranges.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
@@ -477,12 +484,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are read whole, with some 60 bytes of memory for each word. Null and repeated ids keep their rows;
     other columns, of whatever name, are ignored; an empty table gives an empty result.
     """
+    with small_batches(df.sparkSession):
+        return _remove_repeats(df, id_col, text_col, shard_words, slice_rows, filter_limit)
+
+
+def _remove_repeats(df: DataFrame, id_col: str, text_col: str, shard_words: int, slice_rows: int, filter_limit: int) -> DataFrame:
     docs = df.select(as_text(df, id_col).alias("id"), F.col(text_col).alias("text"))
     texts = docs.select("text")
     places = staged(contexts(texts, staged(repeated_anchors(texts), "anchors"), filter_limit), "places")
     phrases = staged(passages(places, staged(recurring_windows(places), "windows")), "phrases")
     ranges = staged(occurrences(places, phrases, shared_path(df.sparkSession, "automata"), shard_words, slice_rows), "ranges")
-    packed = filter_of(ranges.select("key").mapInPandas(_key_hashes, "h long"), F.col("h"), filter_limit)
+    packed = filter_of(ranges, F.col("key"), filter_limit, _key_hash)
     shared = df.sparkSession.sparkContext.broadcast(packed)
 
     def keyed(x: pd.DataFrame, known: Filter) -> tuple[list[bytes], np.ndarray]:
@@ -493,8 +505,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known = Filter(shared.value)
         for x in batches:
             _, named = keyed(x, known)
-            rows = [(i, *without(t, ())) for i, t, n in zip(x["id"], x["text"], named) if not n]
-            yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept"])
+            rest = x[~named]
+            for k in range(0, len(rest), _BLOCK_ROWS):
+                part = rest.iloc[k : k + _BLOCK_ROWS]
+                yield pd.DataFrame([(i, *without(t, ())) for i, t in zip(part["id"], part["text"])], columns=["id", "n_words", "n_removed", "kept"])
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Filter(shared.value)
@@ -525,11 +539,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(as_id(df, id_col).alias(id_col), "n_words", "n_removed", "kept")
 
 
-def _key_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        yield pd.DataFrame({"h": _long(_key_hash(x["key"].tolist()).copy())})
-
-
 def op6_substring(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
