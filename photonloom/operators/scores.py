@@ -112,6 +112,14 @@ def equal_rows(df: DataFrame, by: list[str], row: str = "rn") -> DataFrame:
     return df.withColumn("_k", F.lit(1)).join(F.broadcast(least.withColumn("_k", F.lit(1))), "_k").where(F.col(row) <= F.col("_n")).drop("_k", "_n")
 
 
+def equal_parts(df: DataFrame, by: list[str], part: str, row: str = "rn") -> DataFrame:
+    """The first rows of each group under each label of part, as many as the group with fewest rows has under it."""
+    marked = df.withColumn("_row", F.row_number().over(Window.partitionBy(*by, part).orderBy(row)))
+    least = df.groupBy(*by, part).agg(F.count("*").alias("_n")).groupBy(part).agg(F.min("_n").alias("_n"))
+    # one row for each label
+    return marked.join(F.broadcast(least), part).where("_row <= _n").drop("_row", "_n")
+
+
 def confidence(q: str, test_r: str, stable: str, agreement: str, split_p: str, late_r: str, alpha: float = 0.05) -> Column:
     """Four classes of evidence for a response field; nulls never count as evidence."""
     yes = lambda c: F.coalesce(c, F.lit(False))

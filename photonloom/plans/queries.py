@@ -482,10 +482,13 @@ def pixel_model(spark, sf):
 
 @query
 def population_ridge(spark, sf):
+    """Training, validation and refitted rows are the first of each session, equally many; test rows are all."""
     rows = embedding_sessions(spark, sf).where("split <> 'purge'").withColumn("y", F.array((F.col("y")[0] + F.col("y")[1]) / 2))
+    kept = rows.where("split <> 'test'").withColumn("part", F.explode(F.array("split", F.lit("fit"))))
+    parts = scores.equal_parts(kept, ["session"], "part").unionByName(rows.where("split = 'test'").withColumn("part", F.col("split")))
     sessions: dict = {}
-    for (s, split), m in sorted(moments(rows, ["session", "split"]).items()):
-        sessions.setdefault(s, {})[split] = m
+    for (s, part), m in sorted(moments(parts, ["session", "part"]).items()):
+        sessions.setdefault(s, {})[part] = m
     return _records(spark, sessions, linear.population_ridge(sessions))
 
 

@@ -161,3 +161,11 @@ def test_confidence_and_selection(spark):
     assert got == {"a": "HIGH_CONFIDENCE_RESPONSIVE", "b": "MODERATE_CONFIDENCE", "c": "LOW_CONFIDENCE", "d": "NO_DETECTABLE_RF"}
     chosen = df.select("k", scores.responsive("p", "r", "a", "l").alias("c")).collect()
     assert {r.k: r.c for r in chosen} == {"a": True, "b": True, "c": False, "d": False}
+
+
+def test_equal_parts(spark):
+    sizes = {("a", "train"): 5, ("b", "train"): 3, ("a", "fit"): 6, ("b", "fit"): 7}
+    rows = [(f, p, k + 10) for (f, p), n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "fly string, part string, rn long")
+    got = scores.equal_parts(df, ["fly"], "part").groupBy("fly", "part").agg(F.count("*").alias("n"), F.max("rn").alias("last")).collect()
+    assert {(r.fly, r.part): (r.n, r["last"]) for r in got} == {("a", "train"): (3, 12), ("b", "train"): (3, 12), ("a", "fit"): (6, 15), ("b", "fit"): (6, 15)}
