@@ -43,7 +43,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
+    if len(_powers.get(name, ())) < max(n, 1):
         size = max(1 << 15, 1 << (n - 1).bit_length())
         _powers[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]), dtype=np.uint64)
     return _powers[name]

@@ -92,3 +92,11 @@ def test_ids_and_empty(spark):
     assert sorted((r.n_words, r.n_removed, r.kept) for r in got) == [(0, 0, ""), (2, 0, "few words")] + [(50, 50, "")] * 3
     assert {r.doc_id for r in got} == {None, 3, 4, 2**53 + 1}
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_settings_are_back_afterwards(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in module.remove_repeats(docs).collect()}
+    assert out == {1: (3, 0), None: (0, 0)} and spark.conf.get(name) == before
