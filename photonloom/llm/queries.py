@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from photonloom.llm.clusters import OP13_SQL, op13_clusters
+from photonloom.llm.divergence import OP11_SQL, op11_divergence
+from photonloom.llm.grammar import op12_grammar
 from photonloom.llm.langid import op5_langid
 from photonloom.llm.media import op2_media
 from photonloom.llm.mixing import OP4_SQL, op4_mixing
@@ -19,8 +22,9 @@ from photonloom.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op9_simhash": op9_simhash, "op10_quality": op10_quality, "op7_packing": op7_packing, "op5_langid": op5_langid, "op2_media": op2_media, "op3_urls": op3_urls, "op4_mixing": op4_mixing, "op6_substring": op6_substring, "op8_warc": op8_warc}
+    every = (op1_pii, op2_media, op3_urls, op4_mixing, op5_langid, op6_substring, op7_packing, op8_warc, op9_simhash, op10_quality, op11_divergence, op12_grammar, op13_clusters)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op4_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op11_divergence": OP11_SQL, "op13_clusters": OP13_SQL}
