@@ -1,41 +1,28 @@
 """Past-only baselines of a trace, and the transforms made of them.
 
-A baseline at a row never depends on later rows. The exponential one is a recursion, so each trace is
-handled in order by one call; traces run in parallel.
+A baseline at a row never depends on later rows. The exponential one is a recursion; stretches of a trace
+are handled apart and composed.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KINDS = ("raw", "ema_residual", "ema_dff", "block_median_residual")
-
+from photonloom.operators.clocks import ranked
+from photonloom.operators.stretches import decayed, in_stretches, quantiles
 
-def ema_steps(t: np.ndarray, x: np.ndarray, tau_seconds: float) -> np.ndarray:
-    out = np.empty(len(x))
-    b = 0.0
-    for k in range(len(x)):
-        b = x[0] if k == 0 else b - math.expm1(-(t[k] - t[k - 1]) / 1e6 / tau_seconds) * (x[k] - b)
-        out[k] = b
-    return out
+KINDS = ("raw", "ema_residual", "ema_dff", "block_median_residual")
 
 
 def ema_baseline(df: DataFrame, by: list[str], tau_seconds: float = 60.0, t: str = "t", value: str = "value", tie: str = "event_id") -> DataFrame:
-    """df with baseline, the exponential average of irregular samples up to each row."""
+    """df with baseline, the exponential average of irregular samples up to each row; rows are ordered by t, then tie."""
     if tau_seconds <= 0:
         raise ValueError("tau must be positive")
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values([t, tie], ignore_index=True)
-        return x.assign(baseline=ema_steps(x[t].to_numpy(), x[value].to_numpy(float), tau_seconds))
-
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
-    return df.groupBy(*by).applyInPandas(run, f"{schema}, baseline double")
+    tau = tau_seconds * 1e6
+    placed = ranked(df, by, t, tie, out=("_rn", "_n")).withColumn("_x", F.col(value).cast("double"))
+    gain = -F.expm1(-(F.col(t) - F.col("_before")) / tau) * F.col("_x")
+    return decayed(placed, by, t, gain, F.col("_x"), tau, "baseline", "_rn").drop("_rn", "_n", "_x")
 
 
 def range_median(df: DataFrame, by: list[str], lookback_us: int, t: str = "t", value: str = "value") -> DataFrame:
@@ -52,8 +39,8 @@ def block_median(df: DataFrame, by: list[str], block_us: int = 10_000_000, lookb
     A block has block_us divided by the median interval rows, rounded half to even, one at least. Without
     past rows in the lookback the previous row's value holds, and in the first block the first row's.
     """
-    step = F.col(t) - F.lag(t).over(Window.partitionBy(*by).orderBy(row))
-    rows = df.withColumn("_step", step).groupBy(*by).agg(F.greatest(F.lit(1), F.bround(block_us / F.median("_step")).cast("long")).alias("_rows"))
+    steps = in_stretches(df.select(*by, row, t), by, 1, lambda w: {"_step": F.col(t) - F.lag(t).over(w)}, row)
+    rows = quantiles(steps, by, {"_middle": ("_step", 0.5)}).select(*by, F.greatest(F.lit(1), F.bround(block_us / F.col("_middle")).cast("long")).alias("_rows"))
     placed = df.join(rows, by).withColumn("_block", F.floor((F.col(row) - 1) / F.coalesce("_rows", F.lit(1))))
     starts = placed.groupBy(*by, "_block").agg(F.min(t).alias("_t0"), F.min(row).alias("_r0"))
     # past rows meet block starts by time stretches of the lookback's length: those of the start and the one before

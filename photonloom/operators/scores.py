@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photonloom.functions.exprs import median, pearson, r_squared
+from photonloom.operators.stretches import in_stretches, quantiles
+from photonloom.sources.shared import kept
 
 
 def score(df: DataFrame, by: list[str], actual: str, predicted: str, train_variance: str | None = None) -> DataFrame:
@@ -57,13 +59,13 @@ def calibrated(df: DataFrame, by: list[str], y: str, projection: str) -> DataFra
 
 def trace_quality(df: DataFrame, by: list[str], value: str = "value", row: str = "rn", n: str = "n") -> DataFrame:
     """Location, spread, tails, drift, outliers, jumps and lag-1 correlation of each trace."""
-    v, order = F.col(value).cast("double"), Window.partitionBy(*by).orderBy(row)
-    own = df.select(*by, F.col(row).alias("rn"), F.col(n).alias("n"), v.alias("v"), F.lag(v).over(order).alias("prev"))
-    own = own.withColumn("step", F.col("v") - F.col("prev"))
-    mid = own.groupBy(*by).agg(F.median("v").alias("median"), F.median("step").alias("mid_step"), F.max("v").alias("top"))
-    own = own.join(mid, by)
-    spread = own.groupBy(*by).agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"), F.median(F.abs(F.col("step") - F.col("mid_step"))).alias("jump"))
-    own = own.join(spread, by)
+    own = df.select(*by, F.col(row).alias("rn"), F.col(n).alias("n"), F.col(value).cast("double").alias("v"))
+    own = in_stretches(own, by, 1, lambda w: {"prev": F.lag("v").over(w)}).withColumn("step", F.col("v") - F.col("prev"))
+    own = kept(own, "steps")
+    tails = {f"p{q:02d}": ("v", q / 100) for q in (1, 5, 95, 99)}
+    top = own.groupBy(*by).agg(F.max("v").alias("top"))
+    own = own.join(quantiles(own, by, {"median": ("v", 0.5), "mid_step": ("step", 0.5)} | tails), by).join(top, by)
+    own = own.join(quantiles(own, by, {"mad": (F.abs(F.col("v") - F.col("median")), 0.5), "jump": (F.abs(F.col("step") - F.col("mid_step")), 0.5)}), by)
     mean = F.avg("v")
     first, last = F.avg(F.when(F.col("rn") <= F.floor(F.col("n") / 10), F.col("v"))), F.avg(F.when(F.col("rn") > F.col("n") - F.ceil(F.col("n") / 10), F.col("v")))
     pairs = F.col("prev").isNotNull()
@@ -75,7 +77,7 @@ def trace_quality(df: DataFrame, by: list[str], value: str = "value", row: str =
         F.stddev_pop("v").alias("std"),
         F.try_divide(F.stddev_pop("v"), mean).alias("cv"),
         F.min("v").alias("min"),
-        *[F.percentile("v", q / 100).alias(f"p{q:02d}") for q in (1, 5, 95, 99)],
+        *[F.first(name).alias(name) for name in tails],
         F.max("v").alias("max"),
         F.count_if(F.col("v") == 0).alias("zero_count"),
         F.count_if(F.col("v") == F.col("top")).alias("at_max_count"),

@@ -9,6 +9,7 @@ from photonloom.functions.exprs import micros
 from photonloom.operators.clocks import ranked
 from photonloom.operators.moments import Moments, moments
 from photonloom.operators.splits import blocked
+from photonloom.operators.stretches import in_stretches
 
 HISTORY = 18
 
@@ -27,8 +28,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_lags(e: DataFrame, lags: int = 2) -> DataFrame:
-    w = Window.partitionBy("fly").orderBy("rn")
-    return e.withColumns({f"x{k}": F.lag("value", k).over(w) for k in range(1, lags + 1)})
+    return in_stretches(e, ["fly"], lags, lambda w: {f"x{k}": F.lag("value", k).over(w) for k in range(1, lags + 1)})
 
 
 def embedding_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

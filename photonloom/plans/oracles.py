@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photonloom.plans.queries import FILE_RULES, GLOBAL, HISTORY, HOUR, MEASURES, OFFSETS, PAYLOAD_END, TAU
+from photonloom.plans.queries import FILE_RULES, GLOBAL, HISTORY, HOUR, MEASURES, OFFSETS, PAYLOAD_END, TAU, TIMING_LAGS, TIMING_MARGIN
 
 E = """p as (select event_id, event_type fly, user_id, value, props, epoch_us(ts) t from events),
 e as (select *, row_number() over (partition by fly order by t, event_id) rn, count(*) over (partition by fly) n from p)"""
@@ -39,6 +39,22 @@ SQL: dict[str, str] = {
     "asof_offset_sweep": f"""with {E}, o as (select unnest({OFFSETS})::bigint offset_us), f as (select p.fly, p.value, offset_us, t + offset_us t from p, o where fly <> 'click'),
 s as (select f.fly, offset_us, count(*) n_matched, round({_r('f.value', 'u.value')}, 6) r from f asof join (select * from p where fly = 'click') u on f.t >= u.t group by all)
 select fly, offset_us, n_matched, r, offset_us = first(offset_us) over (partition by fly order by r desc nulls last, offset_us) is_best from s""",
+    "timing_sensitivity": f"""with {E}, u as (select t, row_number() over w rn, count(*) over () n, """
+    + ", ".join(f"lag(value, {k}) over w v{k}, lag(user_id, {k}) over w w{k}" for k in range(TIMING_LAGS))
+    + f""" from p where fly = 'click' window w as (order by t, event_id)), z0 as (select f.*, u.rn ur, u.n un from (select * from p where fly <> 'click') f asof join u on f.t >= u.t),
+z as (select fly, t, event_id, value, user_id, row_number() over (partition by fly order by t, event_id) k, count(*) over (partition by fly) m from z0 where ur > {TIMING_LAGS + TIMING_MARGIN} and ur <= un - {TIMING_MARGIN}),
+h as (select *, case when k <= floor(m * 0.35) then 'first' when k <= floor(m * 0.7) then 'second' else 'test' end part from z),
+o as (select fly, event_id, part, value, user_id, t + offset_us t, offset_us from h, (select unnest({OFFSETS})::bigint offset_us)),
+a as (select o.*, u.* exclude (t, rn, n) from o asof join u on o.t >= u.t where v{TIMING_LAGS - 1} is not null),
+x as ("""
+    + " union all ".join(f"select fly, event_id, part, offset_us, {r} r, {k} l, {y}::double y, {c}{k}::double x from a" for r, y, c in ((0, "value", "v"), (1, "user_id", "w")) for k in range(TIMING_LAGS))
+    + f"""), k as (select fly, r, l, covar_pop(x, y) k from x where offset_us = 0 and part <> 'test' group by all),
+pj as (select fly, r, part, offset_us, event_id, first(y) y, sum(k * x) pj from x join k using (fly, r, l) group by all),
+g as (select fly, r, covar_pop(pj, y) / var_pop(pj) g, avg(y) - covar_pop(pj, y) / var_pop(pj) * avg(pj) b from pj where offset_us = 0 and part <> 'test' group by all),
+s as (select fly, r, offset_us, {_r('y', 'g * pj + b')} rr, {_r2('y', '(g * pj + b)')} r2 from pj join g using (fly, r) where part = 'test' group by all),
+kk as (select fly, r, l, offset_us, part, covar_pop(x, y) k from x where part <> 'test' group by all), kh as (select a.fly, a.r, a.l, a.offset_us, a.k k1, b.k k2 from kk a join kk b using (fly, r, l, offset_us) where a.part = 'first' and b.part = 'second'),
+sh as (select fly, r, offset_us, sqrt(sum(k1 * k1)) st, coalesce({_r('k1', 'k2')}, 0) sh from kh group by all)
+select fly, offset_us, count(*) filter (rr > 0) positive_r_count, round(median(rr), 6) median_test_r, round(median(r2), 6) median_test_r2, round(median(st), 6) median_filter_strength, round(median(sh), 6) median_split_half_r from s join sh using (fly, r, offset_us) group by all""",
     "row_id_zip": f"with {E} select a.rn, a.event_id click_id, b.event_id view_id from e a join e b using (rn) where a.fly = 'click' and b.fly = 'view'",
     "index_lookup": "select l_orderkey, l_linenumber, epoch_us(o_orderdate) t_us from lineitem join orders on l_orderkey = o_orderkey",
     "eligible_history": f"with {E} select event_id, rn from e where rn >= {HISTORY}",
@@ -64,8 +80,10 @@ select fly, count(*) count, round(avg(value), 6) mean, round(first(md), 6) media
 round((avg(value) filter (rn > n - ceil(n / 10.0)) - avg(value) filter (rn <= floor(n / 10.0))) / nullif(avg(value), 0), 6) decile_change,
 count(*) filter (mad > 0 and abs(value - md) > 6 * 1.4826 * mad) robust_outlier_count, count(*) filter (jump > 0 and abs(step - ms) > 8 * 1.4826 * jump) abrupt_jump_count,
 round(coalesce(covar_pop(prev, value) filter (prev is not null) / nullif(sqrt(var_pop(prev) filter (prev is not null) * var_pop(value) filter (prev is not null)), 0), 0), 6) lag1_autocorrelation from a group by fly""",
-    "session_qc": f"""with {E}, s as (select *, t - lag(t) over (partition by fly order by rn) step from e), a as (select s.*, u.event_id update_id from s asof left join (select * from p where fly = 'click') u on s.t >= u.t)
-select fly, count(*) frames, count(update_id) matched, round(median(step), 3) median_interval_us, round(avg((value = 0)::int::double), 6) zero_fraction, count(*) filter (step <= 0) = 0 clock_increases, count(update_id) > 0 overlaps_payload from a group by fly""",
+    "session_qc": f"""with {E}, s as (select *, t - lag(t) over (partition by fly order by rn) step, 10000000 + round(value * 1000)::bigint o from e), a as (select s.*, u.event_id update_id from s asof left join (select * from p where fly = 'click') u on s.t >= u.t),
+m as (select fly, median(o) md from s group by fly), w as (select fly, first(md) / 1e6 md, quantile_cont(abs(o - md) / 1000, 0.99) far from s join m using (fly) group by fly)
+select fly, count(*) frames, count(update_id) matched, round(median(step), 3) median_interval_us, round(avg((value = 0)::int::double), 6) zero_fraction, count(*) filter (step <= 0) = 0 clock_increases, count(update_id) > 0 overlaps_payload,
+round(first(md), 6) playback_offset_s, round(first(far), 3) playback_p99_abs_residual_ms from a join w using (fly) group by fly""",
     "split_blocked_50_20_30": f"with {E} select event_id, {SPLIT} split from e",
     "split_blocked_70_30": f"with {E} select event_id, case when rn - 1 < floor(n * 0.7) then 'train' when rn - 1 < floor(n * 0.7) + {HISTORY} then 'purge' else 'test' end split from e",
     "split_global_labels": f"with {E} select event_id, rn - 1 u, case " + " ".join(f"when rn - 1 >= {a} and rn - 1 < {b} then '{k.split('_')[0]}'" for k, (a, b) in GLOBAL.intervals().items()) + " else 'unused' end split from e where fly = 'click'",
@@ -135,4 +153,3 @@ select coalesce(l.id, r.id) id, '/k' path, case when r.id is null then 'left_onl
     "dataset_diagnostics": f"""with {E}, s as (select *, {SPLIT} split from e), o as (select fly, user_id, count(*) c, stddev_pop(value) filter (split = 'train') sd, avg(value) filter (rn > 0.75 * n) - avg(value) filter (rn <= 0.25 * n) drift from s group by all)
 select fly, sum(c)::bigint observations, count(*) rois, round(median(sd), 6) median_train_sd, round(median(drift), 6) median_drift from o group by fly""",
 }
-SQL |= {f"{name}_all": SQL[name] for name in ("registry_upsert", "json_diff", "replay_check")}

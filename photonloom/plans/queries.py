@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photonloom.functions.exprs import dot, micros, pearson, r_squared
-from photonloom.operators import baseline, clocks, compare, history, linear, scores, significance, splits
+from photonloom.operators import baseline, clocks, compare, history, linear, scores, significance, splits, timing
+from photonloom.operators.clocks import ranked
 from photonloom.operators.moments import moments
+from photonloom.operators.stretches import in_stretches, quantiles
 from photonloom.plans import experiments, pixels, reliability
 from photonloom.plans.events import HISTORY, embedding_sessions, events, plain_events, session_moments, table, with_lags
 from photonloom.sources import inventory as inventories
 from photonloom.sources import stimulus
+from photonloom.sources.shared import kept
 
 DAY = 86_400_000_000
 PAYLOAD_END = 1_706_140_800_000_000
@@ -52,15 +55,50 @@ def asof_payload_filter(spark, sf):
     return clocks.in_payload(aligned, "update_id", PAYLOAD_END).select("event_id", "update_id", "t")
 
 
+SESSIONS = ("error", "purchase", "signup", "view")
+
+
+def _shared_updates(clicks: DataFrame, x: Column) -> DataFrame:
+    """The clicks as updates of every session, as all see one stimulus."""
+    return clicks.select(F.explode(F.array(*map(F.lit, SESSIONS))).alias("fly"), "t", x.alias("x"))
+
+
 @query
 def asof_offset_sweep(spark, sf):
     clicks, frames = clicks_and_frames(plain_events(spark, sf))
-    found = clocks.sweep(frames.select("event_id", "fly", "value", "t"), clicks.select("t", F.col("value").alias("u")), OFFSETS, [], ["u"])
-    scored = found.where("u is not null").groupBy("fly", "offset_us").agg(F.count("*").alias("n_matched"), r6(pearson("value", "u"), "r"))
+    rows = frames.select("fly", "t", F.lit("test").alias("part"), F.array("value").alias("y"))
+    ups = _shared_updates(clicks, F.array(F.array("value")))
+    sums = timing.offset_sums(rows, ups, OFFSETS, ["fly"])
+    total = sums.groupBy("fly", "offset_us").agg(F.sum("n").alias("n_matched"), *[F.sum(c).alias(c) for c in ("sy", "syy")], *[F.sum(F.col(c)[0]).alias(c) for c in ("sx", "sxy", "sxx")])
+    n = F.col("n_matched")
+    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt((F.col("syy") - F.col("sy") ** 2 / n) * (F.col("sxx") - F.col("sx") ** 2 / n)))
+    scored = total.where("n_matched > 0").select("fly", "offset_us", "n_matched", r6(r, "r"))
     top = clocks.best(scored, ["fly"], "offset_us", "r").select("fly", F.col("offset_us").alias("best_offset_us"))
     return scored.join(top, "fly", "left").select("fly", "offset_us", "n_matched", "r", (F.col("offset_us") == F.col("best_offset_us")).alias("is_best"))
 
 
+TIMING_LAGS, TIMING_MARGIN = 3, 8
+
+
+@query
+def timing_sensitivity(spark, sf):
+    """Two responses, value and user_id, to three clicks' values and user_ids; frozen models fitted on the first 70 % at offset zero."""
+    clicks, frames = clicks_and_frames(plain_events(spark, sf))
+    placed = ranked(clicks.withColumn("_all", F.lit(1)), ["_all"], "t", "event_id")
+    lags = lambda c, w: F.array(*[F.lag(c, k).over(w).cast("double") for k in range(TIMING_LAGS)])
+    placed = in_stretches(placed, ["_all"], TIMING_LAGS - 1, lambda w: {"x": F.array(lags("value", w), lags("user_id", w))})
+    ups = kept(_shared_updates(placed.withColumn("x", F.when(F.col("rn") >= TIMING_LAGS, F.col("x"))), F.col("x")), "updates")
+    at_zero = clocks.asof(frames, placed.select("t", "rn", "n"), [], ["rn", "n"])
+    common = at_zero.where((F.col("rn") > TIMING_LAGS + TIMING_MARGIN) & (F.col("rn") <= F.col("n") - TIMING_MARGIN)).drop("rn", "n")
+    common = ranked(common, ["fly"], "t", "event_id")
+    part = F.when(F.col("rn") <= F.floor(F.col("n") * 0.35), "first").when(F.col("rn") <= F.floor(F.col("n") * 0.7), "second").otherwise("test")
+    rows = kept(common.select("fly", "t", part.alias("part"), F.array("value", F.col("user_id").cast("double")).alias("y")), "frames")
+    models = timing.reverse_models(timing.offset_sums(rows.where("part <> 'test'"), ups, [0], ["fly"]), ["fly"], TIMING_LAGS)
+    scored = timing.offset_scores(rows, ups, models, OFFSETS, ["fly"], TIMING_LAGS)
+    out = timing.timing_sensitivity(scored, ["fly"])
+    return out.select("fly", "offset_us", "positive_r_count", *[r6(c) for c in ("median_test_r", "median_test_r2", "median_filter_strength", "median_split_half_r")])
+
+
 @query
 def row_id_zip(spark, sf):
     e = events(spark, sf)
@@ -145,16 +183,18 @@ def psd_peak(spark, sf):
 def session_qc(spark, sf):
     e = events(spark, sf)
     ups = e.where("fly = 'click'").select("t", F.col("event_id").alias("update_id"))
-    step = F.col("t") - F.lag("t").over(Window.partitionBy("fly").orderBy("rn"))
-    aligned = clocks.asof(e.withColumn("step", step), ups, [], ["update_id"])
-    return aligned.groupBy("fly").agg(
+    # values stand for the playback's jitter
+    aligned = kept(clocks.asof(clocks.with_steps(e, ["fly"]).withColumn("played_us", F.col("t") - 10_000_000 - F.round(F.col("value") * 1000).cast("long")), ups, [], ["update_id"]), "aligned")
+    middle = quantiles(aligned, ["fly"], {"median_interval_us": ("step", 0.5)})
+    facts = middle.join(clocks.playback_alignment(aligned, ["fly"]), "fly")
+    counts = aligned.groupBy("fly").agg(
         F.count("*").alias("frames"),
         F.count("update_id").alias("matched"),
-        F.round(F.median("step"), 3).alias("median_interval_us"),
         r6(F.avg((F.col("value") == 0).cast("double")), "zero_fraction"),
         (F.count_if(F.col("step") <= 0) == 0).alias("clock_increases"),
         (F.count("update_id") > 0).alias("overlaps_payload"),
     )
+    return counts.join(facts.withColumns({c: F.round(c, 3) for c in ("median_interval_us", "playback_p99_abs_residual_ms")} | {"playback_offset_s": r6("playback_offset_s")}), "fly")
 
 
 def _blocked(spark, sf, validation):
@@ -414,9 +454,6 @@ def registry_upsert(spark, sf):
     return compare.upsert(rows(0, "old"), rows(50, "new"), fields=("experiment_id", "model", "fold", "notes"))
 
 
-QUERIES["registry_upsert_all"] = QUERIES["registry_upsert"]
-
-
 @query
 def json_diff(spark, sf):
     """All events against all events with ids shifted by one."""
@@ -426,9 +463,6 @@ def json_diff(spark, sf):
     return compare.json_diff(left, right).select("id", "path", "status", "delta")
 
 
-QUERIES["json_diff_all"] = QUERIES["json_diff"]
-
-
 @query
 def csv_profile(spark, sf):
     rows = table(spark, sf, "lineitem").select(*[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_returnflag", "l_quantity")])
@@ -531,9 +565,6 @@ def replay_check(spark, sf):
     return experiments.replay_differences(e, current, ["event_id"]).select("event_id", r6("saved"), r6("current"))
 
 
-QUERIES["replay_check_all"] = QUERIES["replay_check"]
-
-
 @query
 def validation_rollup(spark, sf):
     rows = significance.benjamini_hochberg(_evidence(spark, sf)).select(F.col("r").alias("validation_r2"), F.col("late_r").alias("test_r2"), F.round("q", 6).alias("q"))

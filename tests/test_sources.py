@@ -4,8 +4,8 @@ import json
 
 import numpy as np
 import pytest
+from test_stretches import plain_ema
 
-from photonloom.operators.baseline import ema_steps
 from photonloom.sources import inventory, npz, scans, stimulus, writers
 from photonloom.streaming.baseline import stream_ema_baseline
 
@@ -92,7 +92,7 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.event_id: r.baseline for r in spark.table("ema_out").collect()}
     for u in range(3):
         own = [r for r in rows if r[0] == u]
-        want = ema_steps(np.array([r[1] for r in own]), np.array([r[3] for r in own]), 60.0)
+        want = plain_ema(np.array([r[1] for r in own]), np.array([r[3] for r in own]), 60.0)
         assert np.allclose([got[r[2]] for r in own], want)
 
 
