@@ -36,15 +36,17 @@ SETTLED = 100
 #: Symbols of a shard with 16-bit symbols, and of one with more ids than leave room for rules.
 NARROW, WIDE = 1 << 16, 1 << 24
 _MAGIC, _HEAD, _NONE = b"RPG1", struct.Struct("<4sIIIQQQ"), 0xFFFFFFFF
-#: Pieces of text whose ids a worker keeps, and the longest of them.
-_CACHED, _LONGEST = 1_000_000, 32
+#: Pieces of text whose ids a worker keeps in each of two generations, and the longest of them.
+_CACHED, _LONGEST = 600_000, 32
 #: What special tokens, which are told by their case, begin with.
 _SPECIAL = "<|"
 #: Latin letters, and ASCII characters but for these and the apostrophe, which may begin a pre-token of letters.
 _LETTERS, _OTHERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF", r"!-&(-@\[-`{-~"
-_KNOWN, _RUNS = re.compile(f"[{_LETTERS}{_OTHERS}]+"), re.compile(f"[{_LETTERS}]+|[{_OTHERS}]+")
+_LATIN, _RUNS = re.compile(f"[{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[{_OTHERS}]+")
 #: Nonterminals of up to so many ids are decoded by one table.
 _SHORT = 64
+#: Bytes of shards that a reading task gets, and the most reading tasks; beyond, a task reads more shards, one at a time.
+TASK_BYTES, MOST_TASKS = 8 << 20, 20_000
 _INDEX = "part int, shard int, file string, offset long, length long, n_docs long, n_tokens long"
 
 
@@ -59,7 +61,7 @@ class Encoder(dict):
 
     Normalisation, pre-tokens and merges then stay between white space, so a text's ids are those of its pieces.
     Each piece is encoded by the tokenizers library, short ones once. Pre-tokens also end between Latin letters
-    and ASCII marks, and ASCII letters are lower-cased whatever stands beside them, so pieces that differ in
+    and ASCII marks, and Latin letters are lower-cased whatever stands beside them, so pieces that differ in
     these only share their letters' ids. Tests hold the ids against those of whole texts.
     """
 
@@ -68,17 +70,33 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.before = self.tokenizer.model, {}
+        # every word comes to the model once, so its own cache would only cost time
+        self.model._resize_cache(0)
+        letters = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
+        self.as_bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+
+    def _new(self, piece: str) -> bytes:
+        """Ids of a piece not seen yet."""
+        if _LATIN.fullmatch(piece):
+            low = piece.lower()
+            if low != piece:
+                return self[low]
+            # of such letters, the model's merges are all that is left to do
+            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))]
+            return np.array(ids, "<u4").tobytes()
+        runs = _RUNS.findall(piece)
+        if len(runs) > 1 and "".join(runs) == piece and _SPECIAL not in piece:
+            return b"".join(map(self.__getitem__, runs))
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        runs = _RUNS.findall(piece) if _SPECIAL not in piece and _KNOWN.fullmatch(piece) else ()
-        if len(runs) > 1:
-            ids = b"".join(map(self.__getitem__, runs))
-        elif _SPECIAL not in piece and piece.isascii() and piece.lower() != piece:
-            ids = self[piece.lower()]
-        else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self._new(piece)
         if len(piece) <= _LONGEST:
             if len(self) >= _CACHED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -152,7 +170,7 @@ def repaired(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
             size = np.concatenate([size, size[left[used]] + size[right[used]]])
         if limit == least and (before - len(seq)) * SETTLED <= before:
             break
-        limit = max(least, limit // 2)
+        limit = max(least, limit // 4)
     return terminals, rules, size[len(terminals) :], seq
 
 
@@ -335,7 +353,9 @@ def read_documents(selected: DataFrame, folder: str, id_type: str = "bigint", wa
                     crc = [zlib.crc32(ids[a - own[0][0] : b - own[0][0]].astype("<u4").tobytes()) for a, b in own]
                     yield pd.DataFrame({"id": shard.doc_ids[docs], "start": base + starts[docs], "n_tokens": shard.doc_sizes[docs], "ids_crc32": crc})
 
-    out = rows.select("file", "offset", "length", "start", "first", "last").repartition("file", "offset").mapInPandas(run, "id string, start long, n_tokens long, ids_crc32 long")
+    size = rows.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    tasks = max(1, min(MOST_TASKS, -(-size // TASK_BYTES)))
+    out = rows.select("file", "offset", "length", "start", "first", "last").repartition(tasks, "file", "offset").mapInPandas(run, "id string, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("id", F.col("id").cast(id_type))
 
 
