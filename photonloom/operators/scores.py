@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photonloom.functions.exprs import median, pearson, r_squared
 from photonloom.operators.stretches import in_stretches, quantiles
+from photonloom.operators.transforms import power_spectrum
 from photonloom.sources.shared import kept
 
 
@@ -88,17 +87,16 @@ def trace_quality(df: DataFrame, by: list[str], value: str = "value", row: str =
     )
 
 
-def spectrum_peak(df: DataFrame, by: list[str], sample_hz: float, value: str = "value", row: str = "rn") -> DataFrame:
-    """Frequency with the most power of each trace, the mean taken out."""
+def spectrum_peak(df: DataFrame, by: list[str], sample_hz: float, value: str = "value", row: str = "rn", n: str = "n") -> DataFrame:
+    """Frequency with the most power of each trace, the mean taken out, the lowest of equal ones; row counts from 1 to n.
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        v = x.sort_values(row)[value].to_numpy(float)
-        power = np.abs(np.fft.rfft(v - v.mean())) ** 2
-        power[0] = 0
-        return x[by].head(1).assign(psd_peak_hz=float(np.fft.rfftfreq(len(v), 1 / sample_hz)[int(power.argmax())]))
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, row, value).groupBy(*by).applyInPandas(run, f"{kinds}, psd_peak_hz double")
+    A trace of one row or without power has frequency 0.
+    """
+    own = df.select(*by, (F.col(row) - 1).alias("_place"), F.col(n).cast("long").alias("_n"), F.col(value).cast("double").alias("_v"))
+    mean = own.groupBy(*by).agg(F.avg("_v").alias("_mean"))
+    power = power_spectrum(own.join(mean, by).withColumn("_v", F.col("_v") - F.col("_mean")), by, "_v", "_place", "_n")
+    top = power.groupBy(*by, "_n").agg(F.max_by("k", F.struct(F.when(F.col("k") > 0, F.col("power")).otherwise(0.0).alias("power"), -F.col("k"))).alias("_k"))
+    return top.select(*by, (F.col("_k") * sample_hz / F.col("_n")).alias("psd_peak_hz"))
 
 
 def population(df: DataFrame, by: list[str], frame: str, value: str, how: str = "mean") -> DataFrame:

@@ -2,48 +2,35 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def rotations(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """Pearson correlation of a with b rotated by 0, 1, 2, ... steps; None where one of them is constant."""
-    spectra = []
-    for v in (a, b):
-        size = np.std(v)
-        if not size > 0:
-            return None
-        spectra.append(np.fft.fft((v - np.mean(v)) / size))
-    return np.fft.ifft(spectra[1] * np.conj(spectra[0])).real / len(a)
-
-
-def shift_p(actual: np.ndarray, predicted: np.ndarray, exclusion: int, compat: bool = False) -> float | None:
-    """Two-sided p of the correlation among those of rotations of at least exclusion steps to either side.
-
-    The observed one counts as one of them. A constant side has no p, or with compat the smallest one.
-    """
-    steps = np.arange(len(actual))
-    far = (steps >= exclusion) & (steps < len(actual) - exclusion)
-    if far.sum() < 2:
-        raise ValueError(f"{len(actual)} rows have no two rotations beyond {exclusion} steps")
-    r = rotations(actual, predicted)
-    if r is None:
-        return 1.0 / (far.sum() + 1) if compat else None
-    null = np.sort(np.abs(r[far]))
-    return float((len(null) - np.searchsorted(null, abs(r[0])) + 1) / (len(null) + 1))
+from photonloom.operators.clocks import ranked
+from photonloom.operators.stretches import ROWS
+from photonloom.operators.transforms import circular_correlation
+from photonloom.sources.shared import kept
 
 
 def circular_shift(df: DataFrame, by: list[str], actual: str, predicted: str, exclusion: int, row: str = "rn", compat: bool = False) -> DataFrame:
-    """p for each trace by one Fourier transform; a trace is one call, traces run in parallel."""
+    """(by, p): two-sided p of a trace's correlation among those of rotations of at least exclusion steps to either side.
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(row)
-        return x[by].head(1).assign(p=shift_p(x[actual].to_numpy(float), x[predicted].to_numpy(float), exclusion, compat))
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, row, actual, predicted).groupBy(*by).applyInPandas(run, f"{kinds}, p double")
+    The observed one counts as one of them. A constant side has no p, or with compat the smallest one; fewer
+    than two rotations are an error. Rows are in the order of row. Every rotation's correlation comes of one
+    transform that is spread over tasks.
+    """
+    own = ranked(df.select(*by, F.col(row).alias("_row"), F.col(actual).cast("double").alias("_a"), F.col(predicted).cast("double").alias("_b")), by, "_row", "_row", ROWS, ("_rn", "_size"))
+    own = kept(own.withColumn("_place", F.col("_rn") - 1), "traces")
+    facts = own.groupBy(*by).agg(F.count("*").alias("_n"), *[f(c).alias(f"{name}{c}") for c in ("_a", "_b") for name, f in (("_mean", F.avg), ("_sd", F.stddev_pop))])
+    far = F.col("_n") - 2 * exclusion
+    facts = facts.withColumn("_far", F.when(far >= 2, far).otherwise(F.raise_error(F.lit(f"a trace has no two rotations beyond {exclusion} steps"))))
+    unit = lambda c: (F.col(c) - F.col(f"_mean{c}")) / F.col(f"_sd{c}")
+    moving = own.join(facts.where((F.col("_sd_a") > 0) & (F.col("_sd_b") > 0)), by).select(*by, "_place", "_size", unit("_a").alias("_a"), unit("_b").alias("_b"))
+    r = kept(circular_correlation(moving, by, "_a", "_b", "_place", "_size").withColumn("_r", F.abs(F.col("value") / F.col("_size"))), "rotations")
+    seen = r.where("shift = 0").select(*by, F.col("_r").alias("_seen"))
+    within = (F.col("shift") >= exclusion) & (F.col("shift") < F.col("_size") - exclusion)
+    above = r.where(within).join(seen, by).groupBy(*by).agg(F.count_if(F.col("_r") >= F.col("_seen")).alias("_above"))
+    p = F.when(F.col("_above").isNotNull(), (F.col("_above") + 1) / (F.col("_far") + 1))
+    return facts.join(above, by, "left").select(*by, (F.coalesce(p, 1 / (F.col("_far") + 1)) if compat else p).alias("p"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", tie: str = "roi") -> DataFrame:
@@ -70,23 +57,37 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", tie: str = "roi") -> DataFra
 
 
 def block_bootstrap(df: DataFrame, by: list[str], actual: str, predicted: str, block: int = 68, repetitions: int = 2000, seed: int = 20260929, row: str = "rn") -> DataFrame:
-    """95 % intervals of r and r2 over paired moving blocks, one seeded stream for each trace."""
+    """95 % intervals of r and r2 over paired moving blocks.
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(row)
-        a, p = x[actual].to_numpy(float), x[predicted].to_numpy(float)
-        n, rng = len(a), np.random.default_rng(seed)
-        width = min(block, n)
-        found = np.full((repetitions, 2), np.nan)
-        for k in range(repetitions):
-            starts = rng.integers(0, n - width + 1, size=-(-n // width))
-            i = (starts[:, None] + np.arange(width)).ravel()[:n]
-            u, v = a[i] - a[i].mean(), p[i] - p[i].mean()
-            su, sv = u @ u, v @ v
-            if su > 0:
-                found[k] = (u @ v / np.sqrt(su * sv) if sv > 0 else np.nan, 1 - np.sum((a[i] - p[i]) ** 2) / su)
-        low, high = np.nanquantile(found, [0.025, 0.975], axis=0)
-        return x[by].head(1).assign(r_low=low[0], r_high=high[0], r2_low=low[1], r2_high=high[1])
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, row, actual, predicted).groupBy(*by).applyInPandas(run, f"{kinds}, r_low double, r_high double, r2_low double, r2_high double")
+    A repetition draws blocks of rows that follow each other until it has as many rows as the trace, the last
+    one cut. Block sums are differences of running sums within stretches; the drawn starts, by the hash of
+    seed, repetition and number, meet them by a join. Rows count from 1 by row in each trace.
+    """
+    own = ranked(df.select(*by, F.col(row).alias("_row"), F.col(actual).cast("double").alias("a"), F.col(predicted).cast("double").alias("p")), by, "_row", "_row", ROWS, ("_rn", "_n"))
+    terms = {"a": F.col("a"), "p": F.col("p"), "aa": F.col("a") * F.col("a"), "pp": F.col("p") * F.col("p"), "ap": F.col("a") * F.col("p"), "ee": (F.col("a") - F.col("p")) * (F.col("a") - F.col("p"))}
+    sums = list(terms)
+    width, last = F.least(F.lit(block), F.col("_n")), F.pmod(F.col("_n") - 1, F.least(F.lit(block), F.col("_n"))) + 1
+    own = own.select(*by, "_rn", "_n", width.alias("_width"), last.alias("_last"), *[v.alias(k) for k, v in terms.items()])
+    # before a stretch's own rows come those of the longest block, so both ends of a block lie in one running sum
+    running = lambda w: {f"_{k}": F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in sums}
+    spread = own.withColumn("_stretch", F.explode(F.sequence(F.floor((F.col("_rn") - 1) / ROWS), F.floor((F.col("_rn") - 1 + block) / ROWS))))
+    w = Window.partitionBy(*by, "_stretch").orderBy("_rn")
+    ends = kept(spread.withColumns(running(w)).select(*by, "_stretch", "_rn", "_n", "_width", "_last", *[f"_{k}" for k in sums]), "running")
+    traces = ends.select(*by, "_n", "_width", "_last").distinct()
+    count = F.ceil(F.col("_n") / F.col("_width")).cast("long")
+    draws = traces.withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repetitions - 1).cast("long")))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    share = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_rep", "_k")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    start = F.floor(share * (F.col("_n") - F.col("_width") + 1))
+    size = F.when(F.col("_k") == count - 1, F.col("_last")).otherwise(F.col("_width"))
+    draws = draws.select(*by, "_n", "_rep", start.alias("_from"), (start + size).alias("_to")).withColumn("_stretch", F.floor((F.col("_to") - 1) / ROWS))
+    at = lambda name: ends.select(*by, "_stretch", F.col("_rn").alias(name), *[F.col(f"_{k}").alias(f"{name}{k}") for k in sums])
+    # the row before a block is in its last row's stretch too, or there is none
+    met = draws.join(at("_to"), [*by, "_stretch", "_to"]).join(at("_from"), [*by, "_stretch", "_from"], "left")
+    part = {k: F.sum(F.col(f"_to{k}") - F.coalesce(F.col(f"_from{k}"), F.lit(0.0))) for k in sums}
+    n = F.col("_n")
+    total = met.groupBy(*by, "_n", "_rep").agg(*[v.alias(k) for k, v in part.items()])
+    va, vp = F.col("aa") - F.col("a") * F.col("a") / n, F.col("pp") - F.col("p") * F.col("p") / n
+    tiny = lambda v, s: F.when(v > 1e-12 * F.col(s), v)
+    scored = total.select(*by, ((F.col("ap") - F.col("a") * F.col("p") / n) / F.sqrt(tiny(va, "aa") * tiny(vp, "pp"))).alias("r"), (1 - F.col("ee") / tiny(va, "aa")).alias("r2"))
+    # as many rows as repetitions for each trace
+    return scored.groupBy(*by).agg(*[F.percentile(c, q).alias(f"{c}_{name}") for c in ("r", "r2") for name, q in (("low", 0.025), ("high", 0.975))])

@@ -120,6 +120,17 @@ select fly, count(*) n, round({_r('v', 'pr')}, 6) r, round({_r2('v', 'pr')}, 6)
     "circular_shift_null": f"""with {E}, d as (select fly, t // {6 * HOUR} frame, avg(value) v from p group by all), q as (select a.fly, a.v, c.v pr, row_number() over (partition by a.fly order by a.frame) - 1 i, count(*) over (partition by a.fly) n from d a join d c on a.frame = c.frame and c.fly = 'click' where a.fly <> 'click'),
 c as (select fly, i, n, v - avg(v) over (partition by fly) a, pr - avg(pr) over (partition by fly) b from q), s as (select x.fly, x.n, (y.i - x.i + x.n) % x.n s, sum(x.a * y.b) d from c x join c y using (fly) group by all),
 z as (select fly, abs(d) d0 from s where s = 0) select s.fly, round((1 + count(*) filter (s.s >= 3 and s.s < s.n - 3 and abs(s.d) >= d0)) / (1.0 + first(s.n) - 6), 6) p from s join z using (fly) group by s.fly""",
+    "psd_peak": f"""with {E}, c as (select fly, rn - 1 i, n, value - avg(value) over (partition by fly) v from e), f as (select fly, n, unnest(range(1, n // 2 + 1)) k from (select distinct fly, n from c)),
+s as (select fly, n, k, sum(v * cos(2 * pi() * ((i * k) % n) / n)) a, sum(v * sin(2 * pi() * ((i * k) % n) / n)) b from c join f using (fly, n) group by all),
+o as (select fly, n, k, row_number() over (partition by fly order by round(a * a + b * b, 6) desc, k) o from s) select fly, round(k::double / n, 6) psd_peak_hz from o where o = 1""",
+    "block_bootstrap_ci": f"""with {LAGS}, t as (select fly, value a, x1 p, row_number() over (partition by fly order by rn) i, count(*) over (partition by fly) n from l),
+u as (select *, sum(a) over w sa, sum(p) over w sp, sum(a * a) over w saa, sum(p * p) over w spp, sum(a * p) over w sap, sum((a - p) * (a - p)) over w see from t window w as (partition by fly order by i)),
+z as (select * from u union all select distinct fly, 0, 0, 0, n, 0, 0, 0, 0, 0, 0 from u), f as (select distinct fly, n, least(68, n) w, ceil(n / least(68, n))::bigint m from t),
+d as (select fly, n, w, m, rep, k, floor(('0x' || substr(md5('20260929:' || rep || ':' || k), 1, 8))::bigint / 4294967296.0::double * (n - w + 1))::bigint s from (select *, unnest(range(m)) k from (select *, unnest(range(2000)) rep from f))),
+b as (select *, s + case when k = m - 1 then (n - 1) % w + 1 else w end e from d),
+g as (select b.fly, b.n, rep, """ + ", ".join(f"sum(y.s{c} - x.s{c}) {c}" for c in ("a", "p", "aa", "pp", "ap", "ee")) + """ from b join z x on x.fly = b.fly and x.i = b.s join z y on y.fly = b.fly and y.i = b.e group by all),
+r as (select fly, (ap - a * p / n) / sqrt((aa - a * a / n) * (pp - p * p / n)) r, 1 - ee / (aa - a * a / n) r2 from g)
+select fly, """ + ", ".join(f"round(quantile_cont({c}, {q}), 6) {c}_{name}" for c in ("r", "r2") for name, q in (("low", 0.025), ("high", 0.975))) + """ from r group by fly""",
     "bh_qvalues": f"with {ROI_P}, k as (select roi, p, row_number() over (order by p, roi) r, count(*) over () m from rp) select roi, p, round(least(1.0, min(p * m / r) over (order by r rows between current row and unbounded following)), 6) q from k",
     "reliability_select": f"with {EVIDENCE} select roi, p, r, late_r, zeros, coalesce(p < 0.3 and r > 0 and late_r > 0 and zeros < 0.2, false) selected from ev",
     "rf_confidence": f"""with {EVIDENCE}, k as (select fly, coalesce(p < 0.4, false) and coalesce(r > 0, false) model, coalesce(user_id % 2 = 0, false) and coalesce(late_r > 0, false) and coalesce(zeros < 0.4, false) more, coalesce(late_r > 0, false) low from ev)

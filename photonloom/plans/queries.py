@@ -176,7 +176,7 @@ def trace_quality(spark, sf):
 
 @query
 def psd_peak(spark, sf):
-    return scores.spectrum_peak(events(spark, sf), ["fly"], 1.0)
+    return scores.spectrum_peak(events(spark, sf), ["fly"], 1.0).select("fly", r6("psd_peak_hz"))
 
 
 @query
@@ -389,7 +389,7 @@ def bh_qvalues(spark, sf):
 
 @query
 def block_bootstrap_ci(spark, sf):
-    return significance.block_bootstrap(_paired(spark, sf), ["fly"], "value", "x1")
+    return significance.block_bootstrap(_paired(spark, sf), ["fly"], "value", "x1").select("fly", *[r6(c) for c in ("r_low", "r_high", "r2_low", "r2_high")])
 
 
 def _evidence(spark, sf):

@@ -1,10 +1,12 @@
 """Small exact cases, broken contracts, and the rule that the future never moves the past."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photonloom.operators import baseline, clocks, compare, history, scores, significance, splits
+from photonloom.operators import baseline, clocks, compare, history, scores, significance, splits, transforms
 
 
 def trace(spark, values, step=1_000_000):
@@ -86,13 +88,39 @@ def test_scores_of_a_constant_are_null(spark):
     assert row.r is None and row.r2 is None and row.mse is not None
 
 
-def test_shift_null():
+def plain_shift_p(a, b, exclusion):
+    r = np.array([abs(np.corrcoef(a, np.roll(b, -k))[0, 1]) for k in range(len(a))])
+    null = r[exclusion : len(a) - exclusion]
+    return (1 + (null >= r[0]).sum()) / (1 + len(null))
+
+
+def test_shift_null(spark):
     rng = np.random.default_rng(8)
     x, noise = rng.normal(size=500), rng.normal(size=500)
-    assert significance.shift_p(x, x + rng.normal(size=500), 30) < 0.05 and significance.shift_p(x, noise, 30) > 0.01
-    assert significance.shift_p(np.ones(100), x[:100], 5) is None and significance.shift_p(np.ones(100), x[:100], 5, True) == 1 / 91
-    with pytest.raises(ValueError):
-        significance.shift_p(x[:20], x[:20], 10)
+    traces = {"signal": (x, x + rng.normal(size=500)), "noise": (x, noise), "flat": (np.ones(100), x[:100]), "odd": (x[:97], noise[:97])}
+    df = spark.createDataFrame([(k, 40 + i, float(a), float(b)) for k, (u, v) in traces.items() for i, (a, b) in enumerate(zip(u, v))], "fly string, rn long, a double, b double")
+    p = {r.fly: r.p for r in significance.circular_shift(df, ["fly"], "a", "b", 30).collect()}
+    assert p["flat"] is None and p["signal"] < 0.05 and p["noise"] > 0.01
+    for k in ("signal", "noise", "odd"):
+        assert p[k] == pytest.approx(plain_shift_p(*traces[k], 30))
+    assert {r.fly: r.p for r in significance.circular_shift(df.where("fly = 'flat'"), ["fly"], "a", "b", 5, compat=True).collect()} == {"flat": 1 / 91}
+    with pytest.raises(Exception, match="no two rotations"):
+        significance.circular_shift(df.where("fly = 'odd'"), ["fly"], "a", "b", 48).collect()
+
+
+@pytest.mark.parametrize("lot", [2, 64])
+def test_transforms_of_any_length(spark, monkeypatch, lot):
+    monkeypatch.setattr(transforms, "LOT", lot)
+    rng = np.random.default_rng(9)
+    traces = {n: rng.normal(size=(2, n)) for n in (1, 2, 7, 64, 101)}
+    df = spark.createDataFrame([(n, i, n, float(v[0, i]), float(v[1, i])) for n, v in traces.items() for i in range(n)], "k long, i long, n long, a double, b double").repartition(3)
+    own = df.withColumnRenamed("k", "trace")
+    power = {(r.trace, r.k): r.power for r in transforms.power_spectrum(own, ["trace"], "a", "i", "n").collect()}
+    shifted = {(r.trace, r["shift"]): r.value for r in transforms.circular_correlation(own, ["trace"], "a", "b", "i", "n").collect()}
+    assert len(power) == sum(n // 2 + 1 for n in traces) and len(shifted) == sum(traces)
+    for n, (a, b) in traces.items():
+        assert np.allclose([power[n, k] for k in range(n // 2 + 1)], np.abs(np.fft.rfft(a)) ** 2)
+        assert np.allclose([shifted[n, s] for s in range(n)], [a @ np.roll(b, -s) for s in range(n)])
 
 
 def test_benjamini_hochberg(spark):
@@ -107,12 +135,24 @@ def test_benjamini_hochberg(spark):
     assert np.allclose([r.q for r in got.orderBy("roi").collect()], want)
 
 
-def test_bootstrap_holds_the_estimate(spark):
+@pytest.mark.parametrize("rows", [4096, 64])
+def test_bootstrap_equals_plain_draws(spark, monkeypatch, rows):
+    monkeypatch.setattr(significance, "ROWS", rows)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=300)
-    df = spark.createDataFrame([("f", k, float(v), float(v + e)) for k, (v, e) in enumerate(zip(x, rng.normal(0, 0.5, 300)))], "fly string, rn long, a double, p double")
-    row = significance.block_bootstrap(df, ["fly"], "a", "p", 20, 100).first()
-    assert row.r_low < 0.9 < row.r_high < 1
+    x = rng.normal(size=303)
+    y = x + rng.normal(0, 0.5, 303)
+    df = spark.createDataFrame([("f", k, float(v), float(w)) for k, (v, w) in enumerate(zip(x, y))], "fly string, rn long, a double, p double")
+    row = significance.block_bootstrap(df, ["fly"], "a", "p", 20, 100, seed=3).first()
+    found = []
+    for rep in range(100):
+        draws = [int(int(hashlib.md5(f"3:{rep}:{k}".encode()).hexdigest()[:8], 16) / 2**32 * (303 - 20 + 1)) for k in range(16)]
+        i = np.concatenate([np.arange(s, s + (20 if k < 15 else 3)) for k, s in enumerate(draws)])
+        a, p = x[i], y[i]
+        found.append((np.corrcoef(a, p)[0, 1], 1 - ((a - p) ** 2).sum() / ((a - a.mean()) ** 2).sum()))
+    low, high = np.quantile(found, [0.025, 0.975], axis=0)
+    assert np.allclose([row.r_low, row.r2_low, row.r_high, row.r2_high], [*low, *high]) and row.r_low < 0.9 < row.r_high < 1
+    short = significance.block_bootstrap(df.where("rn < 5").withColumn("p", F.lit(1.0)), ["fly"], "a", "p", 20, 3).first()
+    assert short.r_low is None and short.r2_low is not None
 
 
 def test_registry_and_comparisons(spark):
