@@ -2,8 +2,8 @@
 
 1. Anchors (the smallest hash of the 16-word grams in each 35-word window) are counted; equal windows
    have equal anchors, so a window with an anchor found once is found once.
-2. Windows with a repeated anchor are counted by anchor and window hash; those found twice or more recur,
-   and one of the places where they are owns them. Runs of owned windows are the confirmed passages, each
+2. Windows with a repeated anchor are counted by two independent hashes of all their words; those found twice
+   or more recur, and one of the places where they are owns them. Runs of owned windows are the confirmed passages, each
    with its words and the one anchor that all its windows share.
 3. Passages are dealt by anchor to shards of bounded size. Each shard compiles an Aho-Corasick automaton
    of its anchors' words with pyahocorasick.
@@ -39,6 +39,10 @@ FILTER_BITS_A_KEY, FILTER_LIMIT = 16, 1 << 30
 _BLOCK_WORDS, _BLOCK_ROWS = 100_000, 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Keys and multipliers of the two lanes of word hashes, the bytes of a word's last eight that are its own, and bytes beyond which a word is hashed alone.
+_KEYS = [np.uint64(0x2545F4914F6CDD1D), np.uint64(0xA0761D6478BD642F)]
+_MIXERS = [(np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)), (np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))]
+_FIRST_BYTES, _LONG_WORD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), 256
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -49,18 +53,28 @@ def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[name]
 
 
-def _word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of each word's bytes, from prefix sums over blocks of words."""
-    out = np.empty(len(start), np.uint64)
+def _word_hashes(blob: bytes, start: np.ndarray, stop: np.ndarray, lane: int) -> np.ndarray:
+    """A keyed hash of each word, eight bytes after eight mixed in by steps that are not linear; the lanes are two such hashes with keys of their own.
+
+    Words of one length of up to eight bytes never share a hash, and no pattern of letters makes longer ones
+    do, as it would in a sum over letters; very long words are hashed one by one.
+    """
+    by_eight = np.ndarray((len(blob) + 1,), "<u8", blob + bytes(8), strides=(1,))
+    size = stop - start
+    out = size.astype(np.uint64) * _BASE ^ _KEYS[lane]
     for k in range(0, len(start), _BLOCK_WORDS):
-        a, b = start[k : k + _BLOCK_WORDS], stop[k : k + _BLOCK_WORDS]
-        part = raw[a[0] : b[-1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _table("up", _BASE, len(part))[: len(part)], out=sums[1:])
-        h = (sums[b - a[0]] - sums[a - a[0]]) * _table("down", _BACK, len(part) + 1)[a - a[0]]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x94D049BB133111EB)
-        out[k : k + _BLOCK_WORDS] = h ^ (h >> np.uint64(29))
+        live = np.arange(k, min(k + _BLOCK_WORDS, len(start)))
+        live, at = live[size[live] <= _LONG_WORD], 0
+        while len(live):
+            h = out[live] ^ (by_eight[start[live] + at] & _FIRST_BYTES[np.minimum(size[live] - at, 8)])
+            h *= _MIXERS[lane][0]
+            h ^= h >> np.uint64(32)
+            h *= _MIXERS[lane][1]
+            out[live] = h ^ (h >> np.uint64(29))
+            at += 8
+            live = live[size[live] > at]
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(blob[start[k] : stop[k]], digest_size=8, key=bytes([lane + 1])).digest(), "little")
     return out
 
 
@@ -72,18 +86,23 @@ class Words:
         spaces = np.flatnonzero(raw == 0x20)
         self.start, self.stop = (np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(raw)]])) if blob else (spaces, spaces)
         self.n = len(self.start)
-        self.own = _word_hashes(raw, self.start, self.stop)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(self.own * _table("up", _BASE, self.n)[: self.n], out=self.sums[1:])
+        self.own = _word_hashes(blob, self.start, self.stop, 0)
+        self.sums = self._sums(self.own)
+
+    def _sums(self, own: np.ndarray) -> np.ndarray:
+        sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(own * _table("up", _BASE, self.n)[: self.n], out=sums[1:])
+        return sums
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b, the latter exclusive."""
         return self.blob[self.start[a] : self.stop[b - 1]]
 
-    def hashes(self, k: int) -> np.ndarray:
+    def hashes(self, k: int, lane: int = 0) -> np.ndarray:
         if self.n < k:
             return np.empty(0, np.uint64)
-        h = (self.sums[k:] - self.sums[:-k]) * _table("down", _BACK, self.n)[: self.n - k + 1]
+        sums = self._sums(_word_hashes(self.blob, self.start, self.stop, 1)) if lane else self.sums
+        h = (sums[k:] - sums[:-k]) * _table("down", _BACK, self.n)[: self.n - k + 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
@@ -310,7 +329,10 @@ class Places(Words):
 
 
 def recurring_windows(places: DataFrame) -> DataFrame:
-    """(w, h, cid): windows found twice or more, by anchor and hash, with the place that owns them."""
+    """(w, cid): windows found twice or more, with the place that owns them.
+
+    Windows are told apart by 128 bits, of two hashes of each of their words.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -319,15 +341,15 @@ def recurring_windows(places: DataFrame) -> DataFrame:
                 size = part["size"].to_numpy(np.int64)
                 found = Places(part["words"].tolist(), size)
                 # windows come in the order of the places
-                yield pd.DataFrame({"w": _long(found.windows[found.valid]), "h": np.repeat(part["h"].to_numpy(), size), "cid": np.repeat(part["cid"].to_numpy(), size)})
+                yield pd.DataFrame({"w": _long(found.windows[found.valid]), "v": _long(found.hashes(WINDOW, 1)[found.valid]), "cid": np.repeat(part["cid"].to_numpy(), size)})
 
-    rows = places.select("h", "size", "cid", "words").mapInPandas(run, "w long, h long, cid long")
-    return rows.groupBy("w", "h").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n > 1").select("w", "h", "cid")
+    rows = places.select("size", "cid", "words").mapInPandas(run, "w long, v long, cid long")
+    return rows.groupBy("w", "v").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n > 1").select("w", "cid")
 
 
 def passages(places: DataFrame, windows: DataFrame) -> DataFrame:
     """(h, phrase, n_words): runs of recurring windows at the places that own them, each once."""
-    owned = windows.groupBy("cid", "h").agg(F.collect_set("w").alias("own"))
+    owned = windows.groupBy("cid").agg(F.collect_set("w").alias("own"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -348,7 +370,7 @@ def passages(places: DataFrame, windows: DataFrame) -> DataFrame:
                 text = [found.blob[a:b] for a, b in zip(found.start[at[head]].tolist(), found.stop[at[tail] + WINDOW - 1].tolist())]
                 yield pd.DataFrame({"h": x["h"].to_numpy()[of[head]], "phrase": text, "n_words": n_words})
 
-    return owned.join(places.select("cid", "h", "size", "words"), ["cid", "h"]).select("h", "size", "words", "own").mapInPandas(cut, "h long, phrase binary, n_words long").dropDuplicates(["h", "phrase"])
+    return owned.join(places.select("cid", "h", "size", "words"), "cid").select("h", "size", "words", "own").mapInPandas(cut, "h long, phrase binary, n_words long").dropDuplicates(["h", "phrase"])
 
 
 class Shard:

@@ -68,6 +68,30 @@ def test_equal_hashes_are_not_enough():
     assert shard.occurrences(places).tolist() == [3, 4, 5]
 
 
+def thue_morse(a, b, n=1024):
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("order", [(0, 1), (1, 0), (0, 1, 1), (1, 0, 0), (0, 0, 1)])
+def test_words_that_a_sum_over_letters_confuses(spark, order):
+    """Windows that differ in one word only, of letters whose polynomial hashes are equal modulo any power of two."""
+    words = thue_morse("a", "b"), thue_morse("b", "a")
+    texts = [" ".join([*(f"v{k}" for k in range(20)), words[o], *(f"v{k}" for k in range(21, 35))]) for o in order]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in remove_repeats(df).collect()}
+    assert [got[k] for k in range(len(order))] == [35 if order.count(o) > 1 else 0 for o in order]
+
+
+def test_word_hashes():
+    words = sorted({w for n in range(1, 9) for w in (thue_morse("a", "b", n), "a" * n, "b" * n, "x" * n + "y")} | {"a" * 255, "a" * 256, "a" * 257, "b" * 300, "é", "\x00", "\x00\x00", thue_morse("a", "b", 128), thue_morse("b", "a", 128)})
+    for lane in (0, 1):
+        own = [module._word_hashes(w.encode(), np.array([0]), np.array([len(w.encode())]), lane)[0] for w in words]
+        assert len(set(own)) == len(words)
+        whole = Words(" ".join(words).encode())
+        assert module._word_hashes(whole.blob, whole.start, whole.stop, lane).tolist() == own
+    assert Words(b"").own.tolist() == []
+
+
 def test_filter_is_sized_by_its_keys(spark):
     keys = spark.range(1000).withColumnRenamed("id", "h")
     known = module.Filter(module.filter_of(keys, module.F.col("h"), 1 << 20))
