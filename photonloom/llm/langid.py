@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from photonloom.llm.common import free_name, staged
 
 UNKNOWN = "und"
-#: Expected number of sampled documents for each language, and of all together: these bound what the fit reads.
+#: Most sampled documents of each language, and of all together unless there are more languages: these bound what the fit reads.
 SAMPLE_PER_LANG, SAMPLE_ROWS = 1500, 60_000
 BITS = 17
 ORDERS = (1, 2, 3)
@@ -160,27 +160,35 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def sampled(rows: DataFrame, per_lang: int, sample_rows: int) -> DataFrame:
+    """Distinct rows (id, lang, text): of each language those with the smallest hashes of id and text.
+
+    At most per_lang of a language, fewer where there are so many languages that this would exceed sample_rows
+    in all, but one of each. Rows with one id, or with none, are told apart by their texts.
+    """
+    drawn = rows.withColumn("h", F.xxhash64("id", "text", F.lit("langid")))
+    known = staged(drawn.select("lang", "h").distinct(), "drawn")
+    each = min(per_lang, -(-sample_rows // max(1, known.select("lang").distinct().count())))
+    ranked = known.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
+    # one row for each language, as the model itself has
+    last = F.broadcast(staged(ranked.groupBy("lang").agg(F.max("h").alias("last")), "last"))
+    return drawn.join(last, "lang").where("h <= last").dropDuplicates(["lang", "h"]).select("id", "lang", "text")
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of all languages in the rows that labelled() allows, fitted on a seeded hash sample of them.
+    """A model of all languages in the rows that labelled() allows, fitted on sampled() of them in one task.
 
-    The sample has about per_lang documents of each language, fewer where there are so many languages that
-    this would exceed sample_rows in all. It is fitted in one task; memory grows with the languages and
-    with the features that the sample has. Rows with a null id are never held out. Without a labelled row
-    the model has no language.
+    Memory grows with the languages and with the features that the sample has. Rows with a null id are never
+    held out. Without a labelled row the model has no language; of equal probabilities the first language wins.
     """
     rows = df.where(labelled(id_col, lang_col)).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
-    each = F.least(F.lit(per_lang), F.ceil(F.lit(sample_rows) / F.count("*").over(Window.partitionBy(F.lit(1)))))
-    # one row for each language, as the model itself has
-    shares = F.broadcast(counts.select("lang", F.least(F.lit(1.0), each / F.col("n")).alias("share")))
-    place = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
 
     def learn(x: pd.DataFrame) -> pd.DataFrame:
         x = x[x["text"].map(has_letter).astype(bool)].sort_values(["id", "text"], ignore_index=True)
         m = fit(x["text"].tolist(), x["lang"].tolist())
         return pd.DataFrame({"langs": [m.langs], "used": [m.used.astype("<u4").tobytes()], "weights": [m.weights[1:].tobytes()], "bias": [m.bias.tobytes()], "temperature": [m.temperature]})
 
-    sample = rows.join(shares, "lang").where(place < F.col("share")).select("id", "lang", "text", F.lit(1).alias("all"))
+    sample = sampled(rows, per_lang, sample_rows).withColumn("all", F.lit(1))
     found = sample.groupBy("all").applyInPandas(learn, "langs array<string>, used binary, weights binary, bias binary, temperature double").first()
     if found is None:
         return fit([], [])

@@ -15,7 +15,7 @@ from photonloom.llm.common import hot_keys, join_split, staged
 
 #: (host and path, verdict); a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Expected number of sampled labelled URLs, and the trees' size.
+#: Most distinct labelled URLs that the trees are fitted on, and the trees' size.
 SAMPLE_ROWS, TREES, DEPTH, SEED = 20_000, 10, 4, 11
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "param_length", "suffix_share", "suffix_rows")
 
@@ -99,8 +99,19 @@ class UrlModel:
         return out.withColumn("learned", F.when(F.col("prediction") > 0, "block").otherwise("allow")).drop("features", "rawPrediction", "probability", "prediction", "suffix_share", "suffix_rows")
 
 
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """Distinct URLs by their lexical features and label, those with the smallest hashes and most at most, with n, the rows of each.
+
+    However often a URL is repeated, it is one of them.
+    """
+    keys = ["host", "path", "suffix", *FEATURES[:-2], "label"]
+    drawn = rows.select(*keys, F.xxhash64(*keys, F.lit(SEED)).alias("h"))
+    last = drawn.select("h").distinct().orderBy("h").limit(most).agg(F.max("h").alias("h")).first().h
+    return drawn.where(F.col("h") <= F.lit(last)).groupBy(*keys, "h").agg(F.count("*").cast("double").alias("n")).drop("h")
+
+
 def train(labelled: DataFrame, label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> UrlModel:
-    """From rows of with_lexical() with a label allow or block; a seeded hash sample of about sample_rows URLs.
+    """From rows of with_lexical() with a label allow or block; trees are fitted on sampled() of them, rows as weights.
 
     Suffix statistics are of all labelled rows, with a row for every suffix; a suffix without labels gets the
     share of all rows. Null labels are skipped. With one class only, or no rows, the verdict is constant:
@@ -112,13 +123,12 @@ def train(labelled: DataFrame, label_col: str = "label", sample_rows: int = SAMP
         return UrlModel(None, None, 0.0, "block" if n.n and n.blocked else "allow")
     suffixes = staged(rows.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_rows"), ((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias("suffix_share")), "suffixes")
     model = UrlModel(None, suffixes, n.blocked / n.n, "allow")
-    place = F.pmod(F.xxhash64("host", "path", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
-    sample = staged(model.features(rows.where(place < min(1.0, sample_rows / n.n))).select("features", "label"), "sample")
+    sample = staged(model.features(sampled(rows, sample_rows)).select("features", "label", "n"), "sample")
     if sample.select("label").distinct().count() < 2:
         model.constant = "block" if n.blocked * 2 > n.n else "allow"
         return model
     # the sample is a few megabytes at any scale; few partitions keep the many small steps of boosting short
-    model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(sample.coalesce(2))
+    model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32, weightCol="n").fit(sample.coalesce(2))
     return model
 
 

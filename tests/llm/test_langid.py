@@ -5,9 +5,10 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import photonloom.llm.langid as module
-from photonloom.llm.langid import Model, calibration_error, codes, fit, train, with_language
+from photonloom.llm.langid import Model, calibration_error, codes, fit, sampled, train, with_language
 
 SYLLABLES = {"en": "the and tion ing er ou".split(), "de": "ung sch der ein ch ü".split(), "fr": "eau que é le oi ç".split()}
 
@@ -128,3 +129,19 @@ def test_empty(spark):
     assert with_language(df, train(df)).count() == 0
     one = spark.createDataFrame([(2, "abc", None)], "doc_id long, text string, lang string")
     assert with_language(one, train(one)).first().lang_pred == "und"
+
+
+def test_sample_is_bounded_and_never_empty(spark):
+    """Null ids, one id or one text on very many rows neither fill the sample nor empty it."""
+    ids = spark.range(60_000)
+    lang = F.when(F.col("id") % 2 == 0, "en").otherwise("fr")
+    text = F.concat(F.when(F.col("id") % 2 == 0, "the house of ").otherwise("la maison de "), F.conv(F.col("id").cast("string"), 10, 26))
+    for name, key, words in (("nulls", F.lit(None).cast("long"), text), ("one id", F.when(F.col("id") % 3 == 0, F.lit(8).cast("long")).otherwise(F.col("id")), text), ("one text", F.when(F.col("id") % 3 == 0, F.lit(8).cast("long")).otherwise(F.col("id")), F.when(F.col("id") % 3 == 0, F.lit("the same")).otherwise(text))):
+        df = ids.select(key.alias("doc_id"), words.alias("text"), lang.alias("lang"))
+        rows = df.select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
+        sizes = {r.lang: r["count"] for r in sampled(rows, 200, 1000).groupBy("lang").count().collect()}
+        assert sizes == {"en": 200, "fr": 200}, name
+        assert {r.lang: r["count"] for r in sampled(rows, 200, 100).groupBy("lang").count().collect()} == {"en": 50, "fr": 50}
+        assert train(df, per_lang=200).langs == ["en", "fr"], name
+    few = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None)], "id string, text string").withColumn("lang", F.lit("en"))
+    assert sampled(few.select("id", "lang", "text"), 10, 10).count() == 2

@@ -4,9 +4,10 @@ import re
 
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 import photonloom.llm.urls as module
-from photonloom.llm.urls import RULES, judge, train, with_lexical
+from photonloom.llm.urls import RULES, judge, sampled, train, with_lexical
 
 URLS = [None, "", "nothing", "http://", "HTTP://A.Example.ORG/es/x?y#z", "http://example.org", "http://example.org?x=/es/", "http://example.org/en/12", "http://notexample.org/es/", "http://com/fr/", "http://a.com/de/1?b=c&d=e#f", "ftp://x://y/z", "http://a.net/\nq", "http://org:80/", "http://" + "a" * 50000 + ".com/fr/"]
 
@@ -119,3 +120,15 @@ def test_one_class_and_empty(spark):
     one = spark.createDataFrame([(1, "http://a.org/"), (2, "http://b.net/")], "page_id long, url string")
     assert {r.verdict for r in judge(one).collect()} == {"allow"}
     assert judge(one.limit(0)).count() == 0
+
+
+def test_sample_is_of_distinct_urls(spark):
+    """A URL on two thirds of the rows is one of the sample, with its rows as weight."""
+    n = F.col("id")
+    df = spark.range(30_000).select(F.when(n % 3 > 0, "https://a.com/de/hot").otherwise(F.concat(F.lit("https://b.org/x"), n)).alias("url"), F.when(n % 3 > 0, "block").otherwise("allow").alias("label"))
+    rows = with_lexical(df)
+    found = {(r.host, r.path): r.n for r in sampled(rows, 20_000).collect()}
+    assert len(found) == 10_001 and found["a.com", "/de/hot"] == 20_000
+    few = sampled(rows, 500).collect()
+    assert len(few) == 500 and sampled(rows.limit(0), 500).count() == 0
+    assert train(df.transform(with_lexical)).verdict(rows).where("learned <> label").count() == 0
