@@ -176,7 +176,8 @@ def next_centroids(trees: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 np.add.at(n, own, 1)
                 np.add.at(sums, own, tree.vectors[at].astype(np.int64))
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": some, "n": n[some], "sums": list(sums[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some, "n": n[some], "sums": list(sums[some])})
 
     with small_batches(trees.sparkSession):
         parts = trees.drop("ids").mapInPandas(run, "cluster int, n long, sums array<bigint>").select("cluster", "n", F.posexplode("sums").alias("i", "x"))
