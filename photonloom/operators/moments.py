@@ -65,6 +65,16 @@ class Moments:
         r = slice(response, response + 1)
         return Moments(self.n, self.sx[columns], self.xx[np.ix_(columns, columns)], self.sy[r], self.xy[columns][:, r], self.yy[r])
 
+    def responses(self, which: list[int]) -> Moments:
+        """Some responses, with all of x."""
+        return Moments(self.n, self.sx, self.xx, self.sy[which], self.xy[:, which], self.yy[which])
+
+    def rescaled(self, center: np.ndarray, scale: np.ndarray) -> Moments:
+        """Moments of (y - center) / scale."""
+        sy = (self.sy - self.n * center) / scale
+        yy = (self.yy - 2 * center * self.sy + self.n * center**2) / scale**2
+        return Moments(self.n, self.sx, self.xx, sy, (self.xy - np.outer(self.sx, center)) / scale, yy)
+
     def scores(self, beta: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
         """r, r2 and mse of the predictions x @ beta + bias, from sums alone."""
         shift = self.my - self.mx @ beta - bias

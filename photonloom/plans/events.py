@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonloom.functions.exprs import micros
 from photonloom.operators.clocks import ranked
 from photonloom.operators.moments import Moments, moments
 from photonloom.operators.splits import blocked
-from photonloom.operators.stretches import in_stretches
+from photonloom.operators.stretches import ROWS, in_stretches
 
 HISTORY = 18
 
@@ -34,8 +34,7 @@ def with_lags(e: DataFrame, lags: int = 2) -> DataFrame:
 def embedding_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five sessions of stimulus vectors x (4 bins of 16 pixels) and two responses y, split 50/20/30."""
     v = table(spark, sf_dir, "embeddings").withColumn("session", F.concat(F.lit("s"), (F.col("vec_id") % 5).cast("string")))
-    w = Window.partitionBy("session").orderBy("vec_id")
-    v = v.withColumn("rn", F.row_number().over(w).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("session")))
+    v = ranked(v, ["session"], "vec_id", "vec_id", ROWS)
     y = F.array(F.col("label").cast("double") + F.col("embedding")[3].cast("double"), 2 * F.col("embedding")[21].cast("double") + F.col("embedding")[5].cast("double"))
     return v.withColumn("split", blocked(4, True)).select("session", "vec_id", "rn", "split", F.col("embedding").alias("x"), y.alias("y"))
 

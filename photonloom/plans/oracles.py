@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photonloom.plans.queries import FILE_RULES, GLOBAL, HISTORY, HOUR, MEASURES, OFFSETS, PAYLOAD_END, TAU, TIMING_LAGS, TIMING_MARGIN
+from photonloom.plans.queries import FEATURE_BINS, FEATURE_ROWS, FILE_RULES, GLOBAL, HISTORY, HOUR, MEASURES, OFFSETS, PAYLOAD_END, TAU, TIMING_LAGS, TIMING_MARGIN
 
 E = """p as (select event_id, event_type fly, user_id, value, props, epoch_us(ts) t from events),
 e as (select *, row_number() over (partition by fly order by t, event_id) rn, count(*) over (partition by fly) n from p)"""
@@ -55,6 +55,15 @@ s as (select fly, r, offset_us, {_r('y', 'g * pj + b')} rr, {_r2('y', '(g * pj +
 kk as (select fly, r, l, offset_us, part, covar_pop(x, y) k from x where part <> 'test' group by all), kh as (select a.fly, a.r, a.l, a.offset_us, a.k k1, b.k k2 from kk a join kk b using (fly, r, l, offset_us) where a.part = 'first' and b.part = 'second'),
 sh as (select fly, r, offset_us, sqrt(sum(k1 * k1)) st, coalesce({_r('k1', 'k2')}, 0) sh from kh group by all)
 select fly, offset_us, count(*) filter (rr > 0) positive_r_count, round(median(rr), 6) median_test_r, round(median(r2), 6) median_test_r2, round(median(st), 6) median_filter_strength, round(median(sh), 6) median_split_half_r from s join sh using (fly, r, offset_us) group by all""",
+    "feature_gather": f"""with b as (select row_number() over (order by vec_id) - 1 u, embedding e from embeddings),
+x as (select u, """ + ", ".join(f"avg(e[{i + 1}]::double) over (order by u rows between {2 * b + 1} preceding and {2 * b} preceding) f{8 * b + i:02d}" for b in range(2) for i in range(8)) + f""" from b),
+f as (select event_id, event_id % 400 \"update\", value from events) select event_id, \"update\", value, {_six('f06', 'f07', 'f08', 'f09')} from f join x on x.u = f.\"update\" where u >= {max(FEATURE_ROWS[0], FEATURE_BINS.history - 1)} and u < {FEATURE_ROWS[1]}""",
+    "parameter_replay": f"""with {E}, u as (select t, row_number() over w rn, count(*) over () n, lag(value, 0) over w v0, lag(value, 1) over w v1, lag(value, 2) over w v2 from p where fly = 'click' window w as (order by t, event_id)),
+z0 as (select f.fly, f.t, f.event_id, f.value y, u.* exclude (t) from (select * from p where fly <> 'click') f asof join u on f.t >= u.t),
+z as (select *, row_number() over (partition by fly order by t, event_id) k, count(*) over (partition by fly) m from z0 where rn > {TIMING_LAGS + TIMING_MARGIN} and rn <= n - {TIMING_MARGIN}),
+c as (select fly, covar_pop(v0, y) k0, covar_pop(v1, y) k1, covar_pop(v2, y) k2 from z where k <= floor(m * 0.7) group by fly), j as (select z.*, k0 * v0 + k1 * v1 + k2 * v2 pj from z join c using (fly)),
+g as (select fly, covar_pop(pj, y) / var_pop(pj) g, avg(y) - covar_pop(pj, y) / var_pop(pj) * avg(pj) b from j where k <= floor(m * 0.7) group by fly)
+select fly, event_id, round(g * pj + b, 6) predicted, y actual from j join g using (fly) where k > floor(m * 0.7)""",
     "row_id_zip": f"with {E} select a.rn, a.event_id click_id, b.event_id view_id from e a join e b using (rn) where a.fly = 'click' and b.fly = 'view'",
     "index_lookup": "select l_orderkey, l_linenumber, epoch_us(o_orderdate) t_us from lineitem join orders on l_orderkey = o_orderkey",
     "eligible_history": f"with {E} select event_id, rn from e where rn >= {HISTORY}",

@@ -11,17 +11,18 @@ from photonloom.functions.exprs import dot, micros, pearson, r_squared
 from photonloom.operators import baseline, clocks, compare, history, linear, scores, significance, splits, timing
 from photonloom.operators.clocks import ranked
 from photonloom.operators.moments import moments
-from photonloom.operators.stretches import in_stretches, quantiles
+from photonloom.operators.stretches import ROWS, in_stretches, quantiles
 from photonloom.plans import experiments, pixels, reliability
 from photonloom.plans.events import HISTORY, embedding_sessions, events, plain_events, session_moments, table, with_lags
+from photonloom.sources import features, parameters, stimulus
 from photonloom.sources import inventory as inventories
-from photonloom.sources import stimulus
-from photonloom.sources.shared import kept
+from photonloom.sources.shared import kept, new_folder
 
 DAY = 86_400_000_000
 PAYLOAD_END = 1_706_140_800_000_000
 OFFSETS = [k * 600_000_000 for k in range(-10, 11)]
 TAU = 21_600.0
+CANDIDATE_TAU = 60.0
 HOUR = 3_600_000_000
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 GLOBAL = splits.GlobalSplit(40, 800, 1200, 1900)
@@ -80,19 +81,25 @@ def asof_offset_sweep(spark, sf):
 TIMING_LAGS, TIMING_MARGIN = 3, 8
 
 
-@query
-def timing_sensitivity(spark, sf):
-    """Two responses, value and user_id, to three clicks' values and user_ids; frozen models fitted on the first 70 % at offset zero."""
+def _clicked(spark, sf):
+    """Updates of each session, the clicks with three lags of value and user_id, and its frames with their update u and part."""
     clicks, frames = clicks_and_frames(plain_events(spark, sf))
     placed = ranked(clicks.withColumn("_all", F.lit(1)), ["_all"], "t", "event_id")
     lags = lambda c, w: F.array(*[F.lag(c, k).over(w).cast("double") for k in range(TIMING_LAGS)])
     placed = in_stretches(placed, ["_all"], TIMING_LAGS - 1, lambda w: {"x": F.array(lags("value", w), lags("user_id", w))})
     ups = kept(_shared_updates(placed.withColumn("x", F.when(F.col("rn") >= TIMING_LAGS, F.col("x"))), F.col("x")), "updates")
-    at_zero = clocks.asof(frames, placed.select("t", "rn", "n"), [], ["rn", "n"])
-    common = at_zero.where((F.col("rn") > TIMING_LAGS + TIMING_MARGIN) & (F.col("rn") <= F.col("n") - TIMING_MARGIN)).drop("rn", "n")
+    at_zero = clocks.asof(frames, placed.select("t", F.col("rn").alias("_rn"), F.col("n").alias("_n")), [], ["_rn", "_n"])
+    common = at_zero.where((F.col("_rn") > TIMING_LAGS + TIMING_MARGIN) & (F.col("_rn") <= F.col("_n") - TIMING_MARGIN)).withColumn("u", F.col("_rn") - 1).drop("_rn", "_n")
     common = ranked(common, ["fly"], "t", "event_id")
     part = F.when(F.col("rn") <= F.floor(F.col("n") * 0.35), "first").when(F.col("rn") <= F.floor(F.col("n") * 0.7), "second").otherwise("test")
-    rows = kept(common.select("fly", "t", part.alias("part"), F.array("value", F.col("user_id").cast("double")).alias("y")), "frames")
+    return ups, kept(common.withColumn("part", part).select("fly", "event_id", "t", "u", "part", "value", "user_id"), "frames")
+
+
+@query
+def timing_sensitivity(spark, sf):
+    """Two responses, value and user_id, to three clicks' values and user_ids; frozen models fitted on the first 70 % at offset zero."""
+    ups, frames = _clicked(spark, sf)
+    rows = frames.select("fly", "t", "part", F.array("value", F.col("user_id").cast("double")).alias("y"))
     models = timing.reverse_models(timing.offset_sums(rows.where("part <> 'test'"), ups, [0], ["fly"]), ["fly"], TIMING_LAGS)
     scored = timing.offset_scores(rows, ups, models, OFFSETS, ["fly"], TIMING_LAGS)
     out = timing.timing_sensitivity(scored, ["fly"])
@@ -111,6 +118,39 @@ def index_lookup(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(orders, "l_orderkey")
 
 
+FEATURE_BINS, FEATURE_PIXELS, FEATURE_ROWS, FEATURE_COLUMNS = history.Bins(2, 2), 8, (50, 300), slice(6, 10)
+
+
+@query
+def feature_gather(spark, sf):
+    """Binned vectors, written once in buckets of the update, gathered by events; a slice of updates and of features."""
+    v = ranked(table(spark, sf, "embeddings").select(F.lit(1).alias("_all"), "vec_id", "embedding"), ["_all"], "vec_id", "vec_id", ROWS)
+    x = history.binned_vectors(v, ["_all"], "embedding", FEATURE_BINS, FEATURE_PIXELS).select((F.col("rn") - 1).alias("u"), "x")
+    shared = features.write_features(x, "u", "x", FEATURE_BINS.count * FEATURE_PIXELS)
+    frames = plain_events(spark, sf).select("event_id", "value", (F.col("event_id") % 400).alias("update"))
+    found = features.gather(frames, shared, "update", FEATURE_ROWS, FEATURE_COLUMNS)
+    return found.select("event_id", "update", "value", *[r6(c) for c in shared.columns[FEATURE_COLUMNS]])
+
+
+@query
+def parameter_replay(spark, sf):
+    """Frozen models of each session's value by three clicks' values, saved with their test predictions, loaded and replayed."""
+    ups, frames = _clicked(spark, sf)
+    rows = frames.select("fly", "t", "part", F.array("value").alias("y"))
+    history_ = ups.select("fly", "t", F.when(F.col("x").isNotNull(), F.array(F.element_at("x", 1))).alias("x"))
+    fitted = timing.reverse_models(timing.offset_sums(rows.where("part <> 'test'"), history_, [0], ["fly"]), ["fly"], TIMING_LAGS)
+    named = {"run_id": F.lit("r0"), "roi": F.lit("value")}
+    models = kept(fitted.withColumns(named | {"pixel": F.lit(0)}), "models")
+    clicks = ranked(plain_events(spark, sf).where("fly = 'click'").withColumn("_all", F.lit(1)), ["_all"], "t", "event_id")
+    stimulus_ = kept(clicks.select((F.col("rn") - 1).alias("u"), F.array(F.col("value").cast("double"), F.col("user_id").cast("double")).alias("x")), "stimulus")
+    tests = kept(frames.where("part = 'test'").withColumns(named).select("fly", "run_id", "roi", F.col("event_id").alias("t"), "u", F.col("value").alias("actual")), "tests")
+    sources = {"stimulus": parameters.content_hash(stimulus_), "responses": parameters.content_hash(tests)}
+    folder = new_folder(spark, "parameters")
+    version = parameters.save(models, parameters.predict(models, tests, stimulus_), folder, sources, {"lags": TIMING_LAGS})
+    found = parameters.replay(parameters.load(spark, folder, version), tests, stimulus_, sources)
+    return found.select("fly", F.col("t").alias("event_id"), r6("predicted"), "actual")
+
+
 @query
 def eligible_history(spark, sf):
     return history.eligible(events(spark, sf), HISTORY).select("event_id", "rn")
@@ -543,11 +583,22 @@ def rank_one_energy(spark, sf):
     return spark.createDataFrame([(s, r, float(v)) for s, own in energy.items() for r, v in enumerate(own)], "session string, response int, energy_fraction double")
 
 
+def _candidate_vectors(spark, sf):
+    rows = experiments.numbered(embedding_sessions(spark, sf).drop("split"), ["session"], "vec_id")
+    return kept(experiments.with_candidates(rows.withColumn("t", F.col("rn") * 1_000_000), ["session"], "t", CANDIDATE_TAU), "candidates")
+
+
+@query
+def candidate_summary(spark, sf):
+    out = experiments.candidate_summary(_candidate_vectors(spark, sf))
+    return out.select("session", "candidate", r6("median_split_half_kernel_r"), r6("median_late_projection_r"), "positive_late_projection_count")
+
+
 @query
 def experiment_matrix(spark, sf):
-    rows = experiments.numbered(embedding_sessions(spark, sf).drop("rn", "split"), ["session"], "vec_id")
+    rows = _candidate_vectors(spark, sf)
     folds = experiments.fold_labels(4, {"fold_a": (0.5, 0.7, 1.0), "fold_b": (0.4, 0.6, 0.8)})
-    return experiments.run_matrix(rows, folds, 4, experiments.MODELS)
+    return experiments.run_matrix(rows, folds, 4)
 
 
 @query
