@@ -31,6 +31,18 @@ LONG = "v as (select vec_id, label, unnest(embedding)::double x, generate_subscr
 ROIS = f"{LONG}, y as (select vec_id, 'label' roi, label::double y from embeddings union all select vec_id, 'cycle', (vec_id % 7)::double from embeddings), k as (select roi, i, covar_pop(x, y) k from v join y using (vec_id) group by all)"
 ROI_P = f"{LAGS}, rp as (select fly, user_id, fly || '/' || user_id roi, round(avg(value) / (1 + max(value)), 6) p, round(avg((value < 10)::int::double), 6) zeros from p group by all)"
 EVIDENCE = f"{ROI_P}, ev as (select rp.*, s.r, s.late_r from rp left join (select fly, user_id, round({_r('value', 'x1')}, 6) r, round({_r('value', 'x2')}, 6) late_r from l group by all) s using (fly, user_id))"
+VECTORS = """v0 as (select vec_id, 's' || vec_id % 5 as session, embedding e, label::double + embedding[4]::double y0, 2 * embedding[22]::double + embedding[6]::double y1,
+  row_number() over (partition by vec_id % 5 order by vec_id) rn, count(*) over (partition by vec_id % 5) n from embeddings),
+v as (select *, case when rn - 1 < floor(n * 0.5) then 'train' when rn - 1 < floor(n * 0.5) + 4 then 'purge' when rn - 1 < floor(n * 0.7) then 'validation' when rn - 1 < floor(n * 0.7) + 4 then 'purge' else 'test' end split from v0),
+y as (select vec_id, session, rn, split, unnest([0, 1])::int response, unnest([y0, y1]) y from v)"""
+#: Moments of x and y on training rows, and on training and validation rows together.
+FITS = ", ".join(
+    f"{f} filter (split {on}) {name}{p}"
+    for p, on in (("", "= 'train'"), ("2", "in ('train', 'validation')"))
+    for f, name in (("covar_pop(x, y)", "c"), ("var_pop(x)", "v"), ("avg(x)", "mx"), ("avg(y)", "my"), ("var_pop(y)", "vy"))
+)
+GRID = "[0.001, 0.01, 0.1, 1.0, 10.0]"
+TESTED = f"round({_r('y', 'p')}, 6) r, round({_r2('y', 'p')}, 6) r2, round(avg((y - p) * (y - p)), 6) mse, round(avg((y - p) * (y - p)) / first(vy), 6) nmse"
 CAL = "coalesce(covar_pop(x1, value) / nullif(var_pop(x1), 0), 0)"
 
 SQL: dict[str, str] = {
@@ -64,6 +76,36 @@ z as (select *, row_number() over (partition by fly order by t, event_id) k, cou
 c as (select fly, covar_pop(v0, y) k0, covar_pop(v1, y) k1, covar_pop(v2, y) k2 from z where k <= floor(m * 0.7) group by fly), j as (select z.*, k0 * v0 + k1 * v1 + k2 * v2 pj from z join c using (fly)),
 g as (select fly, covar_pop(pj, y) / var_pop(pj) g, avg(y) - covar_pop(pj, y) / var_pop(pj) * avg(pj) b from j where k <= floor(m * 0.7) group by fly)
 select fly, event_id, round(g * pj + b, 6) predicted, y actual from j join g using (fly) where k > floor(m * 0.7)""",
+    "reverse_correlation": f"""with {VECTORS}, x as (select vec_id, unnest(e)::double x, generate_subscripts(e, 1) i from v), k as (select session, response, i, covar_pop(x, y) k from x join y using (vec_id) where split = 'train' group by all),
+j as (select session, response, vec_id, split, first(y) y, sum(k * x) pj from y join x using (vec_id) join k using (session, response, i) group by all),
+g as (select session, response, first(kk) / var_pop(pj) g, avg(y) my, avg(pj) mp, var_pop(y) vy from j join (select session, response, sum(k * k) kk from k group by all) using (session, response) where split = 'train' group by all),
+t as (select session, response, y, my + g * (pj - mp) p, vy from j join g using (session, response) where split = 'test') select 'sta' model, session, response, {TESTED} from t group by all""",
+    "experiment_single": f"""with {VECTORS}, b as (select y.session, y.response, y.split, e[4]::double x, y from y join v using (vec_id)), m as (select session, response, avg(y) m, stddev_pop(y) sd from b where split = 'train' group by all),
+u as (select 'z' unit, session, response, split, x, (y - m) / case when sd < 1e-8 then 1 else sd end y from b join m using (session, response) union all select 'raw', * from b),
+s as (select unit, session, response, {FITS} from u group by all),
+w as (select unit, session, response, alpha, {_r2('y', '(c / (v + alpha) * (x - mx) + my)')} r2 from u join (select *, unnest({GRID}) alpha from s) using (unit, session, response) where split = 'validation' group by all),
+pick as (select * from (select 'session' kind, unit, session, null::int response, alpha, row_number() over (partition by unit, session order by median(r2) desc, alpha) o from w group by unit, session, alpha
+  union all select 'response', unit, session, response, alpha, row_number() over (partition by unit, session, response order by r2 desc, alpha) from w
+  union all select 'all', unit, null, null, alpha, row_number() over (partition by unit order by median(r2) desc, alpha) from w group by unit, alpha) where o = 1),
+f as (select * from (values ('individual_ridge', 'z', 'session'), ('individual_ridge_raw_units', 'raw', 'session'), ('individual_pixel', 'z', 'response'), ('low_rank', 'z', 'all'), ('shared_kernel', 'z', 'none'), ('shared_kernel_raw_units', 'raw', 'none'),
+  ('shared_kernel_equal_response', 'z', 'none'), ('hierarchical', 'z', 'none'), ('sta', 'z', 'train')) q(model, unit, kind)),
+c as (select f.model, s.*, case when f.kind = 'train' then s.c / s.v else c2 / (v2 + coalesce(alpha, 0)) end beta, case when f.kind = 'train' then mx else mx2 end bx, case when f.kind = 'train' then my else my2 end b0
+  from f join s on s.unit = f.unit left join pick on pick.kind = f.kind and pick.unit = f.unit and coalesce(pick.session, s.session) = s.session and coalesce(pick.response, s.response) = s.response),
+t as (select model, c.session, c.response, u.y, b0 + beta * (u.x - bx) p, vy from c join u using (unit, session, response) where split = 'test') select model, session, response, {TESTED} from t group by all""",
+    "pixel_single_bin": f"""with {VECTORS}, b as (select y.*, i, e[i + 1]::double x from y join v using (vec_id), (select unnest(range(16)) i)),
+k as (select session, response, i, covar_pop(x, y) filter (split = 'train') kt, covar_pop(x, y) filter (split = 'validation') kv from b group by all),
+l as (select session, response, arg_max(i, kt * kt) px, arg_max(i, kv * kv) late from k group by all), u as (select b.* from b join l using (session, response) where i = px),
+s as (select session, response, {FITS} from u group by all),
+w as (select session, response, alpha, {_r2('y', '(c / (v + alpha) * (x - mx) + my)')} r2 from u join (select *, unnest({GRID}) alpha from s) using (session, response) where split = 'validation' group by all),
+a as (select * from (select *, row_number() over (partition by session, response order by r2 desc, alpha) o from w) where o = 1),
+t as (select session, response, row_number() over (partition by session, response order by rn) - 1 j, count(*) over (partition by session, response) m, u.y, my2, my2 + c2 / (v2 + alpha) * (x - mx2) p from u join s using (session, response) join a using (session, response) where split = 'test'),
+z as (select session, response, {_r('y', 'p')} tr, {_r2('y', 'p')} t2, {_r2('y', 'my2')} flat from t group by all),
+d as (select session, response, j, m, y - avg(y) over q y, p - avg(p) over q p from t window q as (partition by session, response)),
+h as (select one.session, one.response, one.m, (two.j - one.j + one.m) % one.m s, abs(sum(one.y * two.p)) c from d one join d two using (session, response) group by all),
+n as (select h.session, h.response, (1 + count(*) filter (h.s >= 5 and h.s < h.m - 5 and h.c >= o.c)) / (1.0 + first(h.m) - 10) np from h join h o on o.session = h.session and o.response = h.response and o.s = 0 group by all),
+o as (select *, row_number() over (order by np, session || '/' || response) k, count(*) over () cnt from n), q as (select session, response, np, least(1.0, min(np * cnt / k) over (order by k rows between current row and unbounded following)) nq from o)
+select session, response, (px // 4)::int pixel_row, (px % 4)::int pixel_col, (3 - px // 4)::int fly_side_row, (3 - px % 4)::int fly_side_col, (late // 4)::int validation_row, (late % 4)::int validation_col, px = late pixel_stable, alpha::double penalty,
+round(r2, 6) validation_r2, round(tr, 6) test_r, round(t2, 6) test_r2, round(flat, 6) constant_baseline_test_r2, 0::int peak_lag, round(np, 6) shift_null_p, round(nq, 6) shift_null_q from l join a using (session, response) join z using (session, response) join q using (session, response)""",
     "row_id_zip": f"with {E} select a.rn, a.event_id click_id, b.event_id view_id from e a join e b using (rn) where a.fly = 'click' and b.fly = 'view'",
     "index_lookup": "select l_orderkey, l_linenumber, epoch_us(o_orderdate) t_us from lineitem join orders on l_orderkey = o_orderkey",
     "eligible_history": f"with {E} select event_id, rn from e where rn >= {HISTORY}",

@@ -530,7 +530,8 @@ def file_inventory(spark, sf):
 
 
 def _records(spark, sessions, fit):
-    return spark.createDataFrame(linear.records(sessions, fit), "model string, session string, response int, r double, r2 double, mse double, nmse double")
+    out = spark.createDataFrame(linear.records(sessions, fit), "model string, session string, response int, r double, r2 double, mse double, nmse double")
+    return out.select("model", "session", "response", *[r6(c) for c in ("r", "r2", "mse", "nmse")])
 
 
 def _model(name: str, build) -> None:
@@ -601,6 +602,23 @@ def experiment_matrix(spark, sf):
     return experiments.run_matrix(rows, folds, 4)
 
 
+@query
+def experiment_single(spark, sf):
+    """All families on one entry of the vectors, where each has a closed form."""
+    rows = embedding_sessions(spark, sf).withColumns({"x": F.array(F.col("x")[3].cast("double")), "y": F.concat(*["y"] * len(experiments.CANDIDATES))})
+    out = experiments.run_matrix(rows, {"all": F.col("split")}, 1, tuple(experiments.MODELS))
+    return out.select("model", "session", "response", *[r6(c) for c in ("r", "r2", "mse", "nmse")])
+
+
+@query
+def pixel_single_bin(spark, sf):
+    """The pixel report on the vectors' first 16 entries as one bin of 4 by 4 pixels."""
+    rows = _numbered_vectors(spark, sf).withColumn("x", F.slice("x", 1, 16))
+    out = pixels.pixel_report(rows, 1, 4, exclusion=5)
+    rounded = ("validation_r2", "test_r", "test_r2", "constant_baseline_test_r2", "shift_null_p", "shift_null_q")
+    return out.select(*[r6(c) if c in rounded else c for c in out.columns])
+
+
 @query
 def processed_target(spark, sf):
     e = events(spark, sf).select("event_id", "fly", "t", "value", "rn", "n")
