@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photonloom.functions.exprs import dot, micros, pearson, r_squared
-from photonloom.operators import baseline, clocks, compare, history, linear, scores, significance, splits, timing
+from photonloom.operators import baseline, clocks, compare, history, linear, network, scores, significance, splits, timing
 from photonloom.operators.clocks import ranked
 from photonloom.operators.moments import moments
 from photonloom.operators.stretches import ROWS, in_stretches, quantiles
@@ -619,6 +619,15 @@ def pixel_single_bin(spark, sf):
     return out.select(*[r6(c) if c in rounded else c for c in out.columns])
 
 
+@query
+def residual_network(spark, sf):
+    """A network of 4 lags of 4 by 4 pixels beside the pixel model, for each session of vectors."""
+    rows = kept(_numbered_vectors(spark, sf).select("session", "rn", "split", "x", "y"), "vectors")
+    shape = network.Shape(4, 4, 4, 2)
+    nets, _ = network.fit(rows, experiments.sessions_of(rows), shape, max_epochs=8, patience=3, rate=0.003)
+    return network.held_out_scores(rows, nets, shape)
+
+
 @query
 def processed_target(spark, sf):
     e = events(spark, sf).select("event_id", "fly", "t", "value", "rn", "n")
