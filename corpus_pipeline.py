@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column, of the returned name, that tells rows apart and sorts them by doc_id, null ids last, then by place in the files."""
     name = free_name("row", docs.columns)
-    if not docs.inputFiles():
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        # a joined or united table has no places of its own
         docs = staged(docs, "placed")
     whole = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
     # whole numbers from the least one up sort as text of equal length

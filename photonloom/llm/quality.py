@@ -11,6 +11,7 @@ of the group above it, by PRIOR_ROWS rows, so groups of any size have their own.
 from __future__ import annotations
 
 import functools
+import warnings
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -132,9 +133,14 @@ def _step(keep: float) -> Callable:
     return run
 
 
-def binned(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """(grp, start, bin, n, sums, products) of rows (grp, z0..) under params: at most BINS * (HIGH - LOW) rows for each estimate."""
-    near = rows.join(params.select("grp", "start", *_PARAMS), "grp")
+def binned(rows: DataFrame, params: DataFrame, hot: DataFrame) -> DataFrame:
+    """(grp, start, bin, n, sums, products) of rows (grp, z0..) under params: at most BINS * (HIGH - LOW) rows for each estimate.
+
+    hot has the groups of very many rows, such as that of all rows; they meet their params where they are.
+    """
+    # as many as there are ways to start
+    own = params.groupBy("grp").agg(F.collect_list(F.struct("start", *_PARAMS)).alias("_own"))
+    near = join_split(rows, own, "grp", hot).where("_own is not null").withColumn("_own", F.explode("_own")).select("grp", "_own.*", *[f"z{i}" for i in range(D)])
     at = F.floor((F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.log(_distance() + 1e-9))) - LOW) * BINS)
     near = near.select("grp", "start", at.alias("bin"), *[f"z{i}" for i in range(D)])
     sums = [F.sum(f"z{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i, j in _PAIRS]
@@ -142,12 +148,12 @@ def binned(rows: DataFrame, params: DataFrame) -> DataFrame:
     return out.select("grp", "start", "bin", "n", F.array(*[f"s{i}" for i in range(D)]).alias("sums"), F.array(*[f"s{i}{j}" for i, j in _PAIRS]).alias("products"))
 
 
-def starts(rows: DataFrame) -> DataFrame:
+def starts(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Params of each grp by each way to start: medians and their deviations, all moments, and the moments of all rows."""
     z, array = [f"z{i}" for i in range(D)], lambda cols: F.array(*cols)
     moments = [F.avg(c).alias(f"a{c}") for c in z] + [F.stddev_pop(c).alias(f"d{c}") for c in z]
     own = staged(rows.groupBy("grp").agg(array([F.percentile_approx(c, 0.5) for c in z]).alias("med"), *moments), "middles")
-    spread = rows.join(own.select("grp", "med"), "grp").groupBy("grp").agg(array([F.percentile_approx(F.abs(F.col(c) - F.col("med")[i]), 0.5) * 1.4826 for i, c in enumerate(z)]).alias("scale"))
+    spread = join_split(rows, own.select("grp", "med"), "grp", hot).groupBy("grp").agg(array([F.percentile_approx(F.abs(F.col(c) - F.col("med")[i]), 0.5) * 1.4826 for i, c in enumerate(z)]).alias("scale"))
     means, scales = array([f"a{c}" for c in z]), array([f"d{c}" for c in z])
     every = own.where("grp = '[]'").select(means.alias("means"), scales.alias("scales"))
     wide = own.join(spread, "grp").join(F.broadcast(every))  # one row, of all rows
@@ -161,25 +167,31 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame, keep: float = KEEP) -> DataFrame:
-    """(grp, n, centre, cov, middle): of each grp, the concentrated estimate with the smallest determinant.
+    """(grp, n, centre, cov, middle, start, logdet, settled): of each grp, the concentrated estimate with the smallest determinant.
 
-    Each start goes on until its determinant falls no more; settled ones are not scanned again.
+    Each start goes on until its determinant falls no more; settled ones are not scanned again. What still falls
+    after MAX_STEPS steps is not settled and gives a warning.
     """
-    going, done, before = staged(starts(rows), "params"), [], None
+    hot = staged(hot_keys(staged(rows.groupBy("grp").agg(F.count("*").alias("n")), "sizes")).select("grp"), "hot")
+    going, done, before = staged(starts(rows, hot), "params"), [], None
     for k in range(MAX_STEPS):
-        found = staged(binned(rows, going).groupBy("grp", "start").applyInPandas(_step(keep), _STEP), "step")
+        found = staged(binned(rows, going, hot).groupBy("grp", "start").applyInPandas(_step(keep), _STEP), "step")
         old = F.lit(None).cast("double") if before is None else F.col("before")
         joined = found if before is None else found.join(before, ["grp", "start"], "left")
-        settled = F.coalesce(old - F.col("logdet") <= TOLERANCE, F.lit(False)) if k + 1 < MAX_STEPS else F.lit(True)
+        settled = F.coalesce(old - F.col("logdet") <= TOLERANCE, F.lit(False))
         marked = joined.withColumn("settled", settled)
-        done.append(marked.where("settled").drop("settled", "before"))
         going = marked.where("not settled").drop("settled", "before")
+        last = k + 1 == MAX_STEPS
+        done.append((marked if last else marked.where("settled")).drop("before"))
         if going.isEmpty():
             break
+        if last:
+            warnings.warn(f"{going.count()} estimates have not settled in {MAX_STEPS} steps", stacklevel=2)
+            break
         before = going.select("grp", "start", F.col("logdet").alias("before"))
     every = functools.reduce(DataFrame.unionByName, done)
     order = F.struct("logdet", "start")
-    return every.groupBy("grp").agg(*[F.min_by(c, order).alias(c) for c in ("n", "centre", "cov", "middle", "start", "logdet")])
+    return every.groupBy("grp").agg(*[F.min_by(c, order).alias(c) for c in ("n", "centre", "cov", "middle", "start", "logdet", "settled")])
 
 
 def shrunk(own: tuple | None, above: tuple, prior: float = PRIOR_ROWS) -> tuple[np.ndarray, np.ndarray]:

@@ -81,3 +81,17 @@ def test_first_words(spark):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_joined_and_united_tables_are_documents_too(spark, tmp_path):
+    """A table without places in files is written first; its rows stay apart as those of a file do."""
+    rng = random.Random(12)
+    rows = [(k, " ".join("".join(rng.choice(SYLLABLES["en"]) for _ in range(2)) for _ in range(40)), "en", "src1", 9) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/d.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
+    labels = spark.createDataFrame([(k, 1) for k in range(6)], "doc_id long, quality int")
+    for table, n in ((docs.join(labels, "doc_id", "left"), 12), (docs.union(docs), 12), (docs.where("doc_id > 3"), 8), (df, 12)):
+        found = corpus_pipeline.near_dedup(spark, table, "")
+        assert found.columns == table.columns and sorted(r.doc_id for r in found.collect()) == list(range(12))[-n:]
+        assert 0 < corpus_pipeline.mixture(spark, table, "").count() <= table.count()

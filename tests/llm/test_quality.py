@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 import photonloom.llm.quality as module
 from photonloom.llm.quality import D, FLOORS, estimates, quality, shrunk, statistics
@@ -110,3 +111,23 @@ def test_null_and_empty_languages_are_apart(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality(df).count() == 0
+
+
+@pytest.mark.parametrize("share", [4096, 3])
+def test_hot_groups_and_unsettled_estimates(spark, monkeypatch, share):
+    """Groups above the share are joined where their rows are, the others are dealt; the estimates are the same."""
+    import photonloom.llm.common as common
+
+    rng = np.random.default_rng(4)
+    rows = [(g, *rng.normal(size=D).tolist()) for g, n in (("[]", 300), ("a", 80), ("b", 60)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "grp string, " + ", ".join(f"z{i} double" for i in range(D)))
+    want = {r.grp: r for r in estimates(df).collect()}
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    got = {r.grp: r for r in estimates(df).collect()}
+    assert set(got) == {"[]", "a", "b"} and all(r.settled for r in got.values())
+    for g, r in got.items():
+        assert np.allclose(r.centre, want[g].centre) and np.allclose(r.cov, want[g].cov) and r.n == want[g].n
+    monkeypatch.setattr(module, "MAX_STEPS", 1)
+    with pytest.warns(UserWarning, match="not settled"):
+        found = estimates(df).collect()
+    assert len(found) == 3 and not any(r.settled for r in found)
