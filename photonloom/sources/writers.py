@@ -6,7 +6,7 @@ import html
 import json
 import os
 import subprocess
-from pathlib import Path
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +29,32 @@ def write_parameters(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("fly", "run_id").parquet(path)
 
 
+def _at(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def write_text(path: str, text: str) -> None:
+    fs, at = _at(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at, compression=None) as out:
+        out.write(text.encode())
+
+
 def write_registry(new: DataFrame, path: str) -> DataFrame:
-    """Insert or replace experiments by id; the former file stays until the new one is whole."""
+    """Insert or replace experiments by id; the former files stay until the new ones are whole."""
+    from pyarrow.fs import FileType
+
     spark = new.sparkSession
-    target = Path(path)
-    old = spark.read.option("header", True).csv(path) if target.exists() else spark.createDataFrame([], ", ".join(f"{f} string" for f in REGISTRY_FIELDS))
-    merged = upsert(old, new)
-    fresh = f"{path}.new"
-    merged.coalesce(1).write.mode("overwrite").option("header", True).csv(fresh)
-    if target.exists():
-        os.replace(path, f"{path}.{os.getpid()}.old")
-    os.replace(fresh, path)
+    fs, at = _at(path)
+    known = fs.get_file_info(at).type != FileType.NotFound
+    old = spark.read.option("header", True).csv(path) if known else spark.createDataFrame([], ", ".join(f"{f} string" for f in REGISTRY_FIELDS))
+    upsert(old, new).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}.new")
+    if known:
+        fs.move(at, f"{at}.{uuid.uuid4().hex}.old")
+    fs.move(f"{at}.new", at)
     return spark.read.option("header", True).csv(path)
 
 
@@ -49,7 +64,7 @@ def write_inventory(files: DataFrame, folder: str) -> str:
     lines = ["# Inventory", ""]
     for c in ("category", "status"):
         lines += [f"- {r[c]}: {r['count']}" for r in files.groupBy(c).count().orderBy(c).collect()] + [""]
-    Path(folder, "summary.md").write_text("\n".join(lines))
+    write_text(f"{folder}/summary.md", "\n".join(lines))
     return "\n".join(lines)
 
 
@@ -58,8 +73,7 @@ def write_manifest(observations: DataFrame, folder: str, config: dict) -> dict:
     counts = observations.groupBy("fly", "split").count().orderBy("fly", "split").collect()
     updates = observations.agg(F.count_distinct("u").alias("n")).first().n
     out = {"config": config, "counts": [r.asDict() for r in counts], "unique_updates": updates}
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "manifest.json").write_text(json.dumps(out, indent=2))
+    write_text(f"{folder}/manifest.json", json.dumps(out, indent=2))
     write_csv(observations.groupBy("fly", "roi").count(), f"{folder}/roi_counts.csv")
     return out
 

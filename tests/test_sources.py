@@ -75,6 +75,14 @@ def test_sinks(spark, tmp_path):
     writers.write_registry(row("a", "one").unionByName(row("b", "two")), path)
     got = writers.write_registry(row("a", "three"), path)
     assert sorted((r.experiment_id, r.model) for r in got.collect()) == [("a", "three"), ("b", "two")]
+    uri = f"file://{tmp_path}/other/registry"
+    writers.write_registry(row("a", "one"), uri)
+    assert sorted(r.experiment_id for r in writers.write_registry(row("c", "one"), uri).collect()) == ["a", "c"]
+    seen = spark.createDataFrame([("f", "train", 0, "r"), ("f", "test", 1, "r"), ("f", "test", 1, "s")], "fly string, split string, u long, roi string")
+    out = writers.write_manifest(seen, f"file://{tmp_path}/manifest", {"k": 1})
+    assert json.loads((tmp_path / "manifest" / "manifest.json").read_text()) == out and out["unique_updates"] == 2
+    files = spark.createDataFrame([("a.csv", "Playback", "PARSED")], "path string, category string, status string")
+    assert "- Playback: 1" in writers.write_inventory(files, f"file://{tmp_path}/inventory") and (tmp_path / "inventory" / "summary.md").exists()
     assert writers.bars_svg("t", {"a<b": 1.0, "c": None}).count("<rect") == 1 and "polyline" in writers.line_svg("t", [1, 2])
 
 
