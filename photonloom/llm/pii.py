@@ -117,19 +117,28 @@ _WORD += r"(?!\w)"
 _GAP = r"[\s,-]++"
 _RUN = re.compile(rf"(?<!\w)(?:plus(?!\w)[\s-]++|\+\s*+)?(?:{_WORD}|[0-9]++)(?:{_GAP}(?:{_DOT}{_GAP})?{_WORD}|(?:{_GAP}{_DOT}{_GAP}|[\s-]++)[0-9]++)*+", re.I)
 _RUN_PART = re.compile(rf"({_WORD})|([0-9]+)|({_DOT})|(plus(?!\w)|\+)", re.I)
+# fixed values: spelled digits that are also articles
+_ARTICLES = frozenset("un uno".split())
 _DOTS = frozenset("dot point punkt punto".split())
+# a plus and what may follow it in a phone number, brackets and dots between the digits included
+_PLUS_RUN = re.compile(rf"(?:(?<!\w)plus(?!\w)|\+)[\s().-]*+(?:{_WORD}|[0-9]++)(?:[\s(),.-]++{_WORD}|[\s().-]++[0-9]++)*+", re.I)
+#: Digits of a phone number, and of a whole one of country code 1, after which no digit follows.
+_PHONE_DIGITS, _WHOLE_ONE = range(8, 16), 11
 _RUN_WORDS, _ALL_WORDS = _DOTS | SPELLED.keys(), re.compile(r"\w+")
 #: Fewest digits of a run that is rewritten, as an IP address has four, and fewest spelled ones where no dot word is.
 _LEAST_DIGITS, _LEAST_SPELLED = 4, 2
-# brackets make at and dot words certain; bare ones count only as name at (or @) host dot end
+# brackets make at and dot words certain; bare ones count only as name at (or @) host dot end, or around a spaced @
 _OPEN, _SHUT = r"(?<!\s)\s*+[\[({<]\s*+", r"\s*+[\])}>]\s*+"
 _BRACKET_HINT = re.compile(rf"[\[({{<]\s*+(?:at|@|{_DOT}|\.)\s*+[\])}}>]", re.I)
 _BRACKETED = re.compile(rf"(?P<at>{_OPEN}(?:at|@){_SHUT})|(?P<dot>{_OPEN}(?:{_DOT}|\.){_SHUT})", re.I)
-_BARE_AT = re.compile(r"(?<!\x20)\x20++at\x20++|@", re.I)
-_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20++dot\x20++)[A-Za-z0-9-]++)++", re.I)
+_BARE_HINT = re.compile(r"\sdot\s|\s@\s", re.I)
+_BARE_AT = re.compile(r"(?<!\s)\s*+(?:(?<=\s)at(?=\s)|@)\s*+", re.I)
+# a dot in white space only before a small letter, as it may end a sentence
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s++dot\s++|\s++\.\s++(?=(?-i:[a-z])))[A-Za-z0-9-]++)++", re.I)
+_DOT_WORD = re.compile(r"\sdot\s", re.I)
 # the name before an at word, read backwards
-_EMAN = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.|\x20++tod\x20++)[A-Za-z0-9_%+-]++)*+", re.I)
-_BARE_WORD = re.compile(r"\x20++(at|dot)\x20++", re.I)
+_EMAN = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.|\s++tod\s++)[A-Za-z0-9_%+-]++)*+", re.I)
+_BARE_WORD = re.compile(r"(?<!\s)\s++(at|dot|[@.])\s++", re.I)
 
 Edit = tuple[int, int, str]
 
@@ -176,39 +185,77 @@ def _may_hold_run(text: str) -> bool:
     return False
 
 
+def _part_edits(parts: list[re.Match]) -> list[Edit]:
+    """An edit for each part of a run, so that a span may begin or end within it; what is between them goes."""
+    edits: list[Edit] = []
+    for k, p in enumerate(parts):
+        if k and p.start() > parts[k - 1].end():
+            edits.append((parts[k - 1].end(), p.start(), ""))
+        edits.append((p.start(), p.end(), _digits(p) or ("." if p[3] else "+")))
+    return edits
+
+
+def _digits(part: re.Match) -> str:
+    return SPELLED[part[1].lower()] if part[1] else part[2] or ""
+
+
+def _phone_edits(text: str) -> list[Edit]:
+    """Edits of phone numbers with spelled digits: after a plus one is enough.
+
+    A number of country code 1 ends with its last digit, so words after it stay words. Elsewhere a single
+    spelled digit at the end counts, unless a comma is before it or it is an article.
+    """
+    edits: list[Edit] = []
+    for run in _PLUS_RUN.finditer(text):
+        parts = list(_RUN_PART.finditer(text, run.start(), run.end()))
+        count, ends = 0, [0]
+        for p in parts[1:]:
+            count += len(_digits(p))
+            ends.append(count)
+        if _digits(parts[1])[0] == "1" and _WHOLE_ONE in ends:
+            parts = parts[: ends.index(_WHOLE_ONE) + 1]
+        elif sum(bool(p[1]) for p in parts) == 1 and parts[-1][1] and (parts[-1][1].lower() in _ARTICLES or "," in text[parts[-2].end() : parts[-1].start()]):
+            continue
+        if any(p[1] for p in parts) and sum(len(_digits(p)) for p in parts) in _PHONE_DIGITS:
+            edits += _part_edits(parts)
+    return edits
+
+
 def _digit_edits(text: str) -> list[Edit]:
-    """An edit for each part of a run, so that a span may begin or end within it."""
-    edits = []
+    """Edits of phone numbers, and of all other runs of spelled digits and numbers that do not meet one."""
     if not _may_hold_run(text):
-        return edits
+        return []
+    edits = _phone_edits(text)
+    taken = [(e[0], e[1]) for e in edits]
     for run in _RUN.finditer(text):
-        if run.group().isdecimal():
+        k = bisect_right(taken, (run.end(),))
+        if run.group().isdecimal() or k and taken[k - 1][1] > run.start():
             continue
         parts = list(_RUN_PART.finditer(text, run.start(), run.end()))
-        spelled, digits = sum(bool(p[1]) for p in parts), "".join(SPELLED[p[1].lower()] if p[1] else p[2] or "" for p in parts)
+        spelled, digits = sum(bool(p[1]) for p in parts), "".join(map(_digits, parts))
         # a single spelled digit is often a word beside a number, but not where it completes a card number
         enough = spelled >= _LEAST_SPELLED or any(p[3] for p in parts) or spelled and 16 <= len(digits) <= 19 and _luhn(digits)
-        if not enough or len(digits) < _LEAST_DIGITS:
-            continue
-        for k, p in enumerate(parts):
-            new = SPELLED[p[1].lower()] if p[1] else p[2] or ("." if p[3] else "+")
-            if k and p.start() > parts[k - 1].end():
-                edits.append((parts[k - 1].end(), p.start(), ""))
-            edits.append((p.start(), p.end(), new))
-    return edits
+        if enough and len(digits) >= _LEAST_DIGITS:
+            edits += _part_edits(parts)
+    return sorted(edits)
 
 
 def _bare_edits(text: str) -> list[Edit]:
-    """Edits of name at host dot end, with any number of dots on both sides. One pass: each name and host is read once."""
-    if " dot " not in text.lower():
+    """Edits of name at host dot end, with any number of dots on both sides and any white space around the words,
+    and of name @ host with white space on both sides of the sign. One pass: each name and host is read once."""
+    if "@" not in text and "dot" not in text.lower() or not _BARE_HINT.search(text):
         return []
     edits, done, reverse = [], 0, text[::-1]
     for at in _BARE_AT.finditer(text):
+        sign = at.group().strip() == "@"
+        spaced = sign and at.group()[0] != "@" and at.group()[-1] != "@"
+        if sign and not spaced and len(at.group()) > 1:
+            continue
         name = _EMAN.match(reverse, len(text) - at.start(), len(text) - done) if at.start() > done else None
         host = _HOST.match(text, at.end()) if name else None
         # beside a plain at sign a dot word in the name is enough
-        if host and " dot " in text[len(text) - name.end() if at.group() == "@" else host.start() : host.end()].lower():
-            edits += [(w.start(), w.end(), "@" if w[1].lower() == "at" else ".") for w in _BARE_WORD.finditer(text, len(text) - name.end(), host.end())]
+        if host and (spaced or _DOT_WORD.search(text, len(text) - name.end() if sign else host.start(), host.end())):
+            edits += [(w.start(), w.end(), "@" if w[1].lower() in ("at", "@") else ".") for w in _BARE_WORD.finditer(text, len(text) - name.end(), host.end())]
             done = host.end()
     return edits
 
