@@ -166,12 +166,18 @@ def validation_rollup(df: DataFrame, least_validation: float = 0.05, alpha: floa
     )
 
 
-def dataset_diagnostics(df: DataFrame, by: list[str], roi: str, value: str = "value", row: str = "rn", n: str = "n") -> DataFrame:
-    """Rows, ROIs, the median training spread and the median drift from first to last quarter of each session's ROIs."""
+def dataset_diagnostics(df: DataFrame, by: list[str], roi: str, value: str = "value", row: str = "rn") -> DataFrame:
+    """Rows, ROIs, the median training spread and the median drift from first to last quarter of each session's training rows.
+
+    Training rows are one block of places; a quarter has at least one. A ROI without rows in one of the
+    quarters has no drift, and a session without training rows has neither spread nor drift.
+    """
     train = F.when(F.col("split") == "train", F.col(value))
-    late = F.avg(F.when(F.col(row) > 0.75 * F.col(n), F.col(value)))
-    early = F.avg(F.when(F.col(row) <= 0.25 * F.col(n), F.col(value)))
-    own = df.groupBy(*by, roi).agg(F.count("*").alias("_rows"), F.stddev_pop(train).alias("_spread"), (late - early).alias("_drift"))
+    blocks = df.where("split = 'train'").groupBy(*by).agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    quarter = F.greatest(F.lit(1), F.floor((F.col("_last") - F.col("_first") + 1) / 4))
+    late = F.avg(F.when(F.col(row) > F.col("_last") - quarter, train))
+    early = F.avg(F.when(F.col(row) < F.col("_first") + quarter, train))
+    own = df.join(blocks, by, "left").groupBy(*by, roi).agg(F.count("*").alias("_rows"), F.stddev_pop(train).alias("_spread"), (late - early).alias("_drift"))
     return own.groupBy(*by).agg(F.sum("_rows").alias("observations"), F.count("*").alias("rois"), F.median("_spread").alias("median_train_sd"), F.median("_drift").alias("median_drift"))
 
 

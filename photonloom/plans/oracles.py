@@ -212,6 +212,7 @@ select event_id::varchar experiment_id, event_type model, '' fold, note notes fr
 select coalesce(l.id, r.id) id, '/k' path, case when r.id is null then 'left_only' when l.id is null then 'right_only' when abs(l.v::double - r.v::double) <= 1e-8 + 1e-8 * abs(r.v::double) then 'same' else 'differs' end status, abs(l.v::double - r.v::double) delta from l full join r on l.id = r.id""",
     "replay_check": "with a as (select event_id, value from events), c as (select event_id, value + case when event_id % 50 = 0 then 1.0 else 0.0 end v from a where event_id >= 10) select event_id, round(value, 6) saved, round(v, 6) current from a full join c using (event_id) where coalesce(abs(value - v) > 1e-9 + 1e-9 * abs(v), true)",
     "validation_rollup": f"with {EVIDENCE}, k as (select *, row_number() over (order by p, roi) o, count(*) over () m from ev), q as (select r, late_r, round(least(1.0, min(p * m / o) over (order by o rows between current row and unbounded following)), 6) q from k) select count(*) responses, count(*) filter (r > 0.05) validation_selected, count(*) filter (r > 0.05 and late_r > 0) selected_test_positive, count(*) filter (late_r > 0 and q < 0.9) test_positive_and_q from q",
-    "dataset_diagnostics": f"""with {E}, s as (select *, {SPLIT} split from e), o as (select fly, user_id, count(*) c, stddev_pop(value) filter (split = 'train') sd, avg(value) filter (rn > 0.75 * n) - avg(value) filter (rn <= 0.25 * n) drift from s group by all)
+    "dataset_diagnostics": f"""with {E}, s as (select *, {SPLIT} split from e), q as (select fly, max(rn) stop, greatest(1, max(rn) // 4) k from s where split = 'train' group by fly),
+o as (select fly, user_id, count(*) c, stddev_pop(value) filter (split = 'train') sd, avg(value) filter (rn > stop - k and rn <= stop) - avg(value) filter (rn <= k) drift from s left join q using (fly) group by all)
 select fly, sum(c)::bigint observations, count(*) rois, round(median(sd), 6) median_train_sd, round(median(drift), 6) median_drift from o group by fly""",
 }
