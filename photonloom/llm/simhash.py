@@ -2,8 +2,8 @@
 
 Fingerprints are grouped into classes by the population counts of their two 32-bit halves. Two
 fingerprints within the radius differ by at most that much in the sum of both counts, so only tile
-pairs of such classes are compared, each with numpy exclusive-or and bit counts. A tile pair returns
-a spanning forest of its links, never the links of a group to each other.
+pairs of such classes are compared, each with numpy exclusive-or and bit counts. Tiles are dealt to tasks
+in blocks. A tile pair returns a spanning forest of its links, never the links of a group to each other.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ RADIUS = 4
 SHINGLE_WORDS = 4
 SEED = 42
 TILE_ROWS = 4096
+#: Tiles of a block. Blocks are shuffled and meet in pairs, their tiles are compared in the task, so that an eighth as much is moved.
+BLOCK_TILES = 8
 _STRIP = 64
 _BLOCK = 65536
 
@@ -89,36 +91,43 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return values[i][keep], values[j][keep]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def block_links(a: np.ndarray, b: np.ndarray, radius: int, tile_rows: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of each pair of tiles of two blocks; of a block with itself each pair once."""
+    for i in range(0, len(a), tile_rows):
+        for j in range(i if same else 0, len(b), tile_rows):
+            yield tile_links(a[i : i + tile_rows], b[j : j + tile_rows], radius)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, block_tiles: int = BLOCK_TILES) -> DataFrame:
     """(a, b) over a table of distinct fingerprints fp: edges with the same components as all pairs within radius."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     halves = distinct.select("fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"), F.bit_count(low).alias("lo"))
     # at most 33 x 33 classes, so this side of the joins is small at any scale
-    classes = halves.groupBy("hi", "lo").agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("parts"))
-    tiles = (
+    classes = halves.groupBy("hi", "lo").agg(F.ceil(F.count("*") / (tile_rows * block_tiles)).cast("long").alias("parts"))
+    blocks = (
         halves.join(F.broadcast(classes), ["hi", "lo"])
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
         .groupBy("hi", "lo", "part")
         .agg(F.collect_list("fp").alias("fps"))
     )
-    tiles = staged(tiles, "tiles")
+    blocks = staged(blocks, "blocks")
     steps = [(x, y) for x in range(radius + 1) for y in range(-radius, radius + 1) if abs(x) + abs(y) <= radius and (x > 0 or y >= 0)]
     step = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])).alias("step")
     left = (
-        tiles.select("*", step)
+        blocks.select("*", step)
         .select(F.col("fps").alias("left"), F.col("part").alias("own"), F.expr("step.x = 0 and step.y = 0").alias("same"), (F.col("hi") + F.col("step.x")).alias("hi"), (F.col("lo") + F.col("step.y")).alias("lo"))
         .join(F.broadcast(classes), ["hi", "lo"])
         .select("left", "own", "same", "hi", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         .where("not same or own <= part")
     )
-    pairs = left.join(tiles, ["hi", "lo", "part"]).select("left", "fps")
+    pairs = left.join(blocks, ["hi", "lo", "part"]).select("left", "fps", F.expr("same and own = part").alias("itself"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for a, b in zip(x["left"], x["fps"]):
-                i, j = tile_links(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64), radius)
-                if len(i):
-                    yield pd.DataFrame({"a": i.view(np.int64), "b": j.view(np.int64)})
+            for a, b, itself in zip(x["left"], x["fps"], x["itself"]):
+                for i, j in block_links(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64), radius, tile_rows, itself):
+                    if len(i):
+                        yield pd.DataFrame({"a": i.view(np.int64), "b": j.view(np.int64)})
 
     return pairs.mapInPandas(run, "a long, b long")
 
@@ -135,8 +144,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = staged(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     group = connected_components(links(least.select("fp"), radius)).withColumnRenamed("node", "fp")
     marked = staged(least.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "marked")
-    names = marked.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = marked.join(names, "component").select("fp", "component_id")
+    names = staged(marked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
+    # one component may hold most fingerprints
+    known = join_split(marked, names.drop("n"), "component", hot_keys(names)).select("fp", "component_id")
     # mass copies share one fingerprint
     return join_split(own, known, "fp", hot_keys(least)).select(F.col("id").alias(id_col), as_hex("fp").alias("fingerprint"), "component_id")
 

@@ -5,7 +5,7 @@ import xxhash
 
 from photonloom.llm.common import hot_keys, join_split
 from photonloom.llm.graph import connected_components
-from photonloom.llm.simhash import fingerprint, near_duplicates
+from photonloom.llm.simhash import fingerprint, links, near_duplicates
 
 
 def plain_fingerprint(text):
@@ -52,6 +52,26 @@ def test_components_equal_brute_force(spark):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("tile, block", [(1, 1), (3, 2), (4, 100), (1000, 1)])
+def test_tiles_and_blocks_lose_no_link(spark, tile, block):
+    rng = random.Random(8)
+    fps = set()
+    for _ in range(12):
+        seed = rng.getrandbits(63)
+        fps |= {seed} | {seed ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for _ in range(6)}
+    near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4]
+    edges = [tuple(r) for r in links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, tile, block).collect()]
+
+    def names(pairs):
+        name = {f: f for f in fps}
+        for _ in fps:
+            for a, b in pairs:
+                name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    assert all((a ^ b).bit_count() <= 4 for a, b in edges) and names(edges) == names(near)
+
+
 def test_empty_table_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).collect() == []
@@ -71,6 +91,12 @@ def test_hot_and_rare_keys_are_joined_alike(spark):
     assert got == {k: 20_000 if k % 3 else (None if k == 9 else 1) for k in range(30_000)} | {-1: None}
 
 
+def test_hub_and_common_label(spark):
+    edges = [(5, k) for k in range(10, 9000)] + [(k, k + 1) for k in range(20_000, 20_020)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 5 for k in (5, *range(10, 9000))} | {k: 20_000 for k in range(20_000, 20_021)}
+
+
 def test_chain_of_links(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 200), (200, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
