@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from photonloom.operators.clocks import ranked
 from photonloom.operators.stretches import ROWS
@@ -60,32 +63,44 @@ def block_bootstrap(df: DataFrame, by: list[str], actual: str, predicted: str, b
     """95 % intervals of r and r2 over paired moving blocks.
 
     A repetition draws blocks of rows that follow each other until it has as many rows as the trace, the last
-    one cut. Block sums are differences of running sums within stretches; the drawn starts, by the hash of
-    seed, repetition and number, meet them by a join. Rows count from 1 by row in each trace.
+    one cut. The drawn starts, by the hash of seed, repetition and number, are dealt to the stretches where
+    their blocks begin; block sums are differences of running sums there, and a stretch gives one row for each
+    repetition that drew from it. Draws are many times the rows, so no step may send them to the driver. Rows
+    count from 1 by row in each trace.
     """
     own = ranked(df.select(*by, F.col(row).alias("_row"), F.col(actual).cast("double").alias("a"), F.col(predicted).cast("double").alias("p")), by, "_row", "_row", ROWS, ("_rn", "_n"))
     terms = {"a": F.col("a"), "p": F.col("p"), "aa": F.col("a") * F.col("a"), "pp": F.col("p") * F.col("p"), "ap": F.col("a") * F.col("p"), "ee": (F.col("a") - F.col("p")) * (F.col("a") - F.col("p"))}
-    sums = list(terms)
-    width, last = F.least(F.lit(block), F.col("_n")), F.pmod(F.col("_n") - 1, F.least(F.lit(block), F.col("_n"))) + 1
-    own = own.select(*by, "_rn", "_n", width.alias("_width"), last.alias("_last"), *[v.alias(k) for k, v in terms.items()])
-    # before a stretch's own rows come those of the longest block, so both ends of a block lie in one running sum
-    running = lambda w: {f"_{k}": F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in sums}
-    spread = own.withColumn("_stretch", F.explode(F.sequence(F.floor((F.col("_rn") - 1) / ROWS), F.floor((F.col("_rn") - 1 + block) / ROWS))))
-    w = Window.partitionBy(*by, "_stretch").orderBy("_rn")
-    ends = kept(spread.withColumns(running(w)).select(*by, "_stretch", "_rn", "_n", "_width", "_last", *[f"_{k}" for k in sums]), "running")
-    traces = ends.select(*by, "_n", "_width", "_last").distinct()
-    count = F.ceil(F.col("_n") / F.col("_width")).cast("long")
-    draws = traces.withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repetitions - 1).cast("long")))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    sums, rows = list(terms), ROWS
+    own = kept(own.select(*by, "_rn", "_n", *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in terms.items()]), "paired")
+    # after a stretch's own rows come those of the longest block, so a block lies in the stretch where it begins
+    spread = own.withColumn("_stretch", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("_rn") - block) / rows)), F.floor((F.col("_rn") - 1) / rows))))
+    width = F.least(F.lit(block), F.col("_n")).cast("long")
+    traces = own.select(*by, "_n").distinct().withColumns({"_width": width, "_last": F.pmod(F.col("_n") - 1, width) + 1, "_count": F.ceil(F.col("_n") / width).cast("long")})
+    # by number, as a few small rows become many
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = traces.withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repetitions - 1).cast("long")))).repartition(tasks, *by, "_rep")
+    draws = draws.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
     share = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_rep", "_k")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     start = F.floor(share * (F.col("_n") - F.col("_width") + 1))
-    size = F.when(F.col("_k") == count - 1, F.col("_last")).otherwise(F.col("_width"))
-    draws = draws.select(*by, "_n", "_rep", start.alias("_from"), (start + size).alias("_to")).withColumn("_stretch", F.floor((F.col("_to") - 1) / ROWS))
-    at = lambda name: ends.select(*by, "_stretch", F.col("_rn").alias(name), *[F.col(f"_{k}").alias(f"{name}{k}") for k in sums])
-    # the row before a block is in its last row's stretch too, or there is none
-    met = draws.join(at("_to"), [*by, "_stretch", "_to"]).join(at("_from"), [*by, "_stretch", "_from"], "left")
-    part = {k: F.sum(F.col(f"_to{k}") - F.coalesce(F.col(f"_from{k}"), F.lit(0.0))) for k in sums}
+    size = F.when(F.col("_k") == F.col("_count") - 1, F.col("_last")).otherwise(F.col("_width"))
+    draws = draws.select(*by, F.floor(start / rows).alias("_stretch"), F.col("_rep").cast("int"), F.pmod(start, F.lit(rows)).cast("int").alias("_from"), size.cast("int").alias("_size"))
+
+    def drawn(key: tuple, own: pa.Table, draws: pa.Table) -> pa.Table:
+        order = np.argsort(own["_rn"].to_numpy())
+        rep, first = draws["_rep"].to_numpy(), draws["_from"].to_numpy()
+        last = first + draws["_size"].to_numpy()
+        found = np.bincount(rep, minlength=1)
+        reps = np.flatnonzero(found)
+        out = {c: pa.repeat(k, len(reps)) for c, k in zip(by, key)} | {"_n": pa.repeat(own["_n"][0], len(reps)), "_rep": pa.array(reps, pa.int32())}
+        for c in sums:
+            running = np.concatenate([[0.0], np.cumsum(own[c].to_numpy()[order])])
+            out[c] = pa.array(np.bincount(rep, running[last] - running[first], len(found))[reps])
+        return pa.table(out)
+
+    kinds = StructType([*[df.schema[c] for c in by], StructField("_n", LongType()), StructField("_rep", IntegerType()), *[StructField(k, DoubleType()) for k in sums]])
+    parts = spread.groupBy(*by, "_stretch").cogroup(draws.groupBy(*by, "_stretch")).applyInArrow(drawn, kinds)
+    total = parts.groupBy(*by, "_n", "_rep").agg(*[F.sum(k).alias(k) for k in sums])
     n = F.col("_n")
-    total = met.groupBy(*by, "_n", "_rep").agg(*[v.alias(k) for k, v in part.items()])
     va, vp = F.col("aa") - F.col("a") * F.col("a") / n, F.col("pp") - F.col("p") * F.col("p") / n
     tiny = lambda v, s: F.when(v > 1e-12 * F.col(s), v)
     scored = total.select(*by, ((F.col("ap") - F.col("a") * F.col("p") / n) / F.sqrt(tiny(va, "aa") * tiny(vp, "pp"))).alias("r"), (1 - F.col("ee") / tiny(va, "aa")).alias("r2"))

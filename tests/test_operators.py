@@ -155,6 +155,14 @@ def test_bootstrap_equals_plain_draws(spark, monkeypatch, rows):
     assert short.r_low is None and short.r2_low is not None
 
 
+def test_bootstrap_draws_are_never_broadcast(spark):
+    df = spark.range(300).select(F.lit("f").alias("fly"), F.col("id").alias("rn"), F.sin("id").alias("a"), F.cos("id").alias("p"))
+    out = significance.block_bootstrap(df.unionByName(df.limit(1).withColumn("fly", F.lit("g"))), ["fly"], "a", "p", 20, 50)
+    # a table of some rows becomes one of many times all rows, which Spark's estimates can't tell
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.fly: r.r is None for r in out.select("fly", F.col("r_low").alias("r")).collect()} == {"f": False, "g": True}
+
+
 def test_registry_and_comparisons(spark):
     old = spark.createDataFrame([("a", "model_a"), ("b", "model_b")], "experiment_id string, model string")
     new = spark.createDataFrame([("a", "a_v2")], "experiment_id string, model string")
