@@ -18,11 +18,14 @@ import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +41,8 @@ DIMS, SAMPLE_PER_SHARD, SAMPLE_ROWS, LEAF_SAMPLE = 64, 32, 100_000, 8
 #: Neighbours that are looked at before all of a shard's.
 NEAR = 32
 _SPECIAL = "<|endoftext|>"
-_CACHED = 400_000
+#: Characters of the texts whose distinct pieces are encoded together.
+BLOCK_CHARS = 8 << 20
 #: A space before another white-space character, where pieces can't be cut by str.split.
 _SPACES = re.compile(r" (?:\s|$)")
 _BOUNDARY = re.compile(r" (?=\S)")
@@ -50,28 +54,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    """Ids of pieces of text by the ranks of the tokenizer's own vocabulary; short ones are kept, up to a bound."""
-
-    def __init__(self, before: str, encode: Callable[[str], list[int]]):
-        self.before, self.encode = before, encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(self.before + piece), "<u2").tobytes()
-        if len(piece) <= 32:
-            if len(self) >= _CACHED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Texts to token ids as little-endian 16-bit bytes, those of the tokenizer file at path.
 
-    Pre-tokens never span a space that a non-space follows, so a text is cut there and the ids of its
-    pieces are looked up. New pieces are encoded by the same vocabulary's ranks, which lie beside the file
-    and take two thirds of the tokenizer's time; tests hold them against the tokenizer, piece by piece. A
-    text with the special token's string goes to the tokenizer as a whole.
+    Pre-tokens never span a space that a non-space follows, so texts are cut there and a block of texts comes
+    to the vocabulary's ranks, which lie beside the file, as its distinct pieces, in one string. Tokens part
+    its bytes, so their lengths tell where each piece's ids end; tests hold them against the tokenizer, piece
+    by piece. A text with the special token's string goes to the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -83,17 +72,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         lines = Path(path).with_suffix(".tiktoken").read_bytes().split(b"\n")
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-        encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.later = _Pieces("", encode), _Pieces(" ", encode)
+        self.ranked = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = list(map(len, ranks))
+
+    def _bulk(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, each after a space, and where each piece's begin and end."""
+        ids = np.array(array("H", self.ranked(" " + " ".join(pieces.to_numpy(zero_copy_only=False)))), "<u2")
+        ends = np.cumsum(pc.binary_length(pieces).to_numpy().astype(np.int64) + 1)
+        return ids, np.concatenate([[0], np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1])
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without the special token's string."""
+        kind = pa.list_(pa.large_string())
+        apart = [k for k, t in enumerate(texts) if not t or _SPACES.search(t)]
+        named = set(apart)
+        order = [k for k in range(len(texts)) if k not in named] + apart
+        plain = pc.split_pattern(pa.array([texts[k] for k in order[: len(texts) - len(apart)]], pa.large_string()), " ").cast(kind)
+        cut = pa.concat_arrays([plain, pa.array([_BOUNDARY.split(texts[k]) for k in apart], kind)])
+        n = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        later = np.ones(n.sum(), bool)
+        later[np.cumsum(n) - n] = False
+        words = cut.flatten()
+        heads = [np.array(self.ranked(h), "<u2").tobytes() for h in words.filter(pa.array(~later)).to_pylist()]
+        pieces = words.filter(pa.array(later)).dictionary_encode()
+        ids, bounds = self._bulk(pieces.dictionary) if len(pieces) else (np.empty(0, "<u2"), np.zeros(1, np.int64))
+        of = pieces.indices.to_numpy()
+        size = np.diff(bounds)[of]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        found = ids[np.repeat(bounds[of] - stops[:-1], size) + np.arange(stops[-1])].tobytes()
+        stops = (stops[np.concatenate([[0], np.cumsum(n - 1)])] * 2).tolist()
+        out = dict(zip(order, [h + found[a:b] for h, a, b in zip(heads, stops, stops[1:])]))
+        return [out[k] for k in range(len(texts))]
 
     def one(self, text: str) -> bytes:
-        if _SPECIAL in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        head, *rest = _BOUNDARY.split(text) if _SPACES.search(text) else text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest)) if text else b""
+        return self([text])[0]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [self.one(t) for t in texts]
+        out: list[bytes] = []
+        block: list[str] = []
+        size = 0
+        for t in texts:
+            if _SPECIAL in t:
+                out += [*(self.block(block) if block else ()), np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes()]
+                block, size = [], 0
+                continue
+            block.append(t)
+            size += len(t)
+            if size >= BLOCK_CHARS:
+                out += self.block(block)
+                block, size = [], 0
+        return out + self.block(block) if block else out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -255,8 +284,11 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
-def ranked(scores: np.ndarray, left: np.ndarray) -> Iterator[int]:
-    """Fragments with something left by falling score, those of equal score by number; the first NEAR of them are found without a full sort."""
+def ranked(scores: np.ndarray, left: np.ndarray, most: Callable[[], int]) -> Iterator[int]:
+    """Fragments with something left by falling score, those of equal score by number; the first NEAR of them are found without a full sort.
+
+    Of the others, only those with at most most() left, asked when their turn comes.
+    """
     free = np.flatnonzero(left)
     own = scores[free]
     limit = -np.inf
@@ -265,6 +297,7 @@ def ranked(scores: np.ndarray, left: np.ndarray) -> Iterator[int]:
         near = free[own >= limit]
         yield from near[np.argsort(-scores[near], kind="stable")].tolist()
         free = free[own < limit]
+    free = free[left[free] <= most()]
     yield from free[np.argsort(-scores[free], kind="stable")].tolist()
 
 
@@ -274,14 +307,16 @@ def fill(lengths: list[int], scores: Callable[[int], np.ndarray], window: int =
     Its neighbours go in by falling score, whole while they fit; the best one that is left is cut for the rest.
     """
     left, start, out = np.array(lengths, np.int64), [0] * len(lengths), []
-    shortest = np.sort(left)
     for seed in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
         if not left[seed]:
             continue
         now, room = [(seed, start[seed], int(left[seed]))], window - int(left[seed])
         left[seed] = 0
         cut = None
-        for k in ranked(scores(seed), left) if room else ():
+        # nothing that is left fits less room than this
+        shortest = int(left[left > 0].min(initial=window))
+        # once there is one to cut, only those that fit whole are looked for
+        for k in ranked(scores(seed), left, lambda: window if cut is None else room) if room else ():  # noqa: B023
             own = int(left[k])
             if own <= room:
                 now.append((k, start[k], own))
@@ -289,13 +324,12 @@ def fill(lengths: list[int], scores: Callable[[int], np.ndarray], window: int =
                 left[k] = 0
             elif cut is None:
                 cut = k
-            if not room or cut is not None and room < shortest[0]:
+            if not room or cut is not None and room < shortest:
                 break
         if room and cut is not None:
             now.append((cut, start[cut], room))
             start[cut] += room
             left[cut] -= room
-            shortest[0] = min(shortest[0], int(left[cut]))
         out.append(now)
     return out
 

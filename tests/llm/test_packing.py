@@ -142,3 +142,14 @@ def test_many_copies_fill_several_shards(spark):
     got = pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=64).toPandas()
     check(got, rows)
     assert got[got.doc_id < 700].groupby(got.sequence_id // 2**32).doc_id.nunique().max() <= 3 * 64
+
+
+def test_a_block_of_texts_is_encoded_as_its_distinct_pieces_in_one_call(monkeypatch):
+    encode = Encoder(tokenizer_path())
+    texts = ["", " ", "w1 w2", " w3  w1 ", "a\n b\n\n  c\t", "é ü", "<|endoftext|> w1 w2", *(" ".join(f"w{k}" for k in range(j, j + 300)) for j in range(9))]
+    asked, ranked = [], encode.ranked
+    monkeypatch.setattr(encode, "ranked", lambda t: asked.append(t) or ranked(t))
+    for raw, text in zip(encode(texts), texts, strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    # a call for the start of each text, and one for all pieces of each block; the special text parts two blocks
+    assert len(asked) == len(texts) - 1 + 2 and max(asked, key=len).count(" w300 ") == 1
