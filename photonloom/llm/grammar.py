@@ -16,11 +16,14 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +46,12 @@ _SPECIAL = "<|"
 #: Latin letters, and ASCII characters but for these and the apostrophe, which may begin a pre-token of letters.
 _LETTERS, _OTHERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF", r"!-&(-@\[-`{-~"
 _LATIN, _RUNS = re.compile(f"[{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[{_OTHERS}]+")
+#: Texts of Latin letters and ASCII alone, and their parts: runs of letters, runs of marks, and what follows an apostrophe up to white space.
+_PLAIN, _PARTS = re.compile(f"[{_LETTERS}{_OTHERS}'\\x20\\t\\n\\r]*"), re.compile(f"[{_LETTERS}]+(?:'[^\\x20\\t\\n\\r]*)?|[{_OTHERS}]+(?:'[^\\x20\\t\\n\\r]*)?|'[^\\x20\\t\\n\\r]*")
+#: Characters of the texts whose distinct parts are looked up together.
+BLOCK_CHARS = 16 << 20
+#: New words that come to the model in one string.
+_TOGETHER = 200
 #: Nonterminals of up to so many ids are decoded by one table.
 _SHORT = 64
 #: Bytes of shards that a reading task gets, and the most reading tasks; beyond, a task reads more shards, one at a time.
@@ -56,23 +65,34 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _spaced(text: str) -> str:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+
 class Encoder(dict):
     """Texts to ids, as little-endian 32-bit bytes, by a tokenizer that lower-cases and whose pre-tokens end at white space.
 
     Normalisation, pre-tokens and merges then stay between white space, so a text's ids are those of its pieces.
     Each piece is encoded by the tokenizers library, short ones once. Pre-tokens also end between Latin letters
     and ASCII marks, and Latin letters are lower-cased whatever stands beside them, so pieces that differ in
-    these only share their letters' ids. Tests hold the ids against those of whole texts.
+    these only share their letters' ids. Words of Latin letters that are new come to the library's model alone,
+    many in one string; the mark of a word's end tells their ids apart. Tests hold the ids against those of whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.before = self.tokenizer.model, {}
         # every word comes to the model once, so its own cache would only cost time
         self.model._resize_cache(0)
+        self.words = Tokenizer(self.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        suffix, vocab = self.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         letters = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
         self.as_bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
 
@@ -101,8 +121,58 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of words of lower-case Latin letters."""
+        spelled = [w if w.isascii() else w.translate(self.as_bytes) for w in words]
+        found = self.words.encode_batch_fast([" ".join(spelled[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)], add_special_tokens=False)
+        raw = np.concatenate([np.array(x.ids, "<u4") for x in found])
+        ends = np.flatnonzero(self.last[raw]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word's last id must bear the mark of a word's end, and no other")
+        raw, ends = raw.tobytes(), (4 * ends).tolist()
+        self.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of Latin letters and ASCII without special tokens."""
+        lists = pc.split_pattern(pa.array([_spaced(t.lower()) for t in texts], pa.large_string()), " ")
+        n, coded = pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()
+        distinct, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        if len(self) > _CACHED:
+            self.before = dict(self)
+            self.clear()
+        parts = set(_PARTS.findall(" ".join([p for p in distinct if p not in self])))
+        words = [p for p in parts if p not in self and p not in self.before and len(p) <= _LONGEST and _LATIN.fullmatch(p)]
+        if words:
+            self._learn(words)
+        own = [self[p] if p in self else b"".join(map(self.__getitem__, _PARTS.findall(p))) for p in distinct]
+        ids, size = np.frombuffer(b"".join(own), "<u4"), np.array(list(map(len, own)), np.int64) // 4
+        begins, size = (np.cumsum(size) - size)[of], size[of]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        raw = ids[np.repeat(begins - stops[:-1], size) + np.arange(stops[-1])].tobytes()
+        stops = (4 * stops[np.concatenate([[0], np.cumsum(n)])]).tolist()
+        return [raw[a:b] for a, b in zip(stops, stops[1:])]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order; looked up by blocks of texts."""
+        block: list[str] = []
+        size = 0
+
+        def done() -> Iterator[bytes]:
+            plain = [bool(_PLAIN.fullmatch(t)) and _SPECIAL not in t for t in block]
+            parts = iter(self._plain([t for t, own in zip(block, plain) if own]) if any(plain) else ())
+            for t, own in zip(block, plain):
+                yield next(parts) if own else self.encode(t)
+
+        for t in texts:
+            block.append(t)
+            size += len(t)
+            if size >= BLOCK_CHARS:
+                yield from done()
+                block, size = [], 0
+        yield from done()
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        return b"".join(map(self.__getitem__, _spaced(text).split(" ")))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -276,7 +346,7 @@ def write_shards(df: DataFrame, folder: str, path: str | None = None, id_col: st
 
         if path not in _encoders:
             _encoders[path] = Encoder(path)
-        encode, end = _encoders[path].encode, np.array([end_id], "<u4").tobytes()
+        encode, end = _encoders[path].encode_all, np.array([end_id], "<u4").tobytes()
         task = TaskContext.get()
         name, out, offset, shard = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.rpg", None, 0, 0
         held: list[bytes] = []
@@ -299,8 +369,8 @@ def write_shards(df: DataFrame, folder: str, path: str | None = None, id_col: st
 
         total = 0
         for x in batches:
-            for i, text in zip(x["id"], x["text"]):
-                raw = encode(text) + end
+            for i, ids in zip(x["id"], encode(x["text"])):
+                raw = ids + end
                 held.append(raw)
                 docs.append(i)
                 sizes.append(len(raw) // 4)
@@ -313,7 +383,8 @@ def write_shards(df: DataFrame, folder: str, path: str | None = None, id_col: st
         if out:
             out.close()
 
-    with small_batches(spark):
+    # a batch has about a block of texts
+    with small_batches(spark, BLOCK_CHARS):
         return staged(ordered.mapInPandas(run, _INDEX), "index")
 
 

@@ -107,3 +107,19 @@ def test_empty_table(spark):
     folder = shared_path(spark, "tokens")
     index = write_shards(spark.createDataFrame([], "doc_id long, text string"), folder)
     assert index.count() == 0 and read_documents(placed(index), folder).count() == 0
+
+
+def test_blocks_of_texts_are_encoded_like_whole_texts_and_new_words_come_together(monkeypatch):
+    own = Encoder(tokenizer_path())
+    asked, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda words: asked.append(words) or learn(words))
+    monkeypatch.setattr(module, "_CACHED", 300)
+    rng = np.random.default_rng(4)
+    marks = list("abcXYZàÉßÿñ'''.,!?-0129  \n\t\r|<>&ste")
+    texts = ["", " ", "<|endoftext|>", "x" * 5000, "ÀB'Sx it's", "éa œuvre", *("".join(rng.choice(marks, 60)) for _ in range(400))]
+    for most in (1000, 1 << 24):
+        monkeypatch.setattr(module, "BLOCK_CHARS", most)
+        for raw, text in zip(own.encode_all(texts), texts, strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    # one call for the new words of a block
+    assert len(asked) <= sum(map(len, texts)) // 1000 + 2
