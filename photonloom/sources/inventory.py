@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photonloom.sources.shared import kept
+
 # fixed values: (test of a path's folder or file name, category, whether models read it), the first that fits
 ROLES: tuple[tuple[str, str, str, bool], ...] = (
     ("name", r"^Results\.csv$", "ROI measurements", True),
@@ -37,6 +39,10 @@ ROLES: tuple[tuple[str, str, str, bool], ...] = (
     ("name", r"^(session_.*|run_manifest.*|microscope_play_manifest\.json)$", "Experimental metadata", False),
     ("folder", r"^logs$", "QC", False),
 )
+#: Kinds of files that are profiled whole, and the bytes of a PNG file that are.
+WHOLE, PNG_HEAD = ("csv", "json", "npz", "txt", "md", "log", "svg"), 24
+#: Bytes of files that come to a Python worker at once, beyond one file.
+BATCH_BYTES = 4 << 20
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -84,8 +90,18 @@ def profile(name: str, content: bytes) -> tuple[str, str]:
         return "ERROR", json.dumps({"message": str(e)[:200]})
 
 
+def profiled(path: Column, content: Column) -> Column:
+    """What profile() reads of a file: all of it, a PNG's head, or nothing, so that other files never come to Python."""
+    kind = F.lower(F.substring_index(path, ".", -1))
+    return F.when(kind.isin(*WHOLE), content).when(kind == "png", F.substring(content, 1, PNG_HEAD))
+
+
 def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """One row per file: path, fly, run_id, extension, bytes, sha256, category, used, status and metadata."""
+    """One row per file: path, fly, run_id, extension, bytes, sha256, category, used, status and metadata.
+
+    Spark hashes the files; a Python worker has one file to be profiled at a time, or some small ones. Spark
+    reads a file as one value, so a file of 2 GB or more is its error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,8 +109,14 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
             found = [profile(p, c) for p, c in zip(x["path"], x["content"])]
             yield x.drop(columns="content").assign(status=[s for s, _ in found], metadata=[m for _, m in found])
 
-    kept = files.select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
-    known = kept.mapInPandas(run, "path string, length long, sha256 string, status string, metadata string")
+    hashed = files.select("path", "length", F.sha2("content", 256).alias("sha256"), profiled(F.col("path"), F.col("content")).alias("content"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{BATCH_BYTES}b")
+    try:
+        known = kept(hashed.mapInPandas(run, "path string, length long, sha256 string, status string, metadata string"), "inventory")
+    finally:
+        spark.conf.set(name, before)
     relative = F.substring_index(F.col("path"), f"{root.rstrip('/')}/", -1)
     category, used = by_rules(relative)
     fly = F.nullif(F.regexp_extract("path", r"(?:^|/)(fly\d+)(?:/|$)", 1), F.lit(""))

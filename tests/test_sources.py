@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_stretches import plain_ema
 
 from photonloom.sources import inventory, npz, scans, stimulus, writers
@@ -110,3 +111,10 @@ def test_config(tmp_path):
     assert scans.Config.load(path, 600).folds["b"] == (200, 300, 500)
     with pytest.raises(ValueError):
         scans.Config.load(put(tmp_path / "d.json", json.dumps(good | {"folds": good["folds"][:1]})), 600)
+
+
+def test_inventory_gives_python_only_what_is_profiled(spark):
+    names = ["a/x.parquet", "a/x.PNG", "a/x.csv", "a/x", "a.csv/x.bin"]
+    df = spark.createDataFrame([(n, bytearray(range(200))) for n in names], "path string, content binary")
+    sent = df.select("path", F.length(inventory.profiled(F.col("path"), F.col("content"))).alias("n"))
+    assert [r.n for r in sent.collect()] == [None, 24, 200, None, None]
