@@ -36,7 +36,9 @@ SPAN = WINDOW - GRAM
 SHARD_WORDS, SLICE_ROWS = 100_000, 20_000
 #: Filter bits for each key, and the most bits that are broadcast.
 FILTER_BITS_A_KEY, FILTER_LIMIT = 16, 1 << 30
-_BLOCK_WORDS, _BLOCK_ROWS = 100_000, 2000
+_BLOCK_WORDS, _BLOCK_ROWS = 100_000, 1000
+#: Bytes of the batches that come to and from Python workers; the JVM holds some of each task outside its heap.
+BATCH_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Keys and multipliers of the two lanes of word hashes, the bytes of a word's last eight that are its own, and bytes beyond which a word is hashed alone.
@@ -249,7 +251,7 @@ class _Contexts:
         self.parts, self.size = [], 0
         return out
 
-    def frames(self, rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    def frames(self, rows: Iterator[tuple], most: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
         for r in rows:
             self.add(*r)
             if self.size > most:
@@ -506,7 +508,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are read whole, with some 60 bytes of memory for each word. Null and repeated ids keep their rows;
     other columns, of whatever name, are ignored; an empty table gives an empty result.
     """
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, BATCH_BYTES):
         return _remove_repeats(df, id_col, text_col, shard_words, slice_rows, filter_limit)
 
 

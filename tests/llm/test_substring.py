@@ -124,3 +124,10 @@ def test_settings_are_back_afterwards(spark):
     docs = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
     out = {r.doc_id: (r.n_words, r.n_removed) for r in module.remove_repeats(docs).collect()}
     assert out == {1: (3, 0), None: (0, 0)} and spark.conf.get(name) == before
+
+
+def test_batches_of_the_whole_job_are_of_one_megabyte(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(module, "_remove_repeats", lambda df, *rest: spark.conf.get(name))
+    assert module.remove_repeats(spark.range(1)) == f"{1 << 20}b" and spark.conf.get(name) == before
