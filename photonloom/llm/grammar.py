@@ -23,7 +23,6 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,22 +35,30 @@ SHARD_TOKENS = 1 << 20
 LEAST, FIRST = 8, 256
 #: Rounds go on at the lowest limit while one shortens the sequence by 1 / SETTLED.
 SETTLED = 100
+#: Bits of a table of chosen pairs beyond those of their number, and the odd factors that mix pairs of 4 and of 8 bytes.
+_SPARE, _ODD = 3, {4: 0x9E3779B1, 8: 0x9E3779B97F4A7C15}
 #: Symbols of a shard with 16-bit symbols, and of one with more ids than leave room for rules.
 NARROW, WIDE = 1 << 16, 1 << 24
 _MAGIC, _HEAD, _NONE = b"RPG1", struct.Struct("<4sIIIQQQ"), 0xFFFFFFFF
-#: Pieces of text whose ids a worker keeps in each of two generations, and the longest of them.
+#: Pieces of text whose ids a worker keeps in each of two generations, words of blocks that it keeps, and the longest of both.
 _CACHED, _LONGEST = 600_000, 32
 #: What special tokens, which are told by their case, begin with.
 _SPECIAL = "<|"
 #: Latin letters, and ASCII characters but for these and the apostrophe, which may begin a pre-token of letters.
 _LETTERS, _OTHERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF", r"!-&(-@\[-`{-~"
 _LATIN, _RUNS = re.compile(f"[{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[{_OTHERS}]+")
-#: Texts of Latin letters and ASCII alone, and their parts: runs of letters, runs of marks, and what follows an apostrophe up to white space.
-_PLAIN, _PARTS = re.compile(f"[{_LETTERS}{_OTHERS}'\\x20\\t\\n\\r]*"), re.compile(f"[{_LETTERS}]+(?:'[^\\x20\\t\\n\\r]*)?|[{_OTHERS}]+(?:'[^\\x20\\t\\n\\r]*)?|'[^\\x20\\t\\n\\r]*")
+#: Texts of Latin letters and ASCII alone, and the kinds of their UTF-8 bytes. Their parts are runs of letters and of marks, with what follows an apostrophe up to white space.
+_PLAIN = re.compile(f"[{_LETTERS}{_OTHERS}'\\x20\\t\\n\\r]*")
+_SPACE, _LETTER, _MARK, _APOSTROPHE = range(4)
 #: Characters of the texts whose distinct parts are looked up together.
 BLOCK_CHARS = 16 << 20
 #: New words that come to the model in one string.
 _TOGETHER = 200
+#: The bytes of such texts in lower case, and their kinds: beyond ASCII, all belong to letters.
+_LOWER, _KIND = np.arange(256, dtype=np.uint8), np.full(256, _MARK, np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER[0x80:0x9F] += 32
+_KIND[[*b" \t\n\r"]], _KIND[ord("'")], _KIND[ord("a") : ord("z") + 1], _KIND[0x80:] = _SPACE, _APOSTROPHE, _LETTER, _LETTER
 #: Nonterminals of up to so many ids are decoded by one table.
 _SHORT = 64
 #: Bytes of shards that a reading task gets, and the most reading tasks; beyond, a task reads more shards, one at a time.
@@ -86,6 +93,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.before = self.tokenizer.model, {}
+        self._forget()
         # every word comes to the model once, so its own cache would only cost time
         self.model._resize_cache(0)
         self.words = Tokenizer(self.model)
@@ -96,6 +104,11 @@ class Encoder(dict):
         letters = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
         self.as_bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
 
+    def _forget(self) -> None:
+        """Words that blocks of texts have in common: their places in the pool, the ids there and their numbers."""
+        self.known: dict[str, int] = {}
+        self.pool, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64)
+
     def _new(self, piece: str) -> bytes:
         """Ids of a piece not seen yet."""
         if _LATIN.fullmatch(piece):
@@ -125,30 +138,64 @@ class Encoder(dict):
         """Keep the ids of words of lower-case Latin letters."""
         spelled = [w if w.isascii() else w.translate(self.as_bytes) for w in words]
         found = self.words.encode_batch_fast([" ".join(spelled[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)], add_special_tokens=False)
-        raw = np.concatenate([np.array(x.ids, "<u4") for x in found])
-        ends = np.flatnonzero(self.last[raw]) + 1
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
+        ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
             raise ValueError("a word's last id must bear the mark of a word's end, and no other")
-        raw, ends = raw.tobytes(), (4 * ends).tolist()
-        self.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.pool, self.sizes = np.concatenate([self.pool, ids]), np.concatenate([self.sizes, np.diff(ends, prepend=0)])
+
+    @staticmethod
+    def parts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The parts of plain texts in lower case, and how many each text has."""
+        raws = [t.encode() for t in texts]
+        raw = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+        low = _LOWER[raw]
+        kind = _KIND[low]
+        begins = np.zeros(len(raw), bool)
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        at = np.flatnonzero(kind == _APOSTROPHE)
+        if len(at):
+            # a part goes on from an apostrophe up to white space
+            spaces = np.flatnonzero(kind == _SPACE)
+            inside = np.zeros(len(raw), np.int32)
+            inside[at] = 1
+            np.subtract.at(inside, spaces[np.searchsorted(spaces, at)], 1)
+            begins &= np.cumsum(inside, dtype=np.int32) == 0
+            begins[at[kind[at - 1] == _SPACE]] = True
+        own = kind != _SPACE
+        begins &= own
+        offsets = np.append(np.flatnonzero(begins[own]), np.count_nonzero(own))
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+        n = np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
+        return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low[own])]), n
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts of Latin letters and ASCII without special tokens."""
-        lists = pc.split_pattern(pa.array([_spaced(t.lower()) for t in texts], pa.large_string()), " ")
-        n, coded = pc.list_value_length(lists).to_numpy(), lists.flatten().dictionary_encode()
-        distinct, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        if len(self) > _CACHED:
-            self.before = dict(self)
-            self.clear()
-        parts = set(_PARTS.findall(" ".join([p for p in distinct if p not in self])))
-        words = [p for p in parts if p not in self and p not in self.before and len(p) <= _LONGEST and _LATIN.fullmatch(p)]
+        parts, n = self.parts(texts)
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in distinct if p not in self.known]
+        words = [p for p in new if len(p) <= _LONGEST and _LATIN.fullmatch(p)]
         if words:
             self._learn(words)
-        own = [self[p] if p in self else b"".join(map(self.__getitem__, _PARTS.findall(p))) for p in distinct]
-        ids, size = np.frombuffer(b"".join(own), "<u4"), np.array(list(map(len, own)), np.int64) // 4
-        begins, size = (np.cumsum(size) - size)[of], size[of]
-        stops = np.concatenate([[0], np.cumsum(size)])
-        raw = ids[np.repeat(begins - stops[:-1], size) + np.arange(stops[-1])].tobytes()
+        # of no known word: marks, parts with an apostrophe and long words, for this block alone
+        rest = [p for p in new if p not in self.known]
+        found = [self[p] for p in rest]
+        place = dict(zip(rest, range(len(self.sizes), len(self.sizes) + len(rest))))
+        rows = np.array([self.known[p] if p in self.known else place[p] for p in distinct], np.int64)
+        pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), "<u4")])
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found)) // 4])
+        if len(self.known) > _CACHED:
+            self._forget()
+        begins, size = (np.cumsum(sizes) - sizes)[rows], sizes[rows]
+        of = coded.indices.to_numpy()
+        stops = np.concatenate([[0], np.cumsum(size[of])])
+        # 32 bits where they do: most of the time goes to memory
+        kind = np.int32 if max(stops[-1], len(pool)) < 1 << 31 else np.int64
+        at = np.repeat(begins.astype(kind)[of] - stops[:-1].astype(kind), size.astype(kind)[of])
+        at += np.arange(stops[-1], dtype=kind)
+        raw = pool[at].tobytes()
         stops = (4 * stops[np.concatenate([[0], np.cumsum(n)])]).tolist()
         return [raw[a:b] for a, b in zip(stops, stops[1:])]
 
@@ -196,6 +243,28 @@ def frequent(codes: np.ndarray, least: int, most: int) -> np.ndarray:
     return kept[edges[found]]
 
 
+def ranked(chosen: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in codes of those that are among the ascending chosen ones, and their ranks there: by a hash table, as most codes are not."""
+    bits = len(chosen).bit_length() + _SPARE
+    kind = codes.dtype.type
+    slots = lambda x: (x * kind(_ODD[codes.itemsize])) >> kind(8 * codes.itemsize - bits)
+    k, own = np.arange(len(chosen), dtype=np.int32), slots(chosen)
+    table = np.zeros(1 << bits, np.int32)
+    table[own] = k
+    # slots of several chosen codes, whose last one is in the table
+    shared = np.zeros(1 << bits, bool)
+    shared[own[table[own] != k]] = True
+    own = slots(codes)
+    rule = table[own]
+    hit = chosen[rule] == codes
+    if shared.any():
+        rest = np.flatnonzero(shared[own] & ~hit)
+        rule[rest] = np.minimum(np.searchsorted(chosen, codes[rest]), len(chosen) - 1)
+        hit[rest] = chosen[rule[rest]] == codes[rest]
+    at = np.flatnonzero(hit)
+    return at, rule[at]
+
+
 def every_other(at: np.ndarray) -> np.ndarray:
     """Which of the ascending places are kept so that no two are neighbours: the first, third, ... of each run."""
     k = np.arange(len(at))
@@ -219,13 +288,7 @@ def repaired(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         before = len(seq)
         if len(chosen):
             left, right = (chosen >> chosen.dtype.type(chosen.itemsize * 4)).astype(np.int64), (chosen & chosen.dtype.type((1 << chosen.itemsize * 4) - 1)).astype(np.int64)
-            begins, ends = np.zeros(len(size), bool), np.zeros(len(size), bool)
-            begins[left], ends[right] = True, True
-            at = np.flatnonzero(begins[seq[:-1]] & ends[seq[1:]])
-            rule = np.searchsorted(chosen, codes[at])
-            rule[rule == len(chosen)] = 0
-            hit = chosen[rule] == codes[at]
-            at, rule = at[hit], rule[hit]
+            at, rule = ranked(chosen, codes)
             own = every_other(at)
             at, rule = at[own], rule[own]
             # overlapping pairs may have left a rule too few places to pay

@@ -123,3 +123,42 @@ def test_blocks_of_texts_are_encoded_like_whole_texts_and_new_words_come_togethe
             assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
     # one call for the new words of a block
     assert len(asked) <= sum(map(len, texts)) // 1000 + 2
+
+
+def test_a_block_asks_for_each_word_once_whatever_stands_beside_it():
+    class Counting(Encoder):
+        asked = 0
+
+        def __getitem__(self, piece):
+            self.asked += 1
+            return super().__getitem__(piece)
+
+    own = Counting(tokenizer_path())
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(900)]
+    for marks in (",.", "'"):
+        texts = [" ".join(f"{a}{m}{b}" for a, b, m in zip(words, words[k:] + words[:k], marks * 450)) for k in range(1, 5)] if marks != "'" else ["it's  'a b'c'd e.'f, g\n'", "'", "''a", "a' 'b", "é'É x.'"]
+        for raw, text in zip(own.encode_all(texts), texts, strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        # the 3600 pieces of the first texts are 900 known words and two marks
+        assert own.asked < 20
+    assert set(words) <= set(own.known)
+
+
+def test_words_of_blocks_are_bounded(monkeypatch):
+    monkeypatch.setattr(module, "_CACHED", 100)
+    monkeypatch.setattr(module, "BLOCK_CHARS", 200)
+    own = Encoder(tokenizer_path())
+    texts = [" ".join("".join(chr(97 + (k + j * j) // 26**i % 26) for i in range(3)) for j in range(20)) + " x" * (k % 3) + "y" * 40 for k in range(300)]
+    for raw, text in zip(own.encode_all(texts), texts, strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert len(own.known) <= 200 and len(own.known) == len(own.sizes) and own.sizes.sum() == len(own.pool)
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_chosen_pairs_are_found(kind):
+    rng = np.random.default_rng(6)
+    codes = (rng.integers(0, 1 << 12, 50_000) << (8 * np.dtype(kind).itemsize - 12)).astype(kind) + rng.integers(0, 3, 50_000).astype(kind)
+    for n in (1, 2, 40, 3000):
+        chosen = np.unique(rng.choice(codes, n))
+        at, rule = module.ranked(chosen, codes)
+        assert at.tolist() == np.flatnonzero(np.isin(codes, chosen)).tolist() and (chosen[rule] == codes[at]).all()
