@@ -36,6 +36,8 @@ WINDOW = 1024
 END_ID = 0
 SHARD_ROWS = 512
 K1, B = 1.2, 0.75
+#: Tokens of over 1 / FULL of a shard's fragments have a weight for each fragment.
+FULL = 4
 #: Numbers of a sketch, sampled fragments for each shard that the tree is to have and at most, and fewest of a leaf.
 DIMS, SAMPLE_PER_SHARD, SAMPLE_ROWS, LEAF_SAMPLE = 64, 32, 100_000, 8
 #: Neighbours that are looked at before all of a shard's.
@@ -84,12 +86,12 @@ class Encoder:
 
     def block(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without the special token's string."""
-        kind = pa.list_(pa.large_string())
+        lists = pa.list_(pa.large_string())
         apart = [k for k, t in enumerate(texts) if not t or _SPACES.search(t)]
         named = set(apart)
         order = [k for k in range(len(texts)) if k not in named] + apart
-        plain = pc.split_pattern(pa.array([texts[k] for k in order[: len(texts) - len(apart)]], pa.large_string()), " ").cast(kind)
-        cut = pa.concat_arrays([plain, pa.array([_BOUNDARY.split(texts[k]) for k in apart], kind)])
+        plain = pc.split_pattern(pa.array([texts[k] for k in order[: len(texts) - len(apart)]], pa.large_string()), " ").cast(lists)
+        cut = pa.concat_arrays([plain, pa.array([_BOUNDARY.split(texts[k]) for k in apart], lists)])
         n = pc.list_value_length(cut).to_numpy().astype(np.int64)
         later = np.ones(n.sum(), bool)
         later[np.cumsum(n) - n] = False
@@ -100,7 +102,11 @@ class Encoder:
         of = pieces.indices.to_numpy()
         size = np.diff(bounds)[of]
         stops = np.concatenate([[0], np.cumsum(size)])
-        found = ids[np.repeat(bounds[of] - stops[:-1], size) + np.arange(stops[-1])].tobytes()
+        # 32 bits where they do: most of the time goes to memory
+        kind = np.int32 if max(stops[-1], len(ids)) < 1 << 31 else np.int64
+        at = np.repeat((bounds[of] - stops[:-1]).astype(kind), size)
+        at += np.arange(stops[-1], dtype=kind)
+        found = ids[at].tobytes()
         stops = (stops[np.concatenate([[0], np.cumsum(n - 1)])] * 2).tolist()
         out = dict(zip(order, [h + found[a:b] for h, a, b in zip(heads, stops, stops[1:])]))
         return [out[k] for k in range(len(texts))]
@@ -156,14 +162,23 @@ def fragments(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return df.select(as_text(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "uid long, id string, doc_tokens long, crcs array<long>, tail binary")
 
 
+def terms(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fragment, token, occurrences) for each token of each fragment, in this order, by one sort of them all."""
+    codes = np.concatenate([np.empty(0, "<u2"), *tails]).astype(np.uint32 if len(tails) <= 1 << 16 else np.uint64)
+    codes |= np.repeat(np.arange(len(tails), dtype=codes.dtype) << codes.dtype.type(16), [len(t) for t in tails])
+    codes.sort()
+    edges = np.flatnonzero(np.concatenate([codes[1:] != codes[:-1], [True] * bool(len(codes))]))
+    codes = codes[edges]
+    return (codes >> codes.dtype.type(16)).astype(np.int64), (codes & codes.dtype.type(0xFFFF)).astype(np.int64), np.diff(edges, prepend=-1)
+
+
 def document_frequencies(parts: DataFrame) -> np.ndarray:
     """Fragments with each token id, over all fragments. The result has at most 65,536 entries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(1 << 16, np.int64)
         for x in batches:
-            for tail in x["tail"]:
-                seen[np.unique(np.frombuffer(tail, "<u2"))] += 1
+            seen += np.bincount(terms([np.frombuffer(t, "<u2") for t in x["tail"]])[1], minlength=1 << 16)
         ids = np.flatnonzero(seen)
         yield pd.DataFrame({"token": ids, "n": seen[ids]})
 
@@ -181,9 +196,11 @@ def sketches(tails: list[np.ndarray], idf: np.ndarray, mean: float, k1: float =
     if not _signs:
         _signs.append(np.random.default_rng(7).standard_normal((1 << 16, DIMS), np.float32))
     out = np.zeros((len(tails), DIMS), np.float32)
-    for k, t in enumerate(tails):
-        term, tf = np.unique(t, return_counts=True)
-        out[k] = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(t) / max(mean, 1.0)))).astype(np.float32) @ _signs[0][term]
+    row, term, tf = terms(tails)
+    weight = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.array([len(t) for t in tails])[row] / max(mean, 1.0)))).astype(np.float32)
+    ends = np.searchsorted(row, np.arange(len(tails)), "right").tolist()
+    for k, (first, last) in enumerate(zip([0, *ends], ends)):
+        out[k] = weight[first:last] @ _signs[0].take(term[first:last], axis=0)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -263,25 +280,36 @@ def by_content(parts: DataFrame, rows: int, shards: int, idf: np.ndarray) -> Dat
 
 
 class Index:
-    """BM25 scores of a shard's fragments by an inverted index over token ids."""
+    """BM25 scores of a shard's fragments by an inverted index over token ids.
+
+    The list of a token that 1 / FULL of the fragments have is a row with a weight for each fragment.
+    """
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, k1: float = K1, b: float = B):
-        terms = [np.unique(t, return_counts=True) for t in tails]
+        doc, term, tf = terms(tails)
         lengths = np.array([len(t) for t in tails], float)
-        self.n, self.query = len(tails), [t for t, _ in terms]
-        term = np.concatenate([t for t, _ in terms]).astype(np.int64)
-        doc = np.repeat(np.arange(self.n), [len(t) for t, _ in terms])
-        tf = np.concatenate([c for _, c in terms]).astype(float)
+        self.n, ends = len(tails), np.searchsorted(doc, np.arange(len(tails)), "right")
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / max(lengths.mean(), 1.0)))
+        found = np.bincount(term, minlength=1 << 16)
+        often = np.flatnonzero(found * FULL > self.n)
+        row = np.full(1 << 16, -1)
+        row[often] = np.arange(len(often))
+        full = row[term] >= 0
+        self.full = np.zeros((len(often), self.n))
+        self.full[row[term[full]], doc[full]] = weight[full]
+        self.query = [(x[x >= 0], t[x < 0]) for t, x in zip(np.split(term, ends[:-1]), np.split(row[term], ends[:-1]))]
+        doc, term, weight = doc[~full], term[~full], weight[~full]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        first, last = self.starts[self.query[seed]], self.starts[self.query[seed].astype(np.int64) + 1]
-        size = last - first
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        often, rest = self.query[seed]
+        first = self.starts[rest]
+        size = self.starts[rest + 1] - first
+        at = np.repeat(first - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        return np.bincount(self.doc[at], self.weight[at], minlength=self.n) + self.full[often].sum(axis=0)
 
 
 def ranked(scores: np.ndarray, left: np.ndarray, most: Callable[[], int]) -> Iterator[int]:

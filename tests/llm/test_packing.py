@@ -5,7 +5,8 @@ import duckdb
 import numpy as np
 from tokenizers import Tokenizer
 
-from photonloom.llm.packing import WINDOW, Encoder, Index, fill, pack, tokenizer_path
+from photonloom.llm import packing as module
+from photonloom.llm.packing import WINDOW, Encoder, Index, fill, pack, sketches, terms, tokenizer_path
 
 
 WHOLE = Tokenizer.from_file(tokenizer_path())
@@ -153,3 +154,33 @@ def test_a_block_of_texts_is_encoded_as_its_distinct_pieces_in_one_call(monkeypa
         assert np.frombuffer(raw, "<u2").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
     # a call for the start of each text, and one for all pieces of each block; the special text parts two blocks
     assert len(asked) == len(texts) - 1 + 2 and max(asked, key=len).count(" w300 ") == 1
+
+
+def test_terms_of_all_fragments_come_from_one_sort(monkeypatch):
+    rng = np.random.default_rng(9)
+    tails = [rng.integers(0, 1 << 16, n).astype("<u2") if n % 3 else rng.integers(0, 4, n).astype("<u2") for n in (0, 5, 900, 0, 3, 1, 60, 0)]
+    want = [(k, int(t), int(c)) for k, x in enumerate(tails) for t, c in zip(*np.unique(x, return_counts=True))]
+    assert list(zip(*(x.tolist() for x in terms(tails)))) == want
+    assert [x.tolist() for x in terms([])] == [[], [], []]
+    # more fragments than 16 bits count
+    many = [np.array([k % 7, 1], "<u2") for k in range((1 << 16) + 9)]
+    row, term, tf = terms(many)
+    assert np.bincount(row).tolist() == [1 if k % 7 == 1 else 2 for k in range(len(many))] and tf.sum() == 2 * len(many) and np.bincount(term).tolist() == [sum(k % 7 == j for k in range(len(many))) + (j == 1) * sum(k % 7 != 1 for k in range(len(many))) for j in range(7)]
+    idf, asked = rng.random(1 << 16).astype(np.float32), []
+    # a call of np.unique for each fragment is what took the time
+    monkeypatch.setattr(np, "unique", lambda *a, **b: asked.append(a))
+    own, index = sketches(tails, idf, 50.0), Index([t for t in tails if len(t)], idf)
+    monkeypatch.undo()
+    assert not asked and index.n == 5 and np.allclose(np.linalg.norm(own, axis=1), [len(t) > 0 for t in tails], atol=1e-5)
+
+
+def test_frequent_and_rare_tokens_score_alike(monkeypatch):
+    rng = np.random.default_rng(10)
+    tails = [rng.zipf(1.4, rng.integers(1, 200)).clip(1, 3000).astype("<u2") for _ in range(60)]
+    idf = rng.random(1 << 16)
+    for full in (1, 4, 1 << 20):
+        monkeypatch.setattr(module, "FULL", full)
+        index = Index(tails, idf)
+        assert len(index.full) == (np.bincount(np.concatenate([np.unique(t) for t in tails])) * full > 60).sum()
+        for k in range(60):
+            assert np.allclose(index.scores(k), plain_bm25(tails, k, idf))
