@@ -50,6 +50,7 @@ _LATIN, _RUNS = re.compile(f"[{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[{_OTHE
 #: Texts of Latin letters and ASCII alone, and the kinds of their UTF-8 bytes. Their parts are runs of letters and of marks, with what follows an apostrophe up to white space.
 _PLAIN = re.compile(f"[{_LETTERS}{_OTHERS}'\\x20\\t\\n\\r]*")
 _SPACE, _LETTER, _MARK, _APOSTROPHE = range(4)
+_SPACES = b" \t\n\r"
 #: Characters of the texts whose distinct parts are looked up together.
 BLOCK_CHARS = 16 << 20
 #: New words that come to the model in one string.
@@ -58,7 +59,7 @@ _TOGETHER = 200
 _LOWER, _KIND = np.arange(256, dtype=np.uint8), np.full(256, _MARK, np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER[0x80:0x9F] += 32
-_KIND[[*b" \t\n\r"]], _KIND[ord("'")], _KIND[ord("a") : ord("z") + 1], _KIND[0x80:] = _SPACE, _APOSTROPHE, _LETTER, _LETTER
+_KIND[[*_SPACES]], _KIND[ord("'")], _KIND[ord("a") : ord("z") + 1], _KIND[0x80:] = _SPACE, _APOSTROPHE, _LETTER, _LETTER
 #: Nonterminals of up to so many ids are decoded by one table.
 _SHORT = 64
 #: Bytes of shards that a reading task gets, and the most reading tasks; beyond, a task reads more shards, one at a time.
@@ -149,33 +150,35 @@ class Encoder(dict):
     def parts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """The parts of plain texts in lower case, and how many each text has."""
         raws = [t.encode() for t in texts]
-        raw = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
-        low = _LOWER[raw]
-        kind = _KIND[low]
-        begins = np.zeros(len(raw), bool)
+        low = b" ".join([b"", *raws, b""]).translate(_LOWER.tobytes())
+        kind = np.frombuffer(low.translate(_KIND.tobytes()), np.uint8)
+        begins = np.zeros(len(low), bool)
         np.not_equal(kind[1:], kind[:-1], out=begins[1:])
         at = np.flatnonzero(kind == _APOSTROPHE)
         if len(at):
             # a part goes on from an apostrophe up to white space
             spaces = np.flatnonzero(kind == _SPACE)
-            inside = np.zeros(len(raw), np.int32)
-            inside[at] = 1
-            np.subtract.at(inside, spaces[np.searchsorted(spaces, at)], 1)
-            begins &= np.cumsum(inside, dtype=np.int32) == 0
+            stop = spaces[np.searchsorted(spaces, at)]
+            first = np.diff(stop, prepend=-1) > 0
+            inside = np.zeros(len(low), np.int8)
+            inside[at[first]], inside[stop[first]] = 1, -1
+            begins &= np.cumsum(inside, dtype=np.int8) == 0
             begins[at[kind[at - 1] == _SPACE]] = True
         own = kind != _SPACE
         begins &= own
-        offsets = np.append(np.flatnonzero(begins[own]), np.count_nonzero(own))
+        left = low.translate(None, _SPACES)
+        offsets = np.append(np.flatnonzero(begins[own]), len(left))
         ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
         n = np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
-        return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low[own])]), n
+        return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(left)]), n
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts of Latin letters and ASCII without special tokens."""
         parts, n = self.parts(texts)
         coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [p for p in distinct if p not in self.known]
+        rows = list(map(self.known.get, distinct))
+        new = [p for p, k in zip(distinct, rows) if k is None]
         words = [p for p in new if len(p) <= _LONGEST and _LATIN.fullmatch(p)]
         if words:
             self._learn(words)
@@ -183,7 +186,7 @@ class Encoder(dict):
         rest = [p for p in new if p not in self.known]
         found = [self[p] for p in rest]
         place = dict(zip(rest, range(len(self.sizes), len(self.sizes) + len(rest))))
-        rows = np.array([self.known[p] if p in self.known else place[p] for p in distinct], np.int64)
+        rows = np.array([k if k is not None else place[p] if p in place else self.known[p] for p, k in zip(distinct, rows)], np.int64)
         pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), "<u4")])
         sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found)) // 4])
         if len(self.known) > _CACHED:
