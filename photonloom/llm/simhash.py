@@ -1,15 +1,18 @@
-"""SimHash near-duplicates: exact tiled comparison of all distinct fingerprints.
-
-Fingerprints are grouped into classes by the population counts of their two 32-bit halves. Two
-fingerprints within the radius differ by at most that much in the sum of both counts, so only tile
-pairs of such classes are compared, each with numpy exclusive-or and bit counts. Tiles are dealt to tasks
-in blocks. A tile pair returns a spanning forest of its links, never the links of a group to each other.
+"""SimHash near-duplicates: exact tiled comparison of the distinct fingerprints that can be near.
+
+Of radius + 1 parts of their bits, two fingerprints within the radius agree in one part at least, so a
+class has the fingerprints that agree in a part; of many fingerprints in two parts of radius + 2, and so on. Their
+population counts differ by the radius at most: a class too large for a block is cut by the population counts
+of both 32-bit halves, a smaller one is sorted by them, and only tiles and strips of near counts are compared, with
+numpy exclusive-or and bit counts. A tile pair returns a spanning forest of its links, never the links of a
+group to each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonloom.llm.common import as_id, as_text, hot_keys, join_split, staged
+from photonloom.llm.common import as_id, as_text, hot_keys, join_split, small_batches, staged
 from photonloom.llm.graph import connected_components
 
 RADIUS = 4
@@ -27,6 +30,8 @@ TILE_ROWS = 4096
 #: Tiles of a block. Blocks are shuffled and meet in pairs, their tiles are compared in the task, so that an eighth as much is moved.
 BLOCK_TILES = 8
 _STRIP = 64
+#: Comparisons that take as long as dealing a fingerprint to a class.
+_DEALT = 8192
 _BLOCK = 65536
 
 
@@ -77,37 +82,80 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles: at most one link for each fingerprint."""
-    values = np.concatenate([a, b])
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two tiles, or within one, that are sorted by population count: at most one link for each fingerprint."""
+    values, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
+    ones, others = (np.bitwise_count(x).astype(np.int64) for x in (a, b))
     i = j = np.empty(0, np.int64)
     for k in range(0, len(a), _STRIP):
-        x, y = np.nonzero(np.bitwise_count(a[k : k + _STRIP, None] ^ b[None, :]) <= radius)
-        if len(x):
-            label = forest(len(values), np.concatenate([i, x + k]), np.concatenate([j, y + len(a)]))
+        # population counts of linked fingerprints differ by the radius at most
+        first, last = np.searchsorted(others, [ones[k] - radius, ones[k : k + _STRIP][-1] + radius + 1])
+        first = max(first, k) if same else first
+        # flatnonzero takes a quarter of the time of nonzero on two dimensions
+        near = np.flatnonzero(np.bitwise_count(a[k : k + _STRIP, None] ^ b[None, first:last]) <= radius)
+        if len(near):
+            x, y = np.divmod(near, last - first)
+            x, y = x + k, y + first
+            if same:
+                x, y = x[x < y], y[x < y]
+            label = forest(len(values), np.concatenate([i, x]), np.concatenate([j, y + shift]))
             i = np.flatnonzero(label != np.arange(len(values)))
             j = label[i]
-    keep = values[i] != values[j]
-    return values[i][keep], values[j][keep]
+    return values[i], values[j]
 
 
 def block_links(a: np.ndarray, b: np.ndarray, radius: int, tile_rows: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The links of each pair of tiles of two blocks; of a block with itself each pair once."""
+    a, b = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (a, b))
     for i in range(0, len(a), tile_rows):
         for j in range(i if same else 0, len(b), tile_rows):
-            yield tile_links(a[i : i + tile_rows], b[j : j + tile_rows], radius)
+            yield tile_links(a[i : i + tile_rows], b[j : j + tile_rows], radius, same and i == j)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, block_tiles: int = BLOCK_TILES) -> DataFrame:
-    """(a, b) over a table of distinct fingerprints fp: edges with the same components as all pairs within radius."""
+def agreeing(n: int, radius: int) -> int:
+    """In how many parts the fingerprints of a class agree, so that n of them take the fewest comparisons; 0: one class of all."""
+    classes = {c: (comb(radius + c, c), 64 * c // max(1, radius + c)) for c in range(5)}
+    return min(classes, key=lambda c: classes[c][0] * (n / 2 ** classes[c][1] + _DEALT))
+
+
+def part_masks(radius: int, agree: int) -> list[int]:
+    """Bits of every choice of agree parts out of radius + agree. As radius bits lie in radius parts at most, linked fingerprints agree in all bits of one choice."""
+    parts = radius + agree
+    ends = [64 * k // max(1, parts) for k in range(parts + 1)]
+    masks = [(1 << y) - (1 << x) for x, y in zip(ends, ends[1:])]
+    return [sum(chosen) for chosen in combinations(masks, agree)]
+
+
+def blocks_met(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, block_tiles: int = BLOCK_TILES, agree: int | None = None) -> DataFrame:
+    """(a, b, itself): pairs of blocks, arrays of fingerprints, whose fingerprints are compared. Linked fingerprints meet in one pair at least.
+
+    A class has the fingerprints that agree in one choice of parts. One that fits a block meets itself; a larger one
+    is cut by the population counts of both halves, and blocks of near counts meet.
+    """
+    agree = agreeing(distinct.count(), radius) if agree is None else agree
+    signed = [m - (m >> 63 << 64) for m in part_masks(radius, agree)]
+    slots = F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(signed)]))
+    dealt = distinct.select("fp", slots.alias("of")).select("fp", "of.slot", "of.key")
+    large = staged(dealt.groupBy("slot", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows * block_tiles).select("slot", "key"), "large")
+    if large.isEmpty():
+        return _own(dealt)
+    return _own(dealt.join(large, ["slot", "key"], "left_anti")).union(_split(dealt.join(large, ["slot", "key"]), radius, tile_rows * block_tiles))
+
+
+def _own(dealt: DataFrame) -> DataFrame:
+    return dealt.groupBy("slot", "key").agg(F.collect_list("fp").alias("a")).select("a", F.col("a").alias("b"), F.lit(True).alias("itself"))
+
+
+def _split(dealt: DataFrame, radius: int, block_rows: int) -> DataFrame:
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    halves = distinct.select("fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"), F.bit_count(low).alias("lo"))
-    # at most 33 x 33 classes, so this side of the joins is small at any scale
-    classes = halves.groupBy("hi", "lo").agg(F.ceil(F.count("*") / (tile_rows * block_tiles)).cast("long").alias("parts"))
+    halves = dealt.select("slot", "key", "fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"), F.bit_count(low).alias("lo"))
+    kind = ["slot", "key", "hi", "lo"]
+    # at most 33 x 33 kinds of a large class, of which there are few
+    kinds = halves.groupBy(*kind).agg(F.ceil(F.count("*") / block_rows).cast("long").alias("parts"))
     blocks = (
-        halves.join(F.broadcast(classes), ["hi", "lo"])
+        halves.join(F.broadcast(kinds), kind)
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-        .groupBy("hi", "lo", "part")
+        .groupBy(*kind, "part")
         .agg(F.collect_list("fp").alias("fps"))
     )
     blocks = staged(blocks, "blocks")
@@ -115,21 +163,28 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS,
     step = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])).alias("step")
     left = (
         blocks.select("*", step)
-        .select(F.col("fps").alias("left"), F.col("part").alias("own"), F.expr("step.x = 0 and step.y = 0").alias("same"), (F.col("hi") + F.col("step.x")).alias("hi"), (F.col("lo") + F.col("step.y")).alias("lo"))
-        .join(F.broadcast(classes), ["hi", "lo"])
-        .select("left", "own", "same", "hi", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        .select("slot", "key", F.col("fps").alias("a"), F.col("part").alias("own"), F.expr("step.x = 0 and step.y = 0").alias("same"), (F.col("hi") + F.col("step.x")).alias("hi"), (F.col("lo") + F.col("step.y")).alias("lo"))
+        .join(F.broadcast(kinds), kind)
+        .select("slot", "key", "a", "own", "same", "hi", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         .where("not same or own <= part")
     )
-    pairs = left.join(blocks, ["hi", "lo", "part"]).select("left", "fps", F.expr("same and own = part").alias("itself"))
+    return left.join(blocks, [*kind, "part"]).select("a", F.col("fps").alias("b"), F.expr("same and own = part").alias("itself"))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, block_tiles: int = BLOCK_TILES, agree: int | None = None) -> DataFrame:
+    """(a, b) over a table of distinct fingerprints fp: edges with the same components as all pairs within radius."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for a, b, itself in zip(x["left"], x["fps"], x["itself"]):
-                for i, j in block_links(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64), radius, tile_rows, itself):
-                    if len(i):
-                        yield pd.DataFrame({"a": i.view(np.int64), "b": j.view(np.int64)})
+            # one table for many small classes
+            found = []
+            for a, b, itself in zip(x["a"], x["b"], x["itself"]):
+                found += block_links(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64), radius, tile_rows, itself)
+            if found:
+                i, j = (np.concatenate(side).view(np.int64) for side in zip(*found))
+                yield pd.DataFrame({"a": i, "b": j})
 
-    return pairs.mapInPandas(run, "a long, b long")
+    return blocks_met(distinct, radius, tile_rows, block_tiles, agree).mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -142,7 +197,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     own = staged(fingerprints(df, id_col, text_col), "fingerprints")
     least = staged(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
-    group = connected_components(links(least.select("fp"), radius)).withColumnRenamed("node", "fp")
+    with small_batches(df.sparkSession):
+        group = connected_components(links(least.select("fp"), radius)).withColumnRenamed("node", "fp")
     marked = staged(least.join(group, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "marked")
     names = staged(marked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
     # one component may hold most fingerprints

@@ -5,7 +5,7 @@ import xxhash
 
 from photonloom.llm.common import hot_keys, join_split
 from photonloom.llm.graph import connected_components
-from photonloom.llm.simhash import fingerprint, links, near_duplicates
+from photonloom.llm.simhash import agreeing, blocks_met, fingerprint, links, near_duplicates, part_masks
 
 
 def plain_fingerprint(text):
@@ -72,6 +72,48 @@ def test_tiles_and_blocks_lose_no_link(spark, tile, block):
     assert all((a ^ b).bit_count() <= 4 for a, b in edges) and names(edges) == names(near)
 
 
+@pytest.mark.parametrize("agree, tile, block", [(0, 2, 2), (1, 1, 1), (1, 3, 2), (1, 1000, 1), (2, 2, 1), (2, 1000, 1)])
+@pytest.mark.parametrize("radius", [0, 1, 4, 7])
+def test_classes_lose_no_link(spark, radius, agree, tile, block):
+    rng = random.Random(radius)
+    seeds = [0, (1 << 64) - 1, *(rng.getrandbits(64) for _ in range(8))]
+    fps = {s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(radius + 2))) for s in seeds for _ in range(10)}
+    fps |= {s ^ 0xF << k for s in seeds[:3] for k in (0, 11, 24, 37, 49, 60)}
+    signed = {f - (f >> 63 << 64) for f in fps}
+    edges = [tuple(r) for r in links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius, tile, block, agree).collect()]
+    near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius]
+
+    def names(pairs):
+        name = {f: f for f in signed}
+        for _ in signed:
+            before = dict(name)
+            for a, b in pairs:
+                name[a] = name[b] = min(name[a], name[b])
+            if name == before:
+                return name
+
+    # a forest's edges may lead past several links, within one component
+    assert names(edges) == names(near)
+
+
+@pytest.mark.parametrize("radius, agree", [(0, 0), (0, 1), (4, 0), (4, 1), (4, 2), (4, 4), (70, 1)])
+def test_any_radius_bits_leave_a_choice_of_parts_whole(radius, agree):
+    masks, rng = part_masks(radius, agree), random.Random(5)
+    for _ in range(500):
+        flipped = sum(1 << b for b in rng.sample(range(64), min(radius, 64)))
+        assert any(not flipped & m for m in masks)
+
+
+def test_comparisons_grow_with_the_fingerprints_not_their_square(spark):
+    rng = random.Random(6)
+    fps = [(rng.getrandbits(64) - (1 << 63),) for _ in range(100_000)]
+    met = blocks_met(spark.createDataFrame(fps, "fp long"))
+    compared = met.selectExpr("sum(size(a) * size(b))").first()[0]
+    # blocks of near population counts alone made a fifth of all pairs meet
+    assert compared < len(fps) ** 2 / 500
+    assert [agreeing(n, 4) for n in (0, 1000, 10**5, 10**7, 10**9)] == [0, 0, 1, 1, 2]
+
+
 def test_empty_table_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).collect() == []
